@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from . import line_dedup
+from .line_dedup import op10_line_dedup
 from .packing import op4_packing
 
-QUERIES = {"op4_packing": op4_packing}
+QUERIES = {
+    "op4_packing": op4_packing,
+    "op10_line_dedup": op10_line_dedup,
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_line_dedup": line_dedup.ORACLE_SQL,
+}
