@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +48,7 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def small_runs(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
+def small_runs(texts: list, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about ``limit`` characters; a longer text has a range of its own."""
     start, size = 0, 0
     for i, text in enumerate(texts):
@@ -63,8 +63,8 @@ def small_runs(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int
 class WordIndex(dict):
     """Word to dense number. A new word gets the next number and waits in ``fresh``."""
 
-    def __init__(self) -> None:
-        super().__init__()
+    def __init__(self, known=()) -> None:
+        super().__init__(known)
         self.fresh: list = []
 
     def __missing__(self, word):
@@ -114,5 +114,6 @@ def sums_of_runs(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - lengths]
 
 
-def record_batch(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+def bytes_of(column: pa.Array) -> list[bytes]:
+    """A string column as UTF-8."""
+    return column.cast(pa.binary()).to_pylist()

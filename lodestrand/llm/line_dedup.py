@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, text_of
+from .common import bytes_of, stored, text_of
 from .perfect_hash import PerfectHash
 
 MIN_CHARS = 40
@@ -49,17 +49,13 @@ def _pairs(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0].copy(), both[:, 1].copy()
 
 
-def _bytes_of(column: pa.Array) -> list[bytes]:
-    return column.cast(pa.binary()).to_pylist()
-
-
 def line_keys(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, h1, h2): the hashes of each text's long lines, each once a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, found, owner = batch.column(0).to_numpy(zero_copy_only=False), [], []
-            for i, text in enumerate(_bytes_of(batch.column(1))):
+            for i, text in enumerate(bytes_of(batch.column(1))):
                 distinct = set(_digests(text, min_chars)[2])
                 found += distinct
                 owner.append((i, len(distinct)))
@@ -140,7 +136,7 @@ def _rewrite_by_broadcast(index: Broadcast, n_shards: int, min_chars: int):
     @F.arrow_udf(_TOLD)
     def rewrite(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for doc_ids, texts in batches:
-            texts, ids = _bytes_of(texts), doc_ids.to_numpy(zero_copy_only=False)
+            texts, ids = bytes_of(texts), doc_ids.to_numpy(zero_copy_only=False)
             n_lines, at, digests, counts = [], [], [], []
             for text in texts:
                 n, where, found = _digests(text, min_chars)
@@ -174,7 +170,7 @@ def _drops_by_shard(documents: DataFrame, index: DataFrame, shards: int, min_cha
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_digests(text, min_chars)[1:] for text in _bytes_of(batch.column(2))]
+            found = [_digests(text, min_chars)[1:] for text in bytes_of(batch.column(2))]
             rows = np.repeat(np.arange(len(found)), [len(at) for at, _ in found])
             h1, h2 = _pairs(list(itertools.chain.from_iterable(d for _, d in found)))
             at = np.fromiter(itertools.chain.from_iterable(a for a, _ in found), np.int32, len(rows))
@@ -199,7 +195,7 @@ def _drops_by_shard(documents: DataFrame, index: DataFrame, shards: int, min_cha
 
 @F.arrow_udf(_TOLD)
 def _rewrite_by_numbers(texts: pa.Array, dropped: pa.Array) -> pa.Array:
-    texts, gone = _bytes_of(texts), [set(x or ()) for x in dropped.to_pylist()]
+    texts, gone = bytes_of(texts), [set(x or ()) for x in dropped.to_pylist()]
     kept = [_kept(*pair) for pair in zip(texts, gone, strict=True)]
     return pa.StructArray.from_arrays([pa.array(kept, pa.binary()).cast(pa.string()), pa.array([t.count(b"\n") + 1 for t in texts], pa.int64()), pa.array([len(x) for x in gone], pa.int64())], fields=list(_RESULT))
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from . import line_dedup
 from .line_dedup import op10_line_dedup
 from .packing import op4_packing
+from .simhash_trie import op2_simhash_near_dedup
 
 QUERIES = {
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_packing": op4_packing,
     "op10_line_dedup": op10_line_dedup,
 }
