@@ -6,13 +6,16 @@ from . import line_dedup
 from .line_dedup import op10_line_dedup
 from .packing import op4_packing
 from .simhash_trie import op2_simhash_near_dedup
+from .toxicity import op6_toxicity
 
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_packing": op4_packing,
+    "op6_toxicity": op6_toxicity,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_toxicity": op6_toxicity,
     "op10_line_dedup": line_dedup.ORACLE_SQL,
 }
