@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import line_dedup, secrets
 from .line_dedup import op10_line_dedup
 from .packing import op4_packing
+from .secrets import op7_secret_scan
 from .simhash_trie import op2_simhash_near_dedup
 from .toxicity import op6_toxicity
 
@@ -12,10 +13,12 @@ QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_packing": op4_packing,
     "op6_toxicity": op6_toxicity,
+    "op7_secret_scan": op7_secret_scan,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_toxicity": op6_toxicity,
+    "op7_secret_scan": secrets.ORACLE_SQL,
     "op10_line_dedup": line_dedup.ORACLE_SQL,
 }
