@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_runs, stored, text_of
+from .common import bytes_of, small_runs, stored, text_of
 from .tokens import encoder, tokenizer_path
 
 SEQUENCE = 4096
@@ -23,7 +23,7 @@ def _encode_partition(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
+            keys, texts = batch.column(0), bytes_of(batch.column(1))
             for a, b in small_runs(texts):
                 ids, counts = encoder(path).encode(texts[a:b])
                 ends = np.cumsum(counts)

@@ -3,16 +3,25 @@
 from __future__ import annotations
 
 import functools
+import gc
 import re
 
 import numpy as np
 
-from .common import WORD_LIMIT, GrowingRows, WordIndex, gather_ranges
+from .common import GrowingRows, WordIndex, gather_ranges
 
 WORD_BPE = "word_bpe_49k.json"
 
-#: A word of Latin letters, maybe with one mark after it: these need no normaliser.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: Stands between texts: no UTF-8 text holds this byte.
+BREAK = b" \xff "
+
+#: Words, and word stems, whose ids a worker keeps (results do not depend on it).
+WORD_LIMIT = 600_000
+STEM_LIMIT = 500_000
+
+#: A word of Latin letters, maybe with ASCII marks after it: these need no normaliser,
+#: and the marks are a token run of their own. The apostrophe can begin a short form.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def tokenizer_path(name: str = WORD_BPE) -> str:
@@ -42,55 +51,72 @@ class TokenEncoder:
         vocabulary = self.full.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.marks = {m: np.array(self.full.encode(m, add_special_tokens=False).ids, np.int32) for m in (".", ",")}
+        gc.set_threshold(200_000)  # the tables hold millions of plain objects and no cycles
         self._forget()
+        self._forget_stems()
 
     def _forget(self) -> None:
-        self.words, self.stems = WordIndex(), WordIndex()
-        self.ids = GrowingRows(np.int32)
+        self.words, self.ids = WordIndex({BREAK.strip(): 0}), GrowingRows(np.int32)
         self.start, self.count = GrowingRows(np.int64), GrowingRows(np.int64)
-        self.stem_ids: list[np.ndarray] = []
+        self.start.extend(np.zeros(1, np.int64))
+        self.count.extend(np.zeros(1, np.int64))
+
+    def _forget_stems(self) -> None:
+        self.stems, self.stem_ids = WordIndex(), GrowingRows(np.int32)
+        self.stem_start, self.stem_count = GrowingRows(np.int64), GrowingRows(np.int64)
+        self.marks: dict[str, list[int]] = {"": []}
+
+    def _learn_stems(self, stems: list[str]) -> None:
+        joined = [" ".join(stems[i : i + 500]) for i in range(0, len(stems), 500)]
+        ids = np.concatenate([np.array(e.ids, np.int32) for e in self.bare.encode_batch_fast(joined, add_special_tokens=False)])
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        starts = np.concatenate([[0], stops[:-1]])
+        self.stem_start.extend(self.stem_ids.size + starts)
+        self.stem_count.extend(stops - starts)
+        self.stem_ids.extend(ids)
+
+    def _mark(self, mark: str) -> list[int]:
+        if mark not in self.marks:
+            self.marks[mark] = self.full.encode(mark, add_special_tokens=False).ids
+        return self.marks[mark]
 
     def _learn(self, fresh: list[bytes]) -> None:
-        plain: list[tuple[int, str] | None] = []
-        others: list[str] = []
-        for word in fresh:
-            text = word.decode("utf-8", "replace")
-            if match := PLAIN.fullmatch(text):
-                plain.append((self.stems[match[1].lower()], match[2]))
-            else:
-                plain.append(None)
-                others.append(text)
+        """Ids of new words: a stem and maybe a mark, or whatever the whole tokenizer says."""
+        if len(self.stems) > STEM_LIMIT:
+            self._forget_stems()
+        matches = list(map(PLAIN.fullmatch, [w.decode("utf-8", "replace") for w in fresh]))
+        plain = np.fromiter((m is not None for m in matches), bool, len(fresh))
+        stem = self.stems.numbers([m[1].lower() for m in matches if m])
         if stems := self.stems.take_fresh():
-            joined = [" ".join(stems[i : i + 500]) for i in range(0, len(stems), 500)]
-            ids = np.concatenate([np.array(e.ids, np.int32) for e in self.bare.encode_batch_fast(joined, add_special_tokens=False)])
-            self.stem_ids.extend(np.split(ids, np.flatnonzero(self.ends[ids])[:-1] + 1))
-        encoded = iter(self.full.encode_batch_fast(others, add_special_tokens=False) if others else [])
-        found = []
-        for item in plain:
-            if item is None:
-                found.append(np.array(next(encoded).ids, np.int32))
-            else:
-                found.append(self.stem_ids[item[0]])
-                if item[1]:
-                    found[-1] = np.concatenate([found[-1], self.marks[item[1]]])
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        self.start.extend(self.ids.size + np.cumsum(counts) - counts)
+            self._learn_stems(stems)
+        marks = [self._mark(m[2]) for m in matches if m]
+        marked = np.fromiter(map(len, marks), np.int64, len(marks))
+        counts = np.empty(len(fresh), np.int64)
+        counts[plain] = self.stem_count.data[stem] + marked
+        others = [w.decode("utf-8", "replace") for w, p in zip(fresh, plain, strict=True) if not p]
+        encoded = [e.ids for e in self.full.encode_batch_fast(others, add_special_tokens=False)] if others else []
+        counts[~plain] = list(map(len, encoded))
+        starts = np.cumsum(counts) - counts
+        ids = np.empty(int(counts.sum()), np.int32)
+        ids[gather_ranges(starts[plain], self.stem_count.data[stem])] = self.stem_ids.data[gather_ranges(self.stem_start.data[stem], self.stem_count.data[stem])]
+        ids[gather_ranges((starts + counts)[plain] - marked, marked)] = [i for m in marks for i in m]
+        ids[gather_ranges(starts[~plain], counts[~plain])] = [i for e in encoded for i in e]
+        self.start.extend(self.ids.size + starts)
         self.count.extend(counts)
-        self.ids.extend(np.concatenate(found))
+        self.ids.extend(ids)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after the other, and the number of each text's ids."""
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (UTF-8), one after the other, and the number of each text's ids."""
         if len(self.words) > WORD_LIMIT:
             self._forget()
-        split = [t.encode("utf-8", "replace").split() for t in texts]
-        numbers = self.words.numbers([w for words in split for w in words])
+        numbers = self.words.numbers(BREAK.join(texts).split())
         if fresh := self.words.take_fresh():
             self._learn(fresh)
         counts = self.count.data[numbers]
         ids = self.ids.data[gather_ranges(self.start.data[numbers], counts)]
-        ends = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int64)]
-        return ids, np.diff(ends)
+        breaks = np.concatenate([[-1], np.flatnonzero(numbers == 0), [len(numbers)]])
+        before = np.concatenate([[0], np.cumsum(counts)])
+        return ids, before[breaks[1:]] - before[breaks[:-1] + 1]
 
 
 @functools.lru_cache(maxsize=2)
