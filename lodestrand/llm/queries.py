@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import line_dedup, secrets
+from . import line_dedup, quality_rules, secrets
 from .line_dedup import op10_line_dedup
 from .packing import op4_packing
+from .quality_rules import op8_quality_rules
 from .secrets import op7_secret_scan
 from .simhash_trie import op2_simhash_near_dedup
 from .toxicity import op6_toxicity
@@ -14,11 +15,13 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
+    "op8_quality_rules": op8_quality_rules,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_toxicity": op6_toxicity,
     "op7_secret_scan": secrets.ORACLE_SQL,
+    "op8_quality_rules": quality_rules.ORACLE_SQL,
     "op10_line_dedup": line_dedup.ORACLE_SQL,
 }
