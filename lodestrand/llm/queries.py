@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import line_dedup, quality_rules, secrets
 from .line_dedup import op10_line_dedup
 from .packing import op4_packing
+from .perplexity import op9_quality_classifier
 from .quality_rules import op8_quality_rules
 from .secrets import op7_secret_scan
 from .simhash_trie import op2_simhash_near_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
     "op8_quality_rules": op8_quality_rules,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_line_dedup": op10_line_dedup,
 }
 
