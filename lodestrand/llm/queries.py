@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import line_dedup, quality_rules, secrets
+from .fingerprints import op5_document_fingerprints
 from .line_dedup import op10_line_dedup
 from .packing import op4_packing
 from .perplexity import op9_quality_classifier
@@ -14,6 +15,7 @@ from .toxicity import op6_toxicity
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_packing": op4_packing,
+    "op5_document_fingerprints": op5_document_fingerprints,
     "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
     "op8_quality_rules": op8_quality_rules,
