@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality_rules, secrets
+from . import line_dedup, quality_rules, secrets, warc
 from .fingerprints import op5_document_fingerprints
 from .line_dedup import op10_line_dedup
 from .packing import op4_packing
 from .perplexity import op9_quality_classifier
+from .pieces import op3_sentencepiece
 from .quality_rules import op8_quality_rules
 from .secrets import op7_secret_scan
 from .simhash_trie import op2_simhash_near_dedup
 from .toxicity import op6_toxicity
+from .warc import op1_warc_revisits
 
 QUERIES = {
+    "op1_warc_revisits": op1_warc_revisits,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_packing": op4_packing,
     "op5_document_fingerprints": op5_document_fingerprints,
     "op6_toxicity": op6_toxicity,
@@ -25,6 +29,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op6_toxicity": op6_toxicity,
+    "op1_warc_revisits": warc.ORACLE_SQL,
     "op7_secret_scan": secrets.ORACLE_SQL,
     "op8_quality_rules": quality_rules.ORACLE_SQL,
     "op10_line_dedup": line_dedup.ORACLE_SQL,
