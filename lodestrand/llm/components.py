@@ -34,7 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Edges from a node to itself keep that node in the result. Null ends are ignored.
     """
-    proper = edges.where("u IS NOT NULL AND v IS NOT NULL")
+    proper = stored(edges.where("u IS NOT NULL AND v IS NOT NULL"), "edges")
     alone = proper.where("u = v").select(F.col("u").alias("node"), F.col("v").alias("root"))
     down = stored(proper.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None

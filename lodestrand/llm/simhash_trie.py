@@ -197,7 +197,10 @@ def links(distinct: DataFrame, radius: int = RADIUS, cell_size: int | None = Non
 
 
 def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS, cell_size: int | None = None) -> DataFrame:
-    """(doc_id, fp, component_id) of every row: its fingerprint and the smallest doc_id it is linked to.
+    """Every row's fingerprint and the smallest doc_id it is linked to.
+
+    Returns doc_id, text_hash (xxhash64 of the text, which tells apart the texts of a
+    repeated doc_id), fp, root (the component's smallest fingerprint) and component_id.
 
     Fingerprints: SimHash over XXH64 of 4-word shingles of the whole text, A-Z in lower
     case. Texts whose fingerprints differ in ``radius`` bits or fewer are linked;
@@ -207,32 +210,34 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
 
     Nulls: a null text counts as empty. Texts without words have fingerprint zero and
     link like any other. A null doc_id stays null and never is a component's name,
-    unless all its members are null. Repeated rows get equal results. An empty table gives no rows. Other columns are
-    ignored.
+    unless all its members are null. Repeated rows get equal results. An empty table
+    gives no rows. Other columns are ignored.
     """
-    rows = stored(documents.select(F.col(id_column).cast("long").alias("doc_id"), simhash(text_of(text_column)).alias("fp")), "fingerprints")
+    text = text_of(text_column)
+    rows = stored(documents.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), simhash(text).alias("fp")), "fingerprints")
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "distinct-fingerprints")
     root = components(links(distinct.select("fp"), radius, cell_size)).select(F.col("node").alias("fp"), "root")
     joined = distinct.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = stored(joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "copies", "component_id"), "components")
+    named = stored(joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "copies", "root", "component_id"), "components")
     limit = max(1, math.ceil((distinct.agg(F.sum("copies")).first()[0] or 0) / HOT_SHARE))
     hot = F.broadcast(named.where(F.col("copies") > limit).drop("copies"))
     cold = named.where(F.col("copies") <= limit).drop("copies")
     told = rows.join(hot, "fp").unionByName(rows.join(hot, "fp", "left_anti").join(cold, "fp"))
-    return told.select("doc_id", "fp", "component_id")
+    return told.select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def keep_one(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``documents`` that stay when each component keeps its smallest doc_id; all columns.
+    """The rows of ``documents`` that stay when each component keeps one; all columns.
 
-    Repeated rows of the doc_id that stays are one row afterwards. Null doc_ids stay
-    only where a component has no other.
+    The smallest doc_id stays, a null only where its component has no other; of several
+    texts under that id the one with the smallest hash. Repeated rows become one.
     """
     absent = F.lit(-(2**63))
     found = near_duplicates(documents, id_column, text_column, radius)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", absent).alias("_kept_id"), F.hex("fp").alias("_kept_fp")).groupBy("_kept_id").agg(F.min("_kept_fp").alias("_kept_fp"))
-    key = F.coalesce(F.col(id_column).cast("long"), absent)
-    return documents.join(kept, key == F.col("_kept_id"), "left_semi").dropDuplicates([id_column])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
+    kept = found.groupBy("root").agg(first).select(F.coalesce("first.doc_id", absent).alias("_row_id"), F.col("first.text_hash").alias("_row_hash"))
+    keyed = documents.withColumns({"_row_id": F.coalesce(F.col(id_column).cast("long"), absent), "_row_hash": F.xxhash64(text_of(text_column))})
+    return keyed.join(kept, ["_row_id", "_row_hash"], "left_semi").dropDuplicates(["_row_id", "_row_hash"]).drop("_row_id", "_row_hash")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
