@@ -28,7 +28,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op6_toxicity": op6_toxicity,
     "op1_warc_revisits": warc.ORACLE_SQL,
     "op7_secret_scan": secrets.ORACLE_SQL,
     "op8_quality_rules": quality_rules.ORACLE_SQL,

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from .common import stored, text_of
 
 
-
 def either_case(words: str) -> str:
     """The pattern with a class of both cases for each letter: the same in every regex engine."""
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
