@@ -19,7 +19,7 @@ def test_decoding_is_lossless(text, seed):
 
 
 def test_draws_depend_on_the_key_alone(spark):
-    rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(None, "the cat sat"), (None, "the cat sat"), (0, "the cat sat")]
+    rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(None, "the cat sat", "x"), (None, "the cat sat", "x"), (0, "the cat sat", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, decoded string")
     one = sorted((str(r.doc_id), str(r.text), bytes(r.ids)) for r in encode(docs.coalesce(1)).collect())
     assert one == sorted((str(r.doc_id), str(r.text), bytes(r.ids)) for r in encode(docs.repartition(7)).collect())
