@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,22 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+_held: dict = {}
+
+
+def worker_table(key, make: Callable):
+    """What a Python worker keeps between batches, made once. Another operator's table goes first.
+
+    Spark reuses workers from stage to stage; without this, each stage of a pipeline
+    would leave its words behind in all of them.
+    """
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        _held[key] = make()
+    return _held[key]
+
+
 def small_runs(texts: list, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about ``limit`` characters; a longer text has a range of its own."""
     start, size = 0, 0

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bits import bit_sums, packed
-from .common import WORD_LIMIT, GrowingRows, WordIndex, bytes_of, small_runs, stored, text_of
+from .common import WORD_LIMIT, GrowingRows, WordIndex, bytes_of, small_runs, stored, text_of, worker_table
 from .tokens import BREAK
 
 BITS = 128
@@ -65,14 +65,9 @@ class Fingerprinter:
         return out
 
 
-_fingerprinter: list[Fingerprinter] = []
-
-
 def fingerprinter() -> Fingerprinter:
     """This worker's."""
-    if not _fingerprinter:
-        _fingerprinter.append(Fingerprinter())
-    return _fingerprinter[0]
+    return worker_table("fingerprints", Fingerprinter)
 
 
 _PAIR = T.StructType().add("high", "long").add("low", "long")

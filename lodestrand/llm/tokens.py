@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import functools
 import gc
 import re
 
 import numpy as np
 
-from .common import GrowingRows, WordIndex, gather_ranges
+from .common import GrowingRows, WordIndex, gather_ranges, worker_table
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -119,7 +118,6 @@ class TokenEncoder:
         return ids, before[breaks[1:]] - before[breaks[:-1] + 1]
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> TokenEncoder:
     """This worker's encoder."""
-    return TokenEncoder(path)
+    return worker_table(("tokens", path), lambda: TokenEncoder(path))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_LIMIT, GrowingRows, WordIndex, bytes_of, gather_ranges, small_runs, stored, text_of
+from .common import WORD_LIMIT, GrowingRows, WordIndex, bytes_of, gather_ranges, small_runs, stored, text_of, worker_table
 from .tokens import BREAK
 
 #: Labelled documents that the models are fitted on, at most (a share by hash of the doc_id beyond that).
@@ -48,9 +49,10 @@ _SUMS = ("toxic", "ordinary", "toxic_docs", "ordinary_docs")
 
 def _count_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, toxic, ordinary, toxic_docs, ordinary_docs) sums of each run of texts; the empty key has all."""
+    worker_table("toxic-counts", bool)  # empties what other operators keep
     for batch in batches:
         texts, labels = bytes_of(batch.column(0)), np.array(batch.column(1).to_pylist(), np.int64)
-        for a, b in small_runs(texts, 4 << 20):
+        for a, b in small_runs(texts, 2 << 20):
             words, keys = WordIndex({BREAK.strip(): 0}), WordIndex()
             numbers = words.numbers(BREAK.join(texts[a:b]).lower().split())
             steps = [[]] + [spelled(w) for w in words.take_fresh()]
@@ -155,19 +157,16 @@ class _Scorer:
         return total / np.maximum(size, 1)
 
 
-_scorers: dict[int, _Scorer] = {}
-
-
 def _evidence_udf(model: Broadcast):
+    key = f"toxicity-{uuid.uuid4().hex}"
+
     @F.arrow_udf(T.DoubleType())
     def evidence(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         held = model.value
-        if id(held) not in _scorers:
-            _scorers.clear()
-            _scorers[id(held)] = _Scorer(held)
+        scorer = worker_table(key, lambda: _Scorer(held))
         for column in batches:
             texts = bytes_of(column)
-            parts = [_scorers[id(held)].evidence(texts[a:b]) for a, b in small_runs(texts)]
+            parts = [scorer.evidence(texts[a:b]) for a, b in small_runs(texts)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return evidence
