@@ -226,18 +226,22 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     return told.select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
+def first_of_each(documents: DataFrame, found: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """The rows of ``documents`` that are the first of a root of ``found`` (doc_id, text_hash, root); all columns."""
+    absent = F.lit(-(2**63))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
+    kept = found.groupBy("root").agg(first).select(F.coalesce("first.doc_id", absent).alias("_row_id"), F.col("first.text_hash").alias("_row_hash"))
+    keyed = documents.withColumns({"_row_id": F.coalesce(F.col(id_column).cast("long"), absent), "_row_hash": F.xxhash64(text_of(text_column))})
+    return keyed.join(kept, ["_row_id", "_row_hash"], "left_semi").dropDuplicates(["_row_id", "_row_hash"]).drop("_row_id", "_row_hash")
+
+
 def keep_one(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows of ``documents`` that stay when each component keeps one; all columns.
 
     The smallest doc_id stays, a null only where its component has no other; of several
     texts under that id the one with the smallest hash. Repeated rows become one.
     """
-    absent = F.lit(-(2**63))
-    found = near_duplicates(documents, id_column, text_column, radius)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
-    kept = found.groupBy("root").agg(first).select(F.coalesce("first.doc_id", absent).alias("_row_id"), F.col("first.text_hash").alias("_row_hash"))
-    keyed = documents.withColumns({"_row_id": F.coalesce(F.col(id_column).cast("long"), absent), "_row_hash": F.xxhash64(text_of(text_column))})
-    return keyed.join(kept, ["_row_id", "_row_hash"], "left_semi").dropDuplicates(["_row_id", "_row_hash"]).drop("_row_id", "_row_hash")
+    return first_of_each(documents, near_duplicates(documents, id_column, text_column, radius), id_column, text_column)
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
