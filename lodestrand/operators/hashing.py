@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sequence_hash
+from ..llm.common import stored
 
 
 def indexed(df: DataFrame, column: str, *order: str, by: str | None = "file") -> DataFrame:
     """``df`` with its 1-based place in the order of a file, without a window over the whole of it.
 
     Rows are put in ranges of the order; a row's place is the rows of the ranges before
-    plus its place in its own range, and there is one row for each range.
+    plus its place in its own range, and there is one row for each range. The ranges are
+    stored: drawn again for the counts, they would have other bounds.
     """
     keys = ([by] if by else []) + list(order)
-    ranged = df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id())
+    ranged = stored(df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "ranges")
     group = [by] if by else []
     own = Window.partitionBy(*group, "_range").orderBy(*order)
     sizes = ranged.groupBy(*group, "_range").agg(F.count("*").alias("_n"))
