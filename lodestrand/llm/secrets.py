@@ -32,8 +32,11 @@ WEAK = {
     "weak_endpoint": r"(?:https?|jdbc|postgresql|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9._@:-]+",
 }
 KINDS = [*BASE, *WEAK]
+#: What is masked beyond what op7 reports: keys written against other signs, and the user and password of any endpoint.
+USERINFO = "userinfo"
+MASKED = BASE | WEAK | {"weak_key": r"[A-Za-z0-9+/]{40,}", USERINFO: r"""://[^\s:/@?#"'<>]*:[^\s/?#"'<>]+@"""}
 #: What each kind is a part of: an identifier, a secret or an endpoint.
-ROLE = {"assign": "secret", "access": "id", "hex": "secret", "weak_user": "id", "weak_key": "secret", "weak_endpoint": "endpoint"}
+ROLE = {"assign": "secret", "access": "id", "hex": "secret", "weak_user": "id", "weak_key": "secret", "weak_endpoint": "endpoint", USERINFO: USERINFO}
 #: A scope reaches this many code points to either side of a candidate.
 SCOPE = 300
 
@@ -52,14 +55,14 @@ def strong_mix(key: Column) -> Column:
     return (F.length(key) == 40) & ~key.rlike("[_=.-]") & key.rlike("[0-9]") & key.rlike("[a-z]") & key.rlike("[A-Z]")
 
 
-def spans(texts: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, kind, start, end, role) of every match of every kind; code points, end exclusive.
+def spans(texts: DataFrame, patterns: dict[str, str] = BASE | WEAK) -> DataFrame:
+    """(doc_id, text_hash, kind, start, end, role) of every match of every kind of ``patterns``; code points, end exclusive.
 
     texts: doc_id, text_hash, text. The positions are running sums over the pieces of a
     text; texts without anything that begins a match are left out before.
     """
     likely = texts.where(F.col("text").rlike(_LIKELY))
-    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), _pieces(F.col("text"), p).alias("pieces")) for k, p in (BASE | WEAK).items()]))
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), _pieces(F.col("text"), p).alias("pieces")) for k, p in patterns.items()]))
     each = likely.select("doc_id", "text_hash", kinds.alias("k")).select("doc_id", "text_hash", "k.kind", F.posexplode("k.pieces").alias("at", "piece"))
     flat = each.select("doc_id", "text_hash", "kind", "at", F.col("piece.before").alias("before"), F.length("piece.match").alias("size"), F.col("piece.match").alias("match")).dropDuplicates(["doc_id", "text_hash", "kind", "at"])
     so_far = Window.partitionBy("doc_id", "text_hash", "kind").orderBy("at")
@@ -67,7 +70,9 @@ def spans(texts: DataFrame) -> DataFrame:
     value = F.regexp_extract("match", f"^{ASSIGN}$", 2)
     enough = F.when(F.col("kind") == "assign", F.length(value) >= ASSIGN_LEAST).when(F.col("kind") == "weak_key", strong_mix(F.col("match"))).otherwise(True)
     role = F.create_map(*[F.lit(x) for pair in ROLE.items() for x in pair])[F.col("kind")]
-    return placed.where(enough).select("doc_id", "text_hash", "kind", (F.col("end") - F.col("size")).alias("start"), "end", role.alias("role"))
+    start, end = F.col("end") - F.col("size"), F.col("end")
+    inner = F.col("kind") == USERINFO  # between :// and @
+    return placed.where(enough).select("doc_id", "text_hash", "kind", F.when(inner, start + 3).otherwise(start).alias("start"), F.when(inner, end - 1).otherwise(end).alias("end"), role.alias("role"))
 
 
 def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -138,10 +143,14 @@ def scan(documents: DataFrame, id_column: str = "doc_id", text_column: str = "te
 def redact(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", mask: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
     """``documents`` with each secret replaced by ``mask``; all columns, texts without secrets as they were.
 
-    Endpoints are reported but stay. Spans that overlap or touch have one mask.
+    Masked are the secrets of ``secret_spans`` but for endpoints, where only user and
+    password go; also keys of 40 characters between = _ . or -, which op7's own kinds
+    take for parts of longer runs. Spans that overlap or touch have one mask.
     """
     key = ["doc_id", "text_hash"]
-    found = secret_spans(documents, id_column, text_column, scope).where("role <> 'endpoint'")
+    every = stored(spans(_keyed(documents, id_column, text_column), MASKED), "masked-spans")
+    told = F.col("kind").isin(*BASE, USERINFO)
+    found = every.where(told).unionByName(linked(every.where(F.col("kind") != USERINFO), scope)).where("role <> 'endpoint'")
     order = Window.partitionBy(*key).orderBy("start", "end")
     fresh = F.coalesce(F.col("start") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     islands = found.withColumn("fresh", fresh.cast("int")).withColumn("island", F.sum("fresh").over(order)).groupBy(*key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
