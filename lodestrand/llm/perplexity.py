@@ -1,6 +1,6 @@
 """Quality by perplexity: an interpolated modified Kneser-Ney model trained on trusted text.
 
-The grams are runs of characters: a word model's counts would have to be joined to
+The grams are runs of bytes, each a symbol of its own: a word model's counts would have to be joined to
 every word of every document, which moves several times the corpus. All counts of all
 trusted text are kept, however many grams there are; each order's probabilities come
 from joins that are sharded by gram. Documents probe the levels in memory up to a
@@ -23,8 +23,9 @@ from pyspark.sql import types as T
 from .common import bytes_of, gather_ranges, small_runs, stored, text_of
 
 ORDER = 5
-#: Symbols of the alphabet: five bits each.
+#: Bits of a symbol: the folded alphabet of five, or all bytes as they are.
 BITS = 5
+BYTE_BITS = 8
 #: Levels are broadcast up to this size; beyond it, the grams of documents are joined to them.
 BROADCAST_BYTES = 64 << 20
 #: Distinct grams that a counting task holds before it hands them on (counts do not depend on it).
@@ -33,9 +34,9 @@ HELD_GRAMS = 4_000_000
 BROADCAST_IDS = 1_000_000
 #: One trusted document in so many is kept from the counts and gives the thresholds.
 HELD_OUT = 5
-QUANTILE = 0.999
+QUANTILE = 0.99
 #: How far over its quantile a perplexity may be.
-SLACK = 1.1
+SLACK = 1.0
 #: Documents that a threshold needs behind it; else the next wider one counts.
 MIN_TRUSTED = 200
 LENGTH_CLASSES = (6, 12)
@@ -58,14 +59,15 @@ def _alphabet() -> np.ndarray:
 ALPHABET = _alphabet()
 
 
-def grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+def grams(texts: list[bytes], order: int = ORDER, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """The codes of all grams of all texts, and how many each text has: one for each byte, white space going before."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     pad = bytes([32]) * (order - 1)
-    symbols = ALPHABET[np.frombuffer(b"".join(pad + t for t in texts), np.uint8)]
-    codes = np.zeros(len(symbols), np.int32)
+    data = np.frombuffer(b"".join(pad + t for t in texts), np.uint8)
+    symbols = ALPHABET[data] if bits == BITS else data.astype(np.int64)
+    codes = np.zeros(len(symbols), symbols.dtype)
     for k in range(order):
-        codes[order - 1 :] |= symbols[order - 1 - k : len(symbols) - k] << (BITS * k)
+        codes[order - 1 :] |= symbols[order - 1 - k : len(symbols) - k] << (bits * k)
     starts = np.cumsum(sizes + order - 1) - sizes
     return codes[gather_ranges(starts, sizes)], sizes
 
@@ -75,22 +77,22 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
 
-def gram_counts(trusted: DataFrame, order: int = ORDER, held: int = HELD_GRAMS) -> DataFrame:
+def gram_counts(trusted: DataFrame, order: int = ORDER, held: int = HELD_GRAMS, bits: int = BITS) -> DataFrame:
     """(gram, n): how often each gram occurs in the column text; summed in each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [(np.zeros(0, np.int32), np.zeros(0, np.int64))], 0
+        parts, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
         for batch in batches:
             texts = bytes_of(batch.column(0))
             for a, b in small_runs(texts):
-                parts.append(np.unique(grams(texts[a:b], order)[0], return_counts=True))
+                parts.append(np.unique(grams(texts[a:b], order, bits)[0], return_counts=True))
                 size += len(parts[-1][0])
                 if size > held:
                     parts = [_summed(parts)]
                     size = len(parts[0][0])
                     if size > held // 2:
                         yield _batch(*parts.pop())
-                        parts, size = [(np.zeros(0, np.int32), np.zeros(0, np.int64))], 0
+                        parts, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
         yield _batch(*_summed(parts))
 
     def _batch(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -107,11 +109,11 @@ def _discounts(counts: DataFrame) -> list[float]:
     return [min(max(v, 0.1), k - 0.05) for k, v in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
 
 
-def _suffix(order: int) -> F.Column:
-    return F.col("gram") % (1 << (BITS * (order - 1)))
+def _suffix(order: int, bits: int) -> F.Column:
+    return F.col("gram") % (1 << (bits * (order - 1)))
 
 
-def level(counts: DataFrame, lower: DataFrame | None, order: int) -> DataFrame:
+def level(counts: DataFrame, lower: DataFrame | None, order: int, bits: int = BITS) -> DataFrame:
     """(gram, p, context_rest) of one order, from its counts and the next lower order's (gram, p).
 
     Two joins that are sharded by their keys: with the sums of the gram's context, and
@@ -120,59 +122,61 @@ def level(counts: DataFrame, lower: DataFrame | None, order: int) -> DataFrame:
     """
     d = _discounts(counts)
     cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-    placed = counts.withColumns({"context": F.shiftright("gram", BITS), "suffix": _suffix(order), "cut": cut})
+    placed = counts.withColumns({"context": F.shiftright("gram", bits), "suffix": _suffix(order, bits), "cut": cut})
     contexts = placed.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("rest"))
     joined = placed.join(contexts, "context")
     if lower is None:
-        below = F.lit(1.0 / (1 << BITS))
+        below = F.lit(1.0 / (1 << bits))
     else:
         joined, below = joined.join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix"), F.col("below")
     return joined.select("gram", ((F.col("n") - F.col("cut") + F.col("rest") * below) / F.col("total")).alias("p"), (F.col("rest") / F.col("total")).alias("context_rest"))
 
 
-def train(trusted: DataFrame, order: int = ORDER) -> list[DataFrame]:
+def train(trusted: DataFrame, order: int = ORDER, bits: int = BITS) -> list[DataFrame]:
     """The levels of a model, lowest order first: (gram, p, context_rest) of every gram that was seen.
 
     The highest order has the counts of all trusted texts, lower orders the number of
     symbols that were seen before a gram.
     """
-    counts = [stored(gram_counts(trusted, order), "gram-counts")]
+    counts = [stored(gram_counts(trusted, order, bits=bits), "gram-counts")]
     for k in range(order - 1, 0, -1):
-        counts.append(stored(counts[-1].groupBy((F.col("gram") % (1 << (BITS * k))).alias("gram")).agg(F.count("*").alias("n")), "gram-counts"))
+        counts.append(stored(counts[-1].groupBy((F.col("gram") % (1 << (bits * k))).alias("gram")).agg(F.count("*").alias("n")), "gram-counts"))
     levels: list[DataFrame] = []
     for k in range(1, order + 1):
-        levels.append(stored(level(counts[order - k], levels[-1] if levels else None, k), "gram-levels"))
+        levels.append(stored(level(counts[order - k], levels[-1] if levels else None, k, bits), "gram-levels"))
     return levels
 
 
-def _contexts(of: DataFrame) -> DataFrame:
-    return of.groupBy(F.shiftright("gram", BITS).alias("context")).agg(F.max("context_rest").alias("rest"))
+def _contexts(of: DataFrame, bits: int) -> DataFrame:
+    return of.groupBy(F.shiftright("gram", bits).alias("context")).agg(F.max("context_rest").alias("rest"))
 
 
 class Tables:
     """The levels as sorted arrays, to be probed in memory."""
 
-    def __init__(self, levels: list[DataFrame]) -> None:
-        self.orders = [(*_sorted(of.select("gram", F.log("p"))), *_sorted(_contexts(of).select("context", F.log("rest")))) for of in levels]
+    def __init__(self, levels: list[DataFrame], bits: int = BITS) -> None:
+        self.bits = bits
+        self.orders = [(*_sorted(of.select("gram", F.log("p"))), *_sorted(_contexts(of, bits).select("context", F.log("rest")))) for of in levels]
 
     def log_p(self, codes: np.ndarray) -> np.ndarray:
         """log P of the last symbol of each gram of the highest order, given those before it."""
-        out, left, weight = np.full(len(codes), -BITS * np.log(2.0)), np.arange(len(codes)), np.zeros(len(codes))
+        out, left, weight = np.full(len(codes), -self.bits * np.log(2.0)), np.arange(len(codes)), np.zeros(len(codes))
         for k in range(len(self.orders), 0, -1):
             seen, values, contexts, rests = self.orders[k - 1]
             at, hit = _found(seen, codes)
             out[left[hit]] = weight[hit] + values[at[hit]]
             left, codes, weight = left[~hit], codes[~hit], weight[~hit]
-            at, hit = _found(contexts, codes >> BITS)
+            at, hit = _found(contexts, codes >> self.bits)
             weight[hit] += rests[at[hit]]
-            codes = codes & ((1 << (BITS * (k - 1))) - 1)
+            codes = codes & ((1 << (self.bits * (k - 1))) - 1)
         out[left] += weight
         return out
 
 
 def _sorted(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     table = pairs.toArrow()
-    keys = table.column(0).to_numpy().astype(np.int32)
+    keys = table.column(0).to_numpy()
+    keys = keys.astype(np.int32) if keys.max(initial=0) < 2**31 else keys
     order = np.argsort(keys)
     return keys[order], table.column(1).to_numpy().astype(np.float32)[order]
 
@@ -184,25 +188,25 @@ def _found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == asked
 
 
-def resolved(distinct: DataFrame, levels: list[DataFrame]) -> DataFrame:
+def resolved(distinct: DataFrame, levels: list[DataFrame], bits: int = BITS) -> DataFrame:
     """(gram, p) of distinct grams of the highest order: joins by gram, by context and, for the lower order, by suffix."""
     if not levels:
-        return distinct.select("gram", F.lit(1.0 / (1 << BITS)).alias("p"))
+        return distinct.select("gram", F.lit(1.0 / (1 << bits)).alias("p"))
     of, order = levels[-1], len(levels)
-    suffixes = distinct.select(_suffix(order).alias("gram")).distinct()
-    below = resolved(suffixes, levels[:-1]).select(F.col("gram").alias("suffix"), F.col("p").alias("below"))
-    placed = distinct.withColumns({"context": F.shiftright("gram", BITS), "suffix": _suffix(order)})
-    joined = placed.join(of.select("gram", F.col("p").alias("own")), "gram", "left").join(_contexts(of), "context", "left").join(below, "suffix")
+    suffixes = distinct.select(_suffix(order, bits).alias("gram")).distinct()
+    below = resolved(suffixes, levels[:-1], bits).select(F.col("gram").alias("suffix"), F.col("p").alias("below"))
+    placed = distinct.withColumns({"context": F.shiftright("gram", bits), "suffix": _suffix(order, bits)})
+    joined = placed.join(of.select("gram", F.col("p").alias("own")), "gram", "left").join(_contexts(of, bits), "context", "left").join(below, "suffix")
     return joined.select("gram", F.coalesce("own", F.coalesce("rest", F.lit(1.0)) * F.col("below")).alias("p"))
 
 
-def _mean_log(tables: Broadcast, order: int):
+def _mean_log(tables: Broadcast, order: int, bits: int):
     @F.arrow_udf(T.DoubleType())
     def mean_log(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
             texts, out = bytes_of(column), np.zeros(len(column))
             for a, b in small_runs(texts):
-                codes, sizes = grams(texts[a:b], order)
+                codes, sizes = grams(texts[a:b], order, bits)
                 sums = np.bincount(np.repeat(np.arange(b - a), sizes), tables.value.log_p(codes), b - a)
                 out[a:b] = sums / np.maximum(sizes, 1)
             yield pa.array(out)
@@ -210,22 +214,22 @@ def _mean_log(tables: Broadcast, order: int):
     return mean_log
 
 
-def _gram_rows(order: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gram_rows(order: int, bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h1, h2, gram, n) of each text's distinct grams."""
     for batch in batches:
         texts = bytes_of(batch.column(2))
         for a, b in small_runs(texts):
-            codes, sizes = grams(texts[a:b], order)
-            both, n = np.unique(np.repeat(np.arange(b - a, dtype=np.int64), sizes) << (BITS * order) | codes, return_counts=True)
-            row, gram = pa.array(a + (both >> (BITS * order))), both & ((1 << (BITS * order)) - 1)
+            codes, sizes = grams(texts[a:b], order, bits)
+            both, n = np.unique(np.repeat(np.arange(b - a, dtype=np.int64), sizes) << (bits * order) | codes, return_counts=True)
+            row, gram = pa.array(a + (both >> (bits * order))), both & ((1 << (bits * order)) - 1)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(gram), pa.array(n)], names=["h1", "h2", "gram", "n"])
 
 
-def _joined_mean_log(documents: DataFrame, levels: list[DataFrame], text: F.Column) -> DataFrame:
+def _joined_mean_log(documents: DataFrame, levels: list[DataFrame], text: F.Column, bits: int) -> DataFrame:
     """(h1, h2, mean_log) of each distinct text: its grams are joined to the levels, sharded by gram."""
     texts = documents.select(*_text_key(text), text.alias("text")).where("text <> ''").dropDuplicates(["h1", "h2"])
-    rows = stored(texts.mapInArrow(functools.partial(_gram_rows, len(levels)), "h1 long, h2 long, gram long, n long"), "document-grams")
-    known = stored(resolved(rows.select("gram").distinct(), levels), "resolved-grams")
+    rows = stored(texts.mapInArrow(functools.partial(_gram_rows, len(levels), bits), "h1 long, h2 long, gram long, n long"), "document-grams")
+    known = stored(resolved(rows.select("gram").distinct(), levels, bits), "resolved-grams")
     told = rows.join(known, "gram").groupBy("h1", "h2")
     return told.agg((F.sum(F.col("n") * F.log("p")) / F.sum("n")).alias("mean_log"))
 
@@ -242,6 +246,8 @@ class QualityModel:
     tables: Broadcast | None
     #: (lang, length_class, threshold): of a language and length; of a length (lang null); of all (both null).
     thresholds: DataFrame | None = None
+    #: Bits of its symbols.
+    bits: int = BYTE_BITS
 
 
 def _length_class(text: F.Column) -> F.Column:
@@ -250,11 +256,11 @@ def _length_class(text: F.Column) -> F.Column:
     return F.least(F.greatest(F.floor(F.log2(F.octet_length(text) + 1)), F.lit(low)), F.lit(high)).cast("int")
 
 
-def language_model(trusted: DataFrame, order: int = ORDER, broadcast_bytes: int = BROADCAST_BYTES) -> QualityModel:
+def language_model(trusted: DataFrame, order: int = ORDER, broadcast_bytes: int = BROADCAST_BYTES, bits: int = BITS) -> QualityModel:
     """A model of the column text, without thresholds."""
-    levels = train(trusted, order)
+    levels = train(trusted, order, bits)
     size = 16 * sum(of.count() for of in levels)  # a gram and at most a context, of eight bytes each
-    return QualityModel(levels, trusted.sparkSession.sparkContext.broadcast(Tables(levels)) if size <= broadcast_bytes else None)
+    return QualityModel(levels, trusted.sparkSession.sparkContext.broadcast(Tables(levels, bits)) if size <= broadcast_bytes else None, bits=bits)
 
 
 def with_perplexity(documents: DataFrame, model: QualityModel, text_column: str = "text", column: str = "perplexity") -> DataFrame:
@@ -264,8 +270,8 @@ def with_perplexity(documents: DataFrame, model: QualityModel, text_column: str
     """
     text = text_of(text_column)
     if model.tables is not None:
-        return documents.withColumn(column, F.when(text != "", F.exp(-_mean_log(model.tables, len(model.levels))(text))))
-    told = _joined_mean_log(documents, model.levels, text).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.exp(-F.col("mean_log")).alias("_perplexity"))
+        return documents.withColumn(column, F.when(text != "", F.exp(-_mean_log(model.tables, len(model.levels), model.bits)(text))))
+    told = _joined_mean_log(documents, model.levels, text, model.bits).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.exp(-F.col("mean_log")).alias("_perplexity"))
     h1, h2 = _text_key(text)
     joined = documents.join(told, (h1 == F.col("_h1")) & (h2 == F.col("_h2")), "left")
     return joined.withColumn(column, F.when(text != "", F.col("_perplexity"))).drop("_h1", "_h2", "_perplexity")
@@ -284,7 +290,7 @@ def fit(documents: DataFrame, trusted_ids: DataFrame, id_column: str = "doc_id",
     text = documents.select(F.col(id_column).alias("_id"), text_of(text_column).alias("text"), F.col(lang_column).cast("string").alias("lang"))
     trusted = text.join(side, "_id", "left_semi").where("text <> ''")
     held = F.pmod(F.xxhash64("_id"), F.lit(HELD_OUT)) == 0
-    model = language_model(trusted.where(~held), order, broadcast_bytes)
+    model = language_model(trusted.where(~held), order, broadcast_bytes, BYTE_BITS)
     scored = with_perplexity(trusted.where(held), model)
     told = stored(scored.select("lang", _length_class(F.col("text")).alias("length_class"), "perplexity"), "trusted-perplexities")
     value, n = F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"), F.count("*").alias("n")
