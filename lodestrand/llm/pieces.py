@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -13,14 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import GrowingRows, WordIndex, bytes_of, gather_ranges, small_runs, text_of
+from .common import GrowingRows, WordIndex, bytes_of, gather_ranges, small_runs, sums_of_runs, text_of, worker_table
 
 MODEL = "piece_bpe_32k.model"
 #: Sharpness: 0 makes all segmentations equally likely; large values leave only the best one.
 ALPHA = 1.0
 SEED = 0
-#: Edges of word lattices that a worker keeps (results do not depend on it).
-EDGE_LIMIT = 5_000_000
+#: Edges of word lattices that a worker keeps, of nine bytes each (results do not depend on it).
+EDGE_LIMIT = 3_000_000
+#: Characters whose lattices are worked on at one time (results do not depend on it).
+RUN_CHARS = 1 << 17
 
 #: No piece has anything but these signs before a space sign or across a line feed, so
 #: the lattice of a text falls apart into these units.
@@ -42,7 +44,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """The pieces as a trie in arrays, their log weights and their bytes.
+    """The pieces' bytes and log weights.
 
     A model of merges has ranks, not probabilities: a piece of rank r weighs 1 / (r + 3),
     as words by frequency do, and a character without a piece weighs as its byte pieces.
@@ -53,11 +55,10 @@ class Vocabulary:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
-        self.byte_id = np.zeros(256, np.int64)
+        self.byte_id = np.zeros(256, np.int32)
         self.bytes: list[bytes] = []
-        steps: dict[tuple[int, int], int] = {}
-        self.piece_at = [-1]
         ranked = sorted((i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))), key=lambda i: -model.get_score(i))
+        self.ranked, self.names = ranked, {i: model.id_to_piece(i) for i in ranked}
         self.weight = np.full(size, -np.log(size + 3.0))
         self.weight[ranked] = -np.log(np.arange(len(ranked)) + 3.0)
         for i in range(size):
@@ -67,137 +68,134 @@ class Vocabulary:
                 self.bytes.append(bytes([int(piece[3:5], 16)]))
             else:
                 self.bytes.append(b"" if model.is_control(i) or model.is_unknown(i) else piece.replace(chr(_SPACE_SIGN), " ").encode())
-        for i in ranked:
-            node = 0
-            for c in map(ord, model.id_to_piece(i)):
-                node = steps.setdefault((node, c), len(self.piece_at))
-                if node == len(self.piece_at):
-                    self.piece_at.append(-1)
-            self.piece_at[node] = i
-        keys = np.array([n << 21 | c for n, c in steps], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.next = keys[order], np.array(list(steps.values()), np.int64)[order]
-        self.piece_at = np.array(self.piece_at, np.int64)
         self.length = np.array(list(map(len, self.bytes)), np.int64)
         self.blob = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.offset = np.cumsum(self.length) - self.length
 
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The text of a row's ids, without the space that went before it."""
+        return self.blob[gather_ranges(self.offset[ids], self.length[ids])].tobytes()[1:]
+
+
+class Trie:
+    """The pieces by their characters, in arrays."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        steps: dict[int, int] = {}
+        piece_at = [-1]
+        for i in vocabulary.ranked:
+            node = 0
+            for c in map(ord, vocabulary.names[i]):
+                node = steps.setdefault(node << 21 | c, len(piece_at))
+                if node == len(piece_at):
+                    piece_at.append(-1)
+            piece_at[node] = i
+        keys = np.fromiter(steps.keys(), np.int64, len(steps))
+        order = np.argsort(keys)
+        self.keys, self.next = keys[order], np.fromiter(steps.values(), np.int64, len(steps))[order]
+        self.piece_at = np.array(piece_at, np.int64)
+        self.longest = max(map(len, vocabulary.names.values()), default=1)
+
     def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
         """The next node of each, -1 if there is none."""
         key = node << 21 | char
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.next[at], -1)
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The text of a row's ids, without the space that went before it."""
-        return self.blob[gather_ranges(self.offset[ids], self.length[ids])].tobytes()[1:]
+    def edges(self, chars: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length, piece) of all pieces found in ``chars``, none going beyond its start's ``stop``."""
+        start, node, found = np.arange(len(chars)), np.zeros(len(chars), np.int64), []
+        for length in range(1, self.longest + 1):
+            inside = start + length <= stop[start]
+            start, node = start[inside], node[inside]
+            node = self.step(node, chars[start + length - 1])
+            start, node = start[node >= 0], node[node >= 0]
+            if not len(start):
+                break
+            piece = self.piece_at[node]
+            found.append((start[piece >= 0], np.full(int((piece >= 0).sum()), length), piece[piece >= 0]))
+        return tuple(np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in range(3))
+
+
+def _octets(points: np.ndarray) -> np.ndarray:
+    """Bytes of UTF-8 that each code point takes."""
+    return 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
 
 
 class Sampler:
-    """Forward filtering of each distinct unit once, backward sampling of each of its occurrences."""
+    """Forward filtering of each distinct unit once, backward sampling of each of its occurrences.
+
+    What is kept of a unit: for each of its positions the edges that end there, shortest
+    first, with the summed probability up to each.
+    """
 
-    def __init__(self, path: str, alpha: float) -> None:
-        self.vocabulary, self.alpha = Vocabulary(path), alpha
+    def __init__(self, vocabulary: Vocabulary, alpha: float) -> None:
+        self.vocabulary, self.trie, self.alpha = vocabulary, Trie(vocabulary), alpha
         self._forget()
 
     def _forget(self) -> None:
         self.units = WordIndex()
-        self.end, self.first = GrowingRows(np.int64), GrowingRows(np.int64)  # of units: last position; of positions: first edge
-        self.reach, self.back = GrowingRows(np.float32), GrowingRows(np.int32)  # of edges: summed probability, positions gone back
-        self.emit, self.count = GrowingRows(np.int64), GrowingRows(np.int32)
-        self.ids = GrowingRows(np.int32)
+        self.end, self.first = GrowingRows(np.int32), GrowingRows(np.int32)  # of units: last position; of positions: first edge
+        self.reach, self.back = GrowingRows(np.float32), GrowingRows(np.uint8 if self.trie.longest < 256 else np.int32)
+        self.emits = GrowingRows(np.int32)  # a piece, or the complement of a character that has none
 
-    def _edges(self, units: list[str]) -> tuple[np.ndarray, ...]:
-        """(unit, start, end, weight, piece) of each edge, characters counted over all units; piece -1: as bytes."""
+    def _learn(self, units: list[str]) -> None:
         v = self.vocabulary
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         raw = np.frombuffer("".join(units).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
         chars = np.where(raw == 32, _SPACE_SIGN, np.where(raw == _SPACE_SIGN, _NONE, raw))
         unit = np.repeat(np.arange(len(units)), sizes)
-        stop = np.cumsum(sizes)[unit]
-        start, node, found = np.arange(len(chars)), np.zeros(len(chars), np.int64), []
-        for length in range(1, len(chars) + 1):
-            inside = start + length <= stop[start]
-            start, node = start[inside], node[inside]
-            node = v.step(node, chars[start + length - 1])
-            start, node = start[node >= 0], node[node >= 0]
-            if not len(start):
-                break
-            piece = v.piece_at[node]
-            found.append((start[piece >= 0], np.full(int((piece >= 0).sum()), length), piece[piece >= 0]))
-        begin, length, piece = (np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in range(3))
+        offset = np.cumsum(sizes) - sizes
+        begin, length, piece = self.trie.edges(chars, (offset + sizes)[unit])
         lone = np.ones(len(chars), bool)
         lone[begin[length == 1]] = False
         lone = np.flatnonzero(lone)
-        octets = 1 + (raw[lone] >= 0x80) + (raw[lone] >= 0x800) + (raw[lone] >= 0x10000)
-        weight = np.concatenate([v.weight[piece], -np.log(len(v.weight) + 3.0) * octets]) * self.alpha
-        begin, length, piece = np.concatenate([begin, lone]), np.concatenate([length, np.ones(len(lone), np.int64)]), np.concatenate([piece, np.full(len(lone), -1)])
-        return unit[begin], begin, begin + length, weight, piece, raw
-
-    def _learn(self, units: list[str]) -> None:
-        unit, begin, end, weight, piece, raw = self._edges(units)
-        sizes = np.fromiter(map(len, units), np.int64, len(units))
-        offset = np.cumsum(sizes) - sizes
-        source, target = begin + unit, end + unit  # a unit of n characters has n + 1 positions
-        depth = end - offset[unit]
-        order = np.lexsort((target, depth))
-        unit, source, target, weight, piece, depth, begin = (x[order] for x in (unit, source, target, weight, piece, depth, begin))
-        forward = np.zeros(int(sizes.sum()) + len(units))
-        reach = np.empty(len(target))
-        cuts = np.searchsorted(depth, np.arange(1, int(depth.max(initial=0)) + 2))
+        weight = np.concatenate([v.weight[piece], -np.log(len(v.weight) + 3.0) * _octets(raw[lone])]) * self.alpha
+        emits = np.concatenate([piece, ~raw[lone]]).astype(np.int32)
+        begin, length = np.concatenate([begin, lone]), np.concatenate([length, np.ones(len(lone), np.int64)])
+        # Edges by their last character, shortest first; a unit of n characters has n + 1 positions.
+        order = np.lexsort((length, begin + length))
+        begin, length, weight, emits = begin[order], length[order], weight[order], emits[order]
+        last = begin + length - 1
+        heads = np.searchsorted(last, np.arange(len(chars) + 1))
+        forward, reach = np.zeros(len(chars) + len(units)), np.empty(len(last), np.float32)
+        depth = np.arange(len(chars)) - offset[unit]
+        by_depth = np.argsort(depth, kind="stable")
+        cuts = np.searchsorted(depth[by_depth], np.arange(int(sizes.max(initial=0)) + 1))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            value = forward[source[a:b]] + weight[a:b]
-            heads = np.flatnonzero(np.concatenate([[True], target[a + 1 : b] != target[a : b - 1]]))
-            spread = np.diff(np.append(heads, b - a))
-            top = np.maximum.reduceat(value, heads)
-            share = np.exp(value - np.repeat(top, spread))
-            total = np.add.reduceat(share, heads)
-            forward[target[a:b][heads]] = top + np.log(total)
-            share /= np.repeat(total, spread)
-            summed = np.cumsum(share)
-            reach[a:b] = summed - np.repeat(summed[heads] - share[heads], spread)
-            reach[a:b][np.append(heads[1:], b - a) - 1] = 2.0  # the last edge takes what rounding leaves
-        order = np.argsort(target, kind="stable")
+            at = by_depth[a:b]
+            spread = heads[at + 1] - heads[at]
+            mine = gather_ranges(heads[at], spread)
+            row, column = np.repeat(np.arange(b - a), spread), gather_ranges(np.zeros(b - a, np.int64), spread)
+            value = np.full((b - a, int(spread.max())), -np.inf)
+            value[row, column] = forward[(begin + unit[begin])[mine]] + weight[mine]
+            top = value.max(axis=1)
+            summed = np.cumsum(np.exp(value - top[:, None]), axis=1)
+            forward[at + unit[at] + 1] = top + np.log(summed[:, -1])
+            reach[mine] = (summed / summed[:, -1:])[row, column]
+        reach[heads[1:] - 1] = 2.0  # the last edge takes what rounding leaves
         first = np.zeros(len(forward), np.int64)
-        sorted_target = target[order]
-        heads = np.flatnonzero(np.concatenate([[True], sorted_target[1:] != sorted_target[:-1]])) if len(order) else np.zeros(0, np.int64)
-        first[sorted_target[heads]] = heads + self.reach.size
-        piece, begin = piece[order], begin[order]
-        lone = np.flatnonzero(piece < 0)
-        octets = [chr(c).encode("utf-8", "replace") for c in raw[begin[lone]].tolist()]
-        counts = np.ones(len(piece), np.int64)
-        counts[lone] = list(map(len, octets))
-        emit = np.cumsum(counts) - counts
-        ids = np.empty(int(counts.sum()), np.int32)
-        ids[emit[piece >= 0]] = piece[piece >= 0]
-        ids[gather_ranges(emit[lone], counts[lone])] = self.vocabulary.byte_id[np.frombuffer(b"".join(octets), np.uint8)]
+        first[np.arange(len(chars)) + unit + 1] = heads[:-1] + self.reach.size
         self.end.extend(self.first.size + np.cumsum(sizes + 1) - 1)
         self.first.extend(first)
-        self.reach.extend(reach[order].astype(np.float32))
-        self.back.extend((target - source)[order].astype(np.int32))
-        self.emit.extend(self.ids.size + emit)
-        self.count.extend(counts.astype(np.int32))
-        self.ids.extend(ids)
+        self.reach.extend(reach)
+        self.back.extend(length)
+        self.emits.extend(emits)
 
-    def sample(self, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after the other, and how many each has. A text's draws depend on its seed alone."""
+    def _draw(self, units: list[str], state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all units, one after the other, and how many each has."""
         if self.reach.size > EDGE_LIMIT:
             self._forget()
-        split = [UNITS.findall(" " + t) for t in texts]
-        numbers = self.units.numbers([u for s in split for u in s])
-        if fresh := self.units.take_fresh():
-            self._learn(fresh)
-        per_text = np.fromiter(map(len, split), np.int64, len(split))
-        place = gather_ranges(np.zeros(len(split), np.int64), per_text)
-        state = _mixed(np.repeat(seeds, per_text) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        # A unit's last position less its length is its first: going back ends there.
-        position = self.end.data[numbers]
-        start = np.where(numbers > 0, self.end.data[np.maximum(numbers - 1, 0)] + 1, 0)
-        taken, who, active, turn = [], [], np.arange(len(numbers)), np.zeros(len(numbers), np.int64)
-        step = 0
+        numbers = self.units.numbers(units)
+        fresh = self.units.take_fresh()
+        for a, b in small_runs(fresh, RUN_CHARS):
+            self._learn(fresh[a:b])
+        position = self.end.data[numbers].astype(np.int64)
+        start = position - np.fromiter(map(len, units), np.int64, len(units))
+        taken, who, active, turn, step = [], [], np.arange(len(units)), np.zeros(len(units), np.int64), 0
         while len(active):
             draw = (_mixed(state[active] + np.uint64((step * 0xD1B54A32D192ED03) % 2**64)) >> np.uint64(40)).astype(np.float32) * np.float32(2**-24)
-            edge = self.first.data[position]
+            edge = self.first.data[position].astype(np.int64)
             more = np.flatnonzero(draw >= self.reach.data[edge])
             while len(more):
                 edge[more] += 1
@@ -213,33 +211,75 @@ class Sampler:
         last = np.cumsum(turn) - 1
         for k, (edge, mine) in enumerate(zip(taken, who, strict=True)):
             edges[last[mine] - k] = edge
-        count = self.count.data[edges].astype(np.int64)
-        ids = self.ids.data[gather_ranges(self.emit.data[edges], count)]
-        before = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(turn)])]
-        return ids, np.diff(before[np.concatenate([[0], np.cumsum(per_text)])])
+        emits = self.emits.data[edges]
+        lone = np.flatnonzero(emits < 0)
+        points = ~emits[lone]
+        count = np.ones(len(emits), np.int64)
+        count[lone] = _octets(points)
+        ids = np.repeat(emits, count)
+        octets = "".join(map(chr, points.tolist())).encode("utf-8", "replace")
+        ids[gather_ranges((np.cumsum(count) - count)[lone], count[lone])] = self.vocabulary.byte_id[np.frombuffer(octets, np.uint8)]
+        return ids, sums_of_runs(count, turn)
+
+    def sample(self, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has. A text's draws depend on its seed alone."""
+        parts = list(self.samples(texts, seeds))
+        return np.concatenate([np.zeros(0, np.int32), *(ids for ids, _ in parts)]), sum((n for _, n in parts), np.zeros(len(texts), np.int64))
+
+    def samples(self, texts: list[str], seeds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The ids of all texts, and how many each has, for runs of texts; a long text's ids may come in several parts.
+
+        What is held at one time is bounded by ``RUN_CHARS``, unless a single unit is longer.
+        """
+        for a, b in small_runs(texts, RUN_CHARS):
+            split = [UNITS.findall(" " + t) for t in texts[a:b]]
+            per_text = np.fromiter(map(len, split), np.int64, b - a)
+            owner = np.repeat(np.arange(b - a), per_text)
+            place = gather_ranges(np.zeros(b - a, np.int64), per_text).astype(np.uint64)
+            state = _mixed(seeds[a:b][owner] + place * np.uint64(0x9E3779B97F4A7C15))
+            units = list(itertools.chain.from_iterable(split))
+            for i, j in small_runs(units, RUN_CHARS):
+                ids, count = self._draw(units[i:j], state[i:j])
+                yield ids, np.concatenate([np.zeros(a, np.int64), np.bincount(owner[i:j], count, len(texts) - a).astype(np.int64)])
+
+
+class _Kept:
+    """What a worker keeps of a model: the pieces, and a sampler where one was asked for."""
+
+    def __init__(self, path: str) -> None:
+        self.vocabulary = Vocabulary(path)
+        self.samplers: dict[float, Sampler] = {}
+
+    def sampler(self, alpha: float) -> Sampler:
+        if alpha not in self.samplers:
+            self.samplers = {alpha: Sampler(self.vocabulary, alpha)}
+        return self.samplers[alpha]
+
+
+def _kept(path: str) -> _Kept:
+    return worker_table(("pieces", path), lambda: _Kept(path))
 
 
-@functools.lru_cache(maxsize=2)
 def sampler(path: str, alpha: float) -> Sampler:
-    return Sampler(path, alpha)
+    return _kept(path).sampler(alpha)
 
 
-@functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    return _kept(path).vocabulary
 
 
 def _encode(path: str, alpha: float, seed: int):
     @F.arrow_udf(T.BinaryType())
     def encode(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for keys, texts in batches:
-            keys, texts, out = keys.to_pylist(), texts.to_pylist(), []
-            for a, b in small_runs(texts):
-                seeds = np.fromiter((xxhash.xxh64_intdigest(str(k), seed) for k in keys[a:b]), np.uint64, b - a)
-                ids, counts = sampler(path, alpha).sample(texts[a:b], seeds)
-                stops = np.cumsum(counts).tolist()
-                out += [ids[i:j].astype("<i4").tobytes() for i, j in zip([0, *stops[:-1]], stops, strict=True)]
-            yield pa.array(out, pa.binary())
+            plain = [t.decode("utf-8", "replace") for t in bytes_of(texts)]
+            seeds = np.fromiter((xxhash.xxh64_intdigest(str(k), seed) for k in keys.to_pylist()), np.uint64, len(plain))
+            data, sizes = [], np.zeros(len(plain), np.int64)
+            for ids, count in sampler(path, alpha).samples(plain, seeds):
+                data.append(ids.astype("<i4").tobytes())
+                sizes += count
+            offsets = np.concatenate([[0], np.cumsum(sizes * 4)]).astype(np.int32)
+            yield pa.Array.from_buffers(pa.binary(), len(plain), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(data))])
 
     return encode
 
@@ -253,8 +293,9 @@ def encode(documents: DataFrame, id_column: str = "doc_id", text_column: str = "
     id alone, not on partitions or neighbours, so a retried task gives the same ids.
 
     Nulls: a null text counts as empty and has no ids; rows with a null id share one
-    key. Long texts are encoded whole. Rows that repeat have equal ids. An empty table
-    gives no rows. All columns pass through; one named ``column`` is replaced.
+    key. Long texts are encoded whole, some ``RUN_CHARS`` at a time. Rows that repeat have
+    equal ids. An empty table gives no rows. All columns pass through; one named ``column``
+    is replaced. Bytes that are no UTF-8 count as U+FFFD.
     """
     key = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
     return documents.withColumn(column, _encode(model or model_path(), alpha, seed)(key, text_of(text_column)))
@@ -270,7 +311,12 @@ def _decode(path: str):
 
 
 def decode(encoded: DataFrame, ids_column: str = "ids", model: str | None = None, column: str = "decoded") -> DataFrame:
-    """``encoded`` with the text of its ids: exactly the text that was encoded, whatever the segmentation."""
+    """``encoded`` with the text of its ids: exactly the text that was encoded, whatever the segmentation.
+
+    Nulls: null ids have a null text. No ids are the empty text. Repeated rows get equal
+    texts. An empty table gives no rows. All columns pass through; one named ``column``
+    is replaced.
+    """
     return encoded.withColumn(column, _decode(model or model_path())(F.col(ids_column)))
 
 
