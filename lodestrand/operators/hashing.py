@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sequence_hash
-from ..llm.common import stored
+from ..storage import stored
 
 
 def indexed(df: DataFrame, column: str, *order: str, by: str | None = "file") -> DataFrame:
