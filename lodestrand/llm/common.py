@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_folder, stored
+
+__all__ = ["GrowingRows", "WordIndex", "bytes_of", "gather_ranges", "shared_folder", "small_runs", "stored", "sums_of_runs", "text_of", "worker_table"]
+
 #: Characters of text that a Python worker holds as words at one time.
 CHUNK_CHARS = 1 << 20
 
@@ -19,31 +20,6 @@ CHUNK_CHARS = 1 << 20
 WORD_LIMIT = 300_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as
-    in local tests, a temporary folder of this machine takes its place.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='lodestrand-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again.
-
-    This cuts lineage: a lost executor costs no more than the tasks it ran, and no
-    later job repeats the work. The files live as long as the shared folder.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lodestrand/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_of(column: str = "text"):
     """The text column, null taken as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
