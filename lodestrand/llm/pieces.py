@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,11 @@ SEED = 0
 EDGE_LIMIT = 3_000_000
 #: Characters whose lattices are worked on at one time (results do not depend on it).
 RUN_CHARS = 1 << 17
+#: Units of more characters are filtered one by one, and the last so many units of a run are walked back one by one (the way does not matter to the draws).
+LONG_UNIT = 200
+FEW = 4
+#: Bytes of texts (or ids) whose results go back to Spark at one time.
+SLICE_BYTES = 1 << 21
 
 #: No piece has anything but these signs before a space sign or across a line feed, so
 #: the lattice of a text falls apart into these units.
@@ -139,9 +146,8 @@ class Sampler:
         self.reach, self.back = GrowingRows(np.float32), GrowingRows(np.uint8 if self.trie.longest < 256 else np.int32)
         self.emits = GrowingRows(np.int32)  # a piece, or the complement of a character that has none
 
-    def _learn(self, units: list[str]) -> None:
+    def _learn(self, units: list[str], sizes: np.ndarray) -> None:
         v = self.vocabulary
-        sizes = np.fromiter(map(len, units), np.int64, len(units))
         raw = np.frombuffer("".join(units).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
         chars = np.where(raw == 32, _SPACE_SIGN, np.where(raw == _SPACE_SIGN, _NONE, raw))
         unit = np.repeat(np.arange(len(units)), sizes)
@@ -160,8 +166,12 @@ class Sampler:
         heads = np.searchsorted(last, np.arange(len(chars) + 1))
         forward, reach = np.zeros(len(chars) + len(units)), np.empty(len(last), np.float32)
         depth = np.arange(len(chars)) - offset[unit]
-        by_depth = np.argsort(depth, kind="stable")
-        cuts = np.searchsorted(depth[by_depth], np.arange(int(sizes.max(initial=0)) + 1))
+        long = sizes > LONG_UNIT
+        for u in np.flatnonzero(long).tolist():
+            self._filter(int(offset[u]), int(offset[u] + sizes[u]), heads, length, weight, reach)
+        by_depth = np.flatnonzero(~long[unit])
+        by_depth = by_depth[np.argsort(depth[by_depth], kind="stable")]
+        cuts = np.searchsorted(depth[by_depth], np.arange(int(sizes[~long].max(initial=0)) + 1))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             at = by_depth[a:b]
             spread = heads[at + 1] - heads[at]
@@ -182,18 +192,30 @@ class Sampler:
         self.back.extend(length)
         self.emits.extend(emits)
 
-    def _draw(self, units: list[str], state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def _filter(a: int, b: int, heads: np.ndarray, length: np.ndarray, weight: np.ndarray, reach: np.ndarray) -> None:
+        """Forward filtering of one long unit, the characters a to b, position by position."""
+        forward, at, back, w, out = [0.0], heads[a : b + 1].tolist(), length[heads[a] : heads[b]].tolist(), weight[heads[a] : heads[b]].tolist(), []
+        low = at[0]
+        for j in range(1, b - a + 1):
+            value = [forward[j - back[e]] + w[e] for e in range(at[j - 1] - low, at[j] - low)]
+            top = max(value)
+            summed = list(itertools.accumulate(math.exp(v - top) for v in value))
+            forward.append(top + math.log(summed[-1]))
+            out += [x / summed[-1] for x in summed]
+        reach[heads[a] : heads[b]] = out
+
+    def _draw(self, units: list[str], sizes: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all units, one after the other, and how many each has."""
         if self.reach.size > EDGE_LIMIT:
             self._forget()
         numbers = self.units.numbers(units)
-        fresh = self.units.take_fresh()
-        for a, b in small_runs(fresh, RUN_CHARS):
-            self._learn(fresh[a:b])
+        if fresh := self.units.take_fresh():
+            self._learn(fresh, np.fromiter(map(len, fresh), np.int64, len(fresh)))
         position = self.end.data[numbers].astype(np.int64)
-        start = position - np.fromiter(map(len, units), np.int64, len(units))
+        start = position - sizes
         taken, who, active, turn, step = [], [], np.arange(len(units)), np.zeros(len(units), np.int64), 0
-        while len(active):
+        while len(active) > FEW:
             draw = (_mixed(state[active] + np.uint64((step * 0xD1B54A32D192ED03) % 2**64)) >> np.uint64(40)).astype(np.float32) * np.float32(2**-24)
             edge = self.first.data[position].astype(np.int64)
             more = np.flatnonzero(draw >= self.reach.data[edge])
@@ -207,10 +229,15 @@ class Sampler:
             left = position > start
             active, position, start = active[left], position[left], start[left]
             step += 1
+        # What is left when most units are done: a few long ones, each walked back by itself.
+        alone = [self._walk(int(s), step, int(p), int(q)) for s, p, q in zip(state[active], position, start, strict=True)]
+        turn[active] += np.array(list(map(len, alone)), np.int64)
         edges = np.empty(int(turn.sum()), np.int64)
         last = np.cumsum(turn) - 1
         for k, (edge, mine) in enumerate(zip(taken, who, strict=True)):
             edges[last[mine] - k] = edge
+        for u, walked in zip(active.tolist(), alone, strict=True):
+            edges[last[u] - step - np.arange(len(walked))] = walked
         emits = self.emits.data[edges]
         lone = np.flatnonzero(emits < 0)
         points = ~emits[lone]
@@ -221,6 +248,20 @@ class Sampler:
         ids[gather_ranges((np.cumsum(count) - count)[lone], count[lone])] = self.vocabulary.byte_id[np.frombuffer(octets, np.uint8)]
         return ids, sums_of_runs(count, turn)
 
+    def _walk(self, state: int, step: int, position: int, start: int) -> list[int]:
+        """The edges from a position back to its unit's start."""
+        first, reach, back, walked, mask = self.first.data, self.reach.data, self.back.data, [], 2**64 - 1
+        while position > start:
+            x = (state + step * 0xD1B54A32D192ED03) & mask
+            x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+            x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+            draw, edge = ((x ^ (x >> 31)) >> 40) * 2.0**-24, int(first[position])
+            while draw >= reach[edge]:
+                edge += 1
+            walked.append(edge)
+            position, step = position - int(back[edge]), step + 1
+        return walked
+
     def sample(self, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each has. A text's draws depend on its seed alone."""
         parts = list(self.samples(texts, seeds))
@@ -234,12 +275,15 @@ class Sampler:
         for a, b in small_runs(texts, RUN_CHARS):
             split = [UNITS.findall(" " + t) for t in texts[a:b]]
             per_text = np.fromiter(map(len, split), np.int64, b - a)
+            units = split[0] if b - a == 1 else list(itertools.chain.from_iterable(split))
+            sizes = np.fromiter(map(len, units), np.int64, len(units))
             owner = np.repeat(np.arange(b - a), per_text)
             place = gather_ranges(np.zeros(b - a, np.int64), per_text).astype(np.uint64)
             state = _mixed(seeds[a:b][owner] + place * np.uint64(0x9E3779B97F4A7C15))
-            units = list(itertools.chain.from_iterable(split))
-            for i, j in small_runs(units, RUN_CHARS):
-                ids, count = self._draw(units[i:j], state[i:j])
+            run = (np.cumsum(sizes) - sizes) // RUN_CHARS
+            cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(units)]
+            for i, j in itertools.pairwise(cuts):
+                ids, count = self._draw(units[i:j], sizes[i:j], state[i:j])
                 yield ids, np.concatenate([np.zeros(a, np.int64), np.bincount(owner[i:j], count, len(texts) - a).astype(np.int64)])
 
 
@@ -268,22 +312,51 @@ def vocabulary(path: str) -> Vocabulary:
     return _kept(path).vocabulary
 
 
+def _encoded(path: str, alpha: float, seed: int, keys: list, texts: list[bytes]) -> pa.Array:
+    """The ids of each text as bytes."""
+    plain = [t.decode("utf-8", "replace") for t in texts]
+    seeds = np.fromiter((xxhash.xxh64_intdigest(str(k), seed) for k in keys), np.uint64, len(plain))
+    data, sizes = [], np.zeros(len(plain), np.int64)
+    for ids, count in sampler(path, alpha).samples(plain, seeds):
+        data.append(ids.astype("<i4").tobytes())
+        sizes += count
+    offsets = np.concatenate([[0], np.cumsum(sizes * 4)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(plain), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(data))])
+
+
+def _decoded(path: str, rows: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else vocabulary(path).decode(np.frombuffer(x, "<i4")) for x in rows.to_pylist()], pa.binary()).cast(pa.string())
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Parts of a batch of about ``SLICE_BYTES``, with their places: results go back a part at a time."""
+    ends = np.cumsum(np.nan_to_num(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False)))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // SLICE_BYTES)) + 1).tolist(), len(texts)]
+    for a, b in itertools.pairwise(cuts):
+        yield a, texts.slice(a, b - a)
+
+
 def _encode(path: str, alpha: float, seed: int):
     @F.arrow_udf(T.BinaryType())
     def encode(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for keys, texts in batches:
-            plain = [t.decode("utf-8", "replace") for t in bytes_of(texts)]
-            seeds = np.fromiter((xxhash.xxh64_intdigest(str(k), seed) for k in keys.to_pylist()), np.uint64, len(plain))
-            data, sizes = [], np.zeros(len(plain), np.int64)
-            for ids, count in sampler(path, alpha).samples(plain, seeds):
-                data.append(ids.astype("<i4").tobytes())
-                sizes += count
-            offsets = np.concatenate([[0], np.cumsum(sizes * 4)]).astype(np.int32)
-            yield pa.Array.from_buffers(pa.binary(), len(plain), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(data))])
+            for a, part in _slices(texts):
+                yield _encoded(path, alpha, seed, keys.slice(a, len(part)).to_pylist(), bytes_of(part))
 
     return encode
 
 
+def _both(path: str, alpha: float, seed: int):
+    @F.arrow_udf(T.StructType().add("ids", "binary").add("decoded", "string"))
+    def both(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for keys, texts in batches:
+            for a, part in _slices(texts):
+                ids = _encoded(path, alpha, seed, keys.slice(a, len(part)).to_pylist(), bytes_of(part))
+                yield pa.StructArray.from_arrays([ids, _decoded(path, ids)], ["ids", "decoded"])
+
+    return both
+
+
 def encode(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", alpha: float = ALPHA, seed: int = SEED, model: str | None = None, column: str = "ids") -> DataFrame:
     """``documents`` with the ids of a sampled segmentation (binary, 32-bit little-endian).
 
@@ -305,7 +378,8 @@ def _decode(path: str):
     @F.arrow_udf(T.StringType())
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            yield pa.array([None if x is None else vocabulary(path).decode(np.frombuffer(x, "<i4")) for x in column.to_pylist()], pa.binary()).cast(pa.string())
+            for _, part in _slices(column):
+                yield _decoded(path, part)
 
     return decode
 
@@ -320,9 +394,18 @@ def decode(encoded: DataFrame, ids_column: str = "ids", model: str | None = None
     return encoded.withColumn(column, _decode(model or model_path())(F.col(ids_column)))
 
 
+def round_trip(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", alpha: float = ALPHA, seed: int = SEED, model: str | None = None, column: str = "pieces") -> DataFrame:
+    """``documents`` with a struct of ids and decoded: ``encode`` and ``decode`` in one pass of one worker.
+
+    Nulls, repeated rows, long texts, empty tables and other columns as in ``encode``.
+    """
+    key = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
+    return documents.withColumn(column, _both(model or model_path(), alpha, seed)(key, text_of(text_column)))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's sampled ids by number and checksum, and whether decoding gives its text again."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text_of("text").alias("text"))
-    both = decode(encode(documents))
+    both = round_trip(documents).select("doc_id", "text", "pieces.ids", "pieces.decoded")
     size = (F.octet_length("ids") / 4).cast("long")
     return both.select("doc_id", size.alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("lossless"))
