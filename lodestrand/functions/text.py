@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..options import Options
@@ -78,9 +78,9 @@ def wrap_width(longest: Column, most: int) -> Column:
 
 
 def wrapped(residues: Column, width: Column) -> Column:
-    """The residues as an array of lines of ``width``."""
-    starts = F.sequence(F.lit(0), F.length(residues) - 1, width.cast("int"))
-    return F.when(residues == "", F.array().cast("array<string>")).otherwise(F.transform(starts, lambda i: F.substring(residues, i + 1, width.cast("int"))))
+    """The residues as an array of lines of ``width``, cut in one pass."""
+    lines = F.regexp_extract_all(residues, F.concat(F.lit("(?s).{1,"), width.cast("int").cast("string"), F.lit("}")), F.lit(0))
+    return F.when(residues == "", F.array().cast("array<string>")).otherwise(lines)
 
 
 def build_header(name: Column, description: Column, start: str = ">") -> Column:
@@ -113,54 +113,46 @@ def _class(characters: str) -> str:
     return re.sub(r"([\\\]\[^&-])", r"\\\1", characters)
 
 
-def _fallback(name: Column, options: Options) -> tuple[Column, Column]:
-    """Cut at a split character: the last one that leaves a short enough name, else the first one allowed."""
-    chars, most = options.long_name_split_chars, options.max_name_length
-    places = F.filter(F.sequence(F.lit(0), F.length(name) - 1), lambda i: (i >= MIN_SPLIT_INDEX) & F.lit(chars).contains(F.substring(name, i + 1, F.lit(1))))
-    cut = F.coalesce(F.array_max(F.filter(places, lambda i: i <= most)), F.array_min(places))
-    extra = F.rtrim(F.translate(F.substring(name, (cut + 2).cast("int"), F.length(name)), chars, "|" * len(chars)), F.lit("|"))
-    found = (F.size(places) > 0) & (extra != "")
-    return F.when(found, F.substring(name, F.lit(1), cut.cast("int"))).otherwise(name), F.when(found, extra).otherwise("")
-
-
-def repaired(name: Column, description: Column, options: Options) -> Column:
-    """A struct of name, description and the flags truncated, refs_removed, chars_replaced.
+def with_repair(entries: DataFrame, options: Options, name: str = "name", description: str = "description", column: str = "fixed") -> DataFrame:
+    """``entries`` with a struct of name, description and the flags truncated, refs_removed, chars_replaced.
 
     In order: known accessions and too long names lose what follows them to the
     description; unwanted characters go; further references go to the description.
+    Each step is a column of its own, so no step repeats the expressions of the one
+    before.
     """
-    first, following = _class(options.first_ref_separators), _class(options.subsequent_ref_separators)
-    too_long = F.length(name) > options.max_name_length
+    o, c = options, F.col
+    first, following = _class(o.first_ref_separators), _class(o.subsequent_ref_separators)
     no = F.lit(False)
-    known = no
-    truncated, refs = no, no
-    if options.split_known_accessions or options.truncate_long_names:
-        applies = F.lit(True) if options.split_known_accessions else too_long
-        patterns = [(p, F.lit(True)) for p in (IPI, GI, JGI)]
-        if options.truncate_long_names:
-            patterns.append((GENERIC.format(first=first, next=following), too_long))
-        match = [(when & name.rlike("(?sU)" + p), p) for p, when in patterns]
-        new, extra = (_fallback(name, options) if options.truncate_long_names else (name, F.lit("")))
-        new, extra = F.when(too_long, new).otherwise(name), F.when(too_long, extra).otherwise("")
-        for hit, p in reversed(match):
-            new = F.when(hit, F.regexp_extract(name, "(?sU)" + p, 1)).otherwise(new)
-            extra = F.when(hit, F.regexp_extract(name, "(?sU)" + p, 2)).otherwise(extra)
-        known = applies & (match[0][0] | match[1][0] | match[2][0])
-        moved = applies & (extra != "")
-        truncated, refs = moved & too_long, moved & ~too_long
-        name, description = F.when(moved, new).otherwise(name), F.when(moved, prepended(extra, description)).otherwise(description)
-    replaced = no
-    if options.invalid_name_chars:
-        chars = options.invalid_name_chars
-        tidy = F.translate(F.btrim(name, F.lit(chars)), chars, "_" * len(chars))
-        replaced = (tidy != name) & (F.length(tidy) >= 3)
-        name = F.when(replaced, tidy).otherwise(name)
-    if options.split_multiple_refs:
-        several = ~known & name.rlike("(?s)" + SEVERAL.format(first=first, next=following))
-        base = F.regexp_substr(name, F.lit(JGI_BASE))
-        second = F.regexp_extract(name, rf"(?s)^([^{first}]*[{first}][^{following}]*)[{following}](.*)$", 1)
-        kept = F.coalesce(base, second)
-        extra = F.substring(name, F.length(kept) + 2, F.length(name))
-        split = several & (kept != "") & (extra != "")
-        name, description, refs = F.when(split, kept).otherwise(name), F.when(split, prepended(extra, description)).otherwise(description), refs | split
-    return F.struct(name.alias("name"), F.regexp_replace(description, r"^[| ]+", "").alias("description"), truncated.alias("truncated"), refs.alias("refs_removed"), replaced.alias("chars_replaced"))
+    out = entries.withColumns({"_name": c(name), "_about": c(description), "_long": F.length(name) > o.max_name_length, "_known": no, "_cut": no, "_refs": no, "_tidied": no})
+    if o.split_known_accessions or o.truncate_long_names:
+        applies = F.lit(True) if o.split_known_accessions else c("_long")
+        patterns = [IPI, GI, JGI] + ([GENERIC.format(first=first, next=following)] if o.truncate_long_names else [])
+        # The number of the pattern that holds, the accessions before the general one.
+        out = out.withColumn("_which", F.coalesce(*(F.when(c("_name").rlike("(?sU)" + x) & (c("_long") if i == 3 else F.lit(True)), F.lit(i)) for i, x in enumerate(patterns)), F.lit(-1)))
+        part = lambda k: F.coalesce(*(F.when(c("_which") == i, F.regexp_extract("_name", "(?sU)" + x, k)) for i, x in enumerate(patterns)))
+        out = out.withColumns({"_known": applies & c("_which").between(0, 2), "_new": part(1), "_extra": part(2)})
+        if o.truncate_long_names:
+            # Cut at a split character: the last one that leaves a short enough name, else the first one allowed.
+            chars, most = o.long_name_split_chars, o.max_name_length
+            out = out.withColumn("_signs", F.when((c("_which") < 0) & c("_long"), F.split("_name", "")))
+            out = out.withColumn("_places", F.filter(F.transform("_signs", lambda x, i: F.when((i >= MIN_SPLIT_INDEX) & F.lit(chars).contains(x) & (x != ""), i)), lambda i: i.isNotNull()))
+            out = out.withColumn("_at", F.coalesce(F.array_max(F.filter("_places", lambda i: i <= most)), F.array_min("_places")))
+            out = out.withColumn("_rest", F.rtrim(F.translate(F.substring("_name", (c("_at") + 2).cast("int"), F.length("_name")), chars, "|" * len(chars)), F.lit("|")))
+            out = out.withColumns({"_new": F.coalesce("_new", F.substring("_name", F.lit(1), c("_at").cast("int"))), "_extra": F.coalesce("_extra", "_rest")})
+        out = out.withColumn("_moved", applies & (F.coalesce("_extra", F.lit("")) != ""))
+        out = out.withColumns({"_name": F.when(c("_moved"), c("_new")).otherwise(c("_name")), "_about": F.when(c("_moved"), prepended(c("_extra"), c("_about"))).otherwise(c("_about")), "_cut": c("_moved") & c("_long"), "_refs": c("_moved") & ~c("_long")})
+    if o.invalid_name_chars:
+        chars = o.invalid_name_chars
+        out = out.withColumn("_tidy", F.translate(F.btrim("_name", F.lit(chars)), chars, "_" * len(chars)))
+        out = out.withColumn("_tidied", (c("_tidy") != c("_name")) & (F.length("_tidy") >= 3))
+        out = out.withColumn("_name", F.when(c("_tidied"), c("_tidy")).otherwise(c("_name")))
+    if o.split_multiple_refs:
+        several = ~c("_known") & c("_name").rlike("(?s)" + SEVERAL.format(first=first, next=following))
+        second = F.regexp_extract("_name", rf"(?s)^([^{first}]*[{first}][^{following}]*)[{following}](.*)$", 1)
+        out = out.withColumn("_kept", F.when(several, F.coalesce(F.regexp_substr("_name", F.lit(JGI_BASE)), second)).otherwise(""))
+        out = out.withColumn("_extra", F.when(c("_kept") != "", F.substring("_name", F.length("_kept") + 2, F.length("_name"))).otherwise(""))
+        out = out.withColumn("_split", (c("_kept") != "") & (c("_extra") != ""))
+        out = out.withColumns({"_name": F.when(c("_split"), c("_kept")).otherwise(c("_name")), "_about": F.when(c("_split"), prepended(c("_extra"), c("_about"))).otherwise(c("_about")), "_refs": c("_refs") | c("_split")})
+    told = F.struct(c("_name").alias("name"), F.regexp_replace("_about", r"^[| ]+", "").alias("description"), c("_cut").alias("truncated"), c("_refs").alias("refs_removed"), c("_tidied").alias("chars_replaced"))
+    return out.select(*entries.columns, told.alias(column))

@@ -1,4 +1,4 @@
-"""A whole run: lines in; findings, counts, hashes, repaired records and reports out, all lazy."""
+"""A whole run: lines in; findings, counts, hashes, repaired records and reports out, each when it is asked for."""
 
 from __future__ import annotations
 
@@ -7,15 +7,20 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import build_header, repaired, sequence_hash, trimmed, wrap_width, wrapped
+from ..functions.text import build_header, sequence_hash, trimmed, with_repair, wrap_width, wrapped
 from ..operators import checks, dedup, hashing, records
 from ..options import Options
 from ..rules import messages
+from ..storage import stored
 from ..sources.files import file_ends, read_lines, split_lines
 
 
 class Validation:
-    """What can be asked about a set of files. Every property is a DataFrame and computed only when read."""
+    """What can be asked about a set of files, each property a DataFrame.
+
+    The classified lines and the entries, which all other properties are made of, are
+    stored when first asked for; the rest is computed only when read.
+    """
 
     def __init__(self, lines: DataFrame, options: Options | None = None, ends: DataFrame | None = None, keep: DataFrame | None = None) -> None:
         """lines: (file, line_no, line); ends: see ``sources.file_ends``; keep: names to keep (Protein_Name)."""
@@ -23,7 +28,7 @@ class Validation:
 
     @functools.cached_property
     def classified(self) -> DataFrame:
-        return records.classify(self.lines, self.options.header_start, reset_blank_on_header=self.options.reset_blank_on_header)
+        return stored(records.classify(self.lines, self.options.header_start, reset_blank_on_header=self.options.reset_blank_on_header), "classified-lines")
 
     @functools.cached_property
     def headers(self) -> DataFrame:
@@ -31,6 +36,9 @@ class Validation:
 
     @functools.cached_property
     def entries(self) -> DataFrame:
+        return stored(self._entries(), "entries")
+
+    def _entries(self) -> DataFrame:
         """Every entry with its final name and what becomes of it.
 
         Adds to ``records.records``: raw_name, the repair flags, name_again, renamed,
@@ -39,7 +47,7 @@ class Validation:
         o = self.options
         found = records.records(self.classified, o).withColumn("raw_name", F.col("name"))
         if o.fix and self.keep is None:
-            found = found.withColumn("_fixed", repaired(F.col("name"), F.col("description"), o))
+            found = with_repair(found, o, column="_fixed")
             found = found.withColumns({c: F.when(F.col("raw_name") == "", F.col(c)).otherwise(F.col("_fixed")[c]) for c in ("name", "description")} | {c: F.coalesce(F.col("_fixed")[c], F.lit(False)) for c in ("truncated", "refs_removed", "chars_replaced")}).drop("_fixed")
         else:
             found = found.withColumns({c: F.lit(False) for c in ("truncated", "refs_removed", "chars_replaced")})

@@ -243,8 +243,8 @@ def q_dna_vote(spark, d):
 def q_autofix_name(spark, d):
     k = F.col("p_partkey")
     name = F.when(k % 5 == 0, F.concat(F.lit("gi|"), k, F.lit("|pdb|1V0O|B"))).when(k % 5 == 1, F.concat(F.lit("IPI:IPI00"), k, F.lit(".1|REFSEQ_XP:XP_"), k)).when(k % 5 == 2, F.concat(F.lit("#contig"), k, F.lit("%scaffold|chain|A#"))).when(k % 5 == 3, F.concat(F.lit("sp|Q"), k, F.lit(":x;HUMAN"))).otherwise(F.concat(F.lit("longname"), k, F.lit("|second|third|fourth_part")))
-    fixed = t.repaired(F.col("name"), F.col("description"), MIX_OPTIONS)
-    return _read(spark, d, "part").select("p_partkey", name.alias("name"), F.when(k % 2 == 0, "| about").otherwise("").alias("description")).select("p_partkey", fixed.alias("f")).select("p_partkey", "f.*")
+    named = _read(spark, d, "part").select("p_partkey", name.alias("name"), F.when(k % 2 == 0, "| about").otherwise("").alias("description"))
+    return t.with_repair(named, MIX_OPTIONS, column="f").select("p_partkey", "f.*")
 
 
 AUTOFIX_SQL = r"""
