@@ -5,19 +5,31 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import with_duplicates
+from .hashing import indexed
 
 #: Names that differ only in such endings can come to the same new name.
 ROOT = r"(?:-[a-z]\d*)+$"
 
 
+def _first_places(entries: DataFrame, name: Column) -> DataFrame:
+    """(_file, _key, _first): where each name of a file is met first; sums within each task come first."""
+    return entries.groupBy(F.col("file").alias("_file"), name.alias("_key")).agg(F.min("ordinal").alias("_first"))
+
+
+def _with_first(entries: DataFrame, name: Column) -> DataFrame:
+    """``entries`` with _first, joined by the name: a name that most rows have is one row of the smaller side."""
+    firsts = _first_places(entries, name)
+    return entries.join(firsts, F.col("file").eqNullSafe(F.col("_file")) & name.eqNullSafe(F.col("_key"))).drop("_file", "_key")
+
+
 def duplicate_names(entries: DataFrame) -> DataFrame:
     """``entries`` with name_again: an earlier entry of the file has the name, in either case."""
-    order = Window.partitionBy("file", F.lower("name")).orderBy("ordinal")
-    return entries.withColumn("name_again", (F.col("name") != "") & (F.row_number().over(order) > 1))
+    marked = _with_first(entries, F.lower("name"))
+    return marked.withColumn("name_again", (F.col("name") != "") & (F.col("ordinal") > F.col("_first"))).drop("_first")
 
 
 def endings() -> Iterator[str]:
@@ -29,39 +41,85 @@ def endings() -> Iterator[str]:
         number += 1
 
 
-def _rename(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values("ordinal")
-    seen, names = set(), []
-    ways: dict[str, Iterator[str]] = {}
-    for name in group["name"]:
-        new = name
-        if name.lower() in seen:
-            # Taken endings stay taken, so the search goes on where it was.
-            tries = ways.setdefault(name.lower(), endings())
-            new = next(x for x in (name + e for e in tries) if x.lower() not in seen)
-        seen.add(new.lower())
-        names.append(new)
-    return pd.DataFrame({"file": group["file"], "ordinal": group["ordinal"], "new_name": names})
+def ending(number: Column) -> Column:
+    """The ending of a number from 0 on, as ``endings`` gives them."""
+    later = number - 25
+    letter = F.when(number < 25, F.lit(ord("b")) + number).otherwise(F.lit(ord("a")) + F.pmod(later, F.lit(26)))
+    return F.concat(F.lit("-"), F.char(letter), F.when(number < 25, "").otherwise(F.floor(later / 26 + 1).cast("string")))
+
+
+def _rename(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """New names of rows that come in the order file, root, ordinal.
+
+    Of a root it keeps the names as given and, for each, how far its endings are used
+    up: a name made by an ending is known by that, so memory does not grow with repeats.
+    """
+    root, given, ways = None, set(), {}
+
+    def taken(name: str) -> bool:
+        if name in given:
+            return True
+        base, dash, tail = name.rpartition("-")
+        return bool(dash) and base in ways and _number(tail) < ways[base][0] and name not in ways[base][1]
+
+    for batch in batches:
+        names = []
+        for file, own, name in zip(batch["file"], batch["root"], batch["name"], strict=True):
+            if (file, own) != root:
+                root, given, ways = (file, own), set(), {}
+            low, new = name.lower(), name
+            if taken(low):
+                at, passed = ways.get(low, (0, set()))
+                while taken(low + (tail := _ending(at))):
+                    passed.add(low + tail)  # another name's: not made from this one
+                    at += 1
+                new = name + tail
+                ways[low] = (at + 1, passed)
+            else:
+                given.add(low)
+            names.append(new)
+        yield pd.DataFrame({"file": batch["file"], "ordinal": batch["ordinal"], "new_name": names})
+
+
+def _ending(number: int) -> str:
+    return f"-{chr(98 + number)}" if number < 25 else f"-{chr(97 + (number - 25) % 26)}{(number - 25) // 26 + 1}"
+
+
+def _number(tail: str) -> float:
+    """Which ending a text after the dash is; infinite if it is none."""
+    if not tail or not "a" <= tail[0] <= "z" or (tail[1:] and not (tail[1:].isascii() and tail[1:].isdigit() and tail[1] != "0")):
+        return float("inf")
+    letter = ord(tail[0])
+    return 25 + (int(tail[1:]) - 1) * 26 + letter - 97 if tail[1:] else letter - 98 if letter > 97 else float("inf")
 
 
 def rename_duplicates(entries: DataFrame) -> DataFrame:
     """``entries`` with new_name: every name of a file once, by endings that no earlier name has.
 
-    Names can meet only within one root, the name without endings; a root with one
-    entry needs no work, the others are settled in their order, one group at a time.
+    Names can meet only within one root, the name without endings. Where a root has one
+    name, in either case, its k-th entry has the (k-1)-th ending, and k comes from
+    ranges, however many entries there are. Where it has several, its entries go in
+    their order through one task, which holds the root's distinct names alone.
     """
-    rooted = entries.where("name <> ''").select("file", "ordinal", "name", F.regexp_replace(F.lower("name"), ROOT, "").alias("root"))
-    crowded = rooted.groupBy("file", "root").count().where("count > 1").select("file", "root")
-    work = rooted.join(crowded, ["file", "root"], "left_semi")
-    renamed = work.groupBy("file", "root").applyInPandas(lambda g: _rename(g), "file string, ordinal long, new_name string")
-    return entries.join(renamed, ["file", "ordinal"], "left").withColumn("new_name", F.coalesce("new_name", "name"))
+    low = F.lower("name")
+    rooted = entries.where("name <> ''").select("file", "ordinal", "name", low.alias("low"), F.regexp_replace(low, ROOT, "").alias("root"))
+    roots = rooted.groupBy("file", "root").agg(F.count("*").alias("n"), F.min("low").alias("a"), F.max("low").alias("b")).where("n > 1")
+    single, mixed = roots.where("a = b").select("file", "root"), roots.where("a <> b").select("file", "root")
+    repeats = indexed(rooted.join(single, ["file", "root"], "left_semi").select("file", "ordinal", "name", "low"), "k", "ordinal", by=["file", "low"])
+    plain = repeats.where("k > 1").select("file", "ordinal", F.concat("name", ending(F.col("k") - 2)).alias("new_name"))
+    ordered = rooted.join(mixed, ["file", "root"], "left_semi").drop("low").repartition("file", "root").sortWithinPartitions("file", "root", "ordinal")
+    settled = ordered.mapInPandas(_rename, "file string, ordinal long, new_name string")
+    return entries.join(plain.unionByName(settled), ["file", "ordinal"], "left").withColumn("new_name", F.coalesce("new_name", "name"))
 
 
 def same_name_kept(entries: DataFrame, hash_column: str = "Sequence_Hash") -> DataFrame:
     """Entries whose name is new, or whose sequence differs from the first entry of that name."""
-    order = Window.partitionBy("file", F.lower("name")).orderBy("ordinal")
-    marked = entries.withColumn("_first", F.first(hash_column).over(order)).withColumn("_rank", F.row_number().over(order))
-    return marked.withColumn("retained", (F.col("_rank") > 1) & (F.col(hash_column) != F.col("_first"))).where("_rank = 1 OR retained").drop("_first", "_rank")
+    key = F.lower("name")
+    firsts = entries.groupBy(F.col("file").alias("_file"), key.alias("_key")).agg(F.min(F.struct("ordinal", hash_column)).alias("_first"))
+    marked = entries.join(firsts, F.col("file").eqNullSafe(F.col("_file")) & key.eqNullSafe(F.col("_key")))
+    later = F.col("ordinal") > F.col("_first.ordinal")
+    retained = later & (F.col(hash_column) != F.col(f"_first.{hash_column}"))
+    return marked.withColumn("retained", retained).where(~later | F.col("retained")).drop("_first", "_file", "_key")
 
 
 def merged_names(own: Column, names: Column) -> Column:
@@ -76,8 +134,7 @@ def consolidate(entries: DataFrame, unique: DataFrame) -> DataFrame:
     entries: file, ordinal, name, description, ...; unique: see ``hashing.unique_sequences``.
     """
     firsts = unique.select("file", F.lower("Protein_Name_First").alias("_key"), "additional")
-    order = Window.partitionBy("file", F.lower("name")).orderBy("ordinal")
-    once = entries.withColumn("_key", F.lower("name")).withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+    once = _with_first(entries, F.lower("name")).where("ordinal = _first").drop("_first").withColumn("_key", F.lower("name"))
     joined = once.join(firsts.groupBy("file", "_key").agg(F.flatten(F.collect_list("additional")).alias("additional")), ["file", "_key"])
     others = merged_names(F.col("name"), F.col("additional"))
     return joined.withColumn("description", F.when(F.size(others) > 0, with_duplicates(F.col("description"), others)).otherwise(F.col("description"))).drop("_key", "additional")
@@ -94,8 +151,7 @@ def removed_by_consolidation(entries: DataFrame, unique: DataFrame) -> DataFrame
 def kept_by_list(entries: DataFrame, keep: DataFrame) -> DataFrame:
     """The first entry of each name in ``keep`` (Protein_Name); the case of letters counts."""
     wanted = keep.select(F.col("Protein_Name").alias("name")).distinct()
-    order = Window.partitionBy("file", "name").orderBy("ordinal")
-    return entries.join(wanted, "name", "left_semi").withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+    return _with_first(entries.join(wanted, "name", "left_semi"), F.col("name")).where("ordinal = _first").drop("_first")
 
 
 def coverage(keep: DataFrame, kept: DataFrame, entries: DataFrame) -> DataFrame:

@@ -9,21 +9,24 @@ from ..functions.text import sequence_hash
 from ..storage import stored
 
 
-def indexed(df: DataFrame, column: str, *order: str, by: str | None = "file") -> DataFrame:
+def indexed(df: DataFrame, column: str, *order: str, by: str | list[str] | None = "file") -> DataFrame:
     """``df`` with its 1-based place in the order of a file, without a window over the whole of it.
 
     Rows are put in ranges of the order; a row's place is the rows of the ranges before
     plus its place in its own range, and there is one row for each range. The ranges are
-    stored: drawn again for the counts, they would have other bounds.
+    stored: drawn again for the counts, they would have other bounds. by: the columns
+    whose values are counted apart; a value that most rows share fills several ranges,
+    as long as ``order`` tells its rows apart.
     """
-    keys = ([by] if by else []) + list(order)
-    ranged = stored(df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "ranges")
-    group = [by] if by else []
+    group = [by] if isinstance(by, str) else list(by or [])
+    ranged = stored(df.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     own = Window.partitionBy(*group, "_range").orderBy(*order)
     sizes = ranged.groupBy(*group, "_range").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return ranged.withColumn("_own", F.row_number().over(own)).join(bases, [*group, "_range"]).withColumn(column, F.col("_own") + F.col("_base")).drop("_own", "_base", "_range")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*group, "_range"]]
+    placed = ranged.withColumn("_own", F.row_number().over(own)).alias("r").join(bases.alias("b"), same)
+    return placed.select(*(F.col(f"r.{c}") for c in df.columns), (F.col("_own") + F.col("_base")).alias(column))
 
 
 def protein_hashes(entries: DataFrame, ignore_il: bool = False) -> DataFrame:
@@ -72,6 +75,7 @@ def name_summary(table: DataFrame, keep: DataFrame) -> DataFrame:
     The first of equal names is not a duplicate; which comes first is decided by the hash.
     """
     flag = lambda c: c.cast("int").cast("string")
-    again = F.row_number().over(Window.partitionBy("Protein_Name").orderBy("Sequence_Hash")) > 1
+    rows = table.select("Protein_Name", "Sequence_Hash", F.monotonically_increasing_id().alias("at"))
+    placed = indexed(rows, "k", "Sequence_Hash", "at", by="Protein_Name")  # a name that most rows have is in many ranges
     known = keep.select("Protein_Name", F.lit(True).alias("kept"))
-    return table.select("Protein_Name", "Sequence_Hash", again.alias("again")).join(known, "Protein_Name", "left").select("Protein_Name", "Sequence_Hash", flag(F.coalesce("kept", F.lit(False))).alias("First_Protein_For_Hash"), flag(F.col("again")).alias("Duplicate_Name"))
+    return placed.select("Protein_Name", "Sequence_Hash", (F.col("k") > 1).alias("again")).join(known, "Protein_Name", "left").select("Protein_Name", "Sequence_Hash", flag(F.coalesce("kept", F.lit(False))).alias("First_Protein_For_Hash"), flag(F.col("again")).alias("Duplicate_Name"))

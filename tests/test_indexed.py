@@ -26,3 +26,39 @@ def test_places_are_right_however_wide_the_rows(spark, many_ranges, by):
         seen[f if by else ""] = want[f, i, payload] = seen.get(f if by else "", 0) + 1
     assert len(found) == len(rows)
     assert {(r.file, r.ordinal, r.payload): r.place for r in found} == want
+
+
+def test_a_name_that_most_entries_have(spark, many_ranges):
+    """Duplicates, repeats and renamed entries where one name holds most rows, against plain loops."""
+    from test_validation import model_names
+
+    from lodestrand.operators import dedup, hashing
+
+    names = ["Hot" if i % 3 else ("hOT", f"N{i % 40}", f"N{i % 7}-b")[i % 9 // 3] for i in range(3000)]
+    rows = [("f", i, n, f"h{i % 5}") for i, n in enumerate(names)]
+    entries = spark.createDataFrame(rows, "file string, ordinal long, name string, Sequence_Hash string").repartition(6)
+    assert [r.new_name for r in dedup.rename_duplicates(entries).orderBy("ordinal").collect()] == model_names(names)
+    seen, again, first, kept = set(), [], {}, []
+    for _, i, n, h in rows:
+        again.append(n.lower() in seen)
+        seen.add(n.lower())
+        if first.setdefault(n.lower(), h) != h or not again[-1]:
+            kept.append((i, again[-1]))
+    assert [r.name_again for r in dedup.duplicate_names(entries).orderBy("ordinal").collect()] == again
+    assert [(r.ordinal, r.retained) for r in dedup.same_name_kept(entries).orderBy("ordinal").collect()] == kept
+    table = entries.withColumnRenamed("name", "Protein_Name")
+    told = hashing.name_summary(table, table.where("false").select("Protein_Name")).collect()
+    assert len(told) == len(rows) and sum(r.Duplicate_Name == "0" for r in told) == len(set(names))
+
+
+def test_mixed_roots_equal_a_sequential_model(spark):
+    import random
+
+    from test_validation import model_names
+
+    from lodestrand.operators import dedup
+
+    rng = random.Random(4)
+    names = [rng.choice(["A", "a-b", "A-b-b", "A-c", "A-a1", "A-z", "B", "b-a", "B-b2", "B-b01", "B-b"]) for _ in range(400)]
+    entries = spark.createDataFrame([("f", i, n) for i, n in enumerate(names)], "file string, ordinal long, name string")
+    assert [r.new_name for r in dedup.rename_duplicates(entries).orderBy("ordinal").collect()] == model_names(names)
