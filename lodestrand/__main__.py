@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from .options import Options, load_options, save_options
 from .plans import reports
 from .plans.validation import dedupe_by_hash_file, validate
-from .sources.files import file_ends, read_hash_file
+from .sources.files import file_sizes, read_hash_file
 
 
 def main(arguments: list[str] | None = None) -> None:
@@ -20,8 +20,9 @@ def main(arguments: list[str] | None = None) -> None:
     p.add_argument("-p", "--parameters", help="XML file of options and rules")
     p.add_argument("-x", "--save-parameters", help="write the options to this XML file")
     p.add_argument("-r", "--recursive", action="store_true")
+    p.add_argument("--depth", type=int, help="levels of folders below those given, with -r; all without it")
     p.add_argument("--hash-file", help="table of hashes: keep the first name of each sequence")
-    flags = {"fix": "repair", "rename-duplicates": "rename duplicate names", "consolidate": "merge duplicate sequences", "ignore-il": "I and L alike", "remove-invalid-residues": "", "keep-same-name": "", "allow-asterisk": "", "allow-dash": "", "save-basic-hashes": "", "strict-eof": ""}
+    flags = {"fix": "repair", "rename-duplicates": "rename duplicate names", "consolidate": "merge duplicate sequences", "ignore-il": "I and L alike", "remove-invalid-residues": "", "keep-same-name": "", "allow-asterisk": "", "allow-dash": "", "save-basic-hashes": "", "strict-eof": "", "add-missing-line-feed": "also write files that lack their last line end, with it", "normalize-line-ends": "also write the files with CRLF line ends", "stats-file": "add the report to the day's statistics file"}
     for name, text in flags.items():
         p.add_argument(f"--{name}", action="store_true", help=text)
     p.add_argument("--skip-duplicate-names", action="store_true")
@@ -40,12 +41,19 @@ def main(arguments: list[str] | None = None) -> None:
             reports.write_table(unique, "unique", f"{a.output}/unique")
             reports.write_table(names, "names", f"{a.output}/names")
     else:
-        run = validate(spark, a.paths, options, a.recursive)
-    sizes = file_ends(spark, a.paths).select("file", "size")
+        run = validate(spark, a.paths, replace(options, strict_eof=options.strict_eof or options.add_missing_line_feed), a.recursive, a.depth)
+    sizes = file_sizes(spark, a.paths, a.recursive, a.depth)
     if not a.output:
         reports.report(run, sizes).show(1000, truncate=False)
         return
-    reports.report_lines(run, sizes=sizes).write.text(f"{a.output}/report")
+    if options.stats_file:
+        reports.append_stats(run, a.output, sizes)
+    else:
+        reports.report_lines(run, sizes=sizes).write.text(f"{a.output}/report")
+    if options.normalize_line_ends:
+        reports.write_normalised(run.lines, f"{a.output}/normalised")
+    if options.add_missing_line_feed and run.ends is not None:
+        reports.write_with_last_line_end(run, f"{a.output}/line-feed-added")
     if options.save_basic_hashes:
         reports.write_table(run.hashes, "hashes", f"{a.output}/hashes")
     if run.options.fix:

@@ -47,6 +47,9 @@ class Options:
     first_ref_separators: str = ":|"
     subsequent_ref_separators: str = ":|;"
     # outputs
+    add_missing_line_feed: bool = False
+    normalize_line_ends: bool = False
+    stats_file: bool = False
     save_hashes: bool = False
     save_basic_hashes: bool = False
     rules: RuleSet | None = field(default=None, compare=False)
@@ -95,6 +98,9 @@ XML_KEYS = {
         "SaveBasicProteinHashInfoFile": "save_basic_hashes",
         "AllowAsteriskInResidues": "allow_asterisk",
         "AllowDashInResidues": "allow_dash",
+        "AddMissingLinefeedAtEOF": "add_missing_line_feed",
+        "NormalizeFileLineEndCharacters": "normalize_line_ends",
+        "OutputToStatsFile": "stats_file",
     },
     FIX_SECTION: {
         "GenerateFixedFASTAFile": "fix",

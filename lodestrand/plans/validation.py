@@ -12,19 +12,19 @@ from ..operators import checks, dedup, hashing, records
 from ..options import Options
 from ..rules import messages
 from ..storage import stored
-from ..sources.files import file_ends, read_lines, split_lines
+from ..sources.files import EXTENSIONS, file_ends, file_sizes, find_files, read_lines, split_lines
 
 
 class Validation:
     """What can be asked about a set of files, each property a DataFrame.
 
-    The classified lines and the entries, which all other properties are made of, are
-    stored when first asked for; the rest is computed only when read.
+    The classified lines, the entries and the findings, which all other properties are
+    made of, are stored when first asked for; the rest is computed only when read.
     """
 
-    def __init__(self, lines: DataFrame, options: Options | None = None, ends: DataFrame | None = None, keep: DataFrame | None = None) -> None:
-        """lines: (file, line_no, line); ends: see ``sources.file_ends``; keep: names to keep (Protein_Name)."""
-        self.lines, self.options, self.ends, self.keep = lines, options or Options(), ends, keep
+    def __init__(self, lines: DataFrame, options: Options | None = None, ends: DataFrame | None = None, keep: DataFrame | None = None, files: DataFrame | None = None) -> None:
+        """lines: (file, line_no, line); ends: see ``sources.file_ends``; keep: names to keep (Protein_Name); files: (file, size) of all files, those without a line too."""
+        self.lines, self.options, self.ends, self.keep, self.files = lines, options or Options(), ends, keep, files
 
     @functools.cached_property
     def classified(self) -> DataFrame:
@@ -89,6 +89,9 @@ class Validation:
 
     @functools.cached_property
     def all_findings(self) -> DataFrame:
+        return stored(self._all_findings(), "findings")
+
+    def _all_findings(self) -> DataFrame:
         """Every finding, in the findings table's columns; none left out."""
         o, entries = self.options, self.entries
         shown = entries.select("file", "ordinal", F.col("name").alias("protein"))
@@ -97,6 +100,11 @@ class Validation:
         found = [checks.header_findings(self.headers, o), checks.line_findings(placed, o), checks.sequence_findings(placed.where("kind = 'residue'"), o), checks.end_findings(self.classified), self._name_findings(), checks.dna_findings(entries, self.nucleic)]
         if o.check_duplicate_sequences:
             found.append(self._sequence_findings())
+        if o.fix:
+            found.append(self._repair_findings())
+        if self.files is not None:
+            bare = self.files.join(self.classified.select("file").distinct(), "file", "left_anti").withColumn("line_no", F.lit(0).cast("long"))
+            found.append(checks.told(bare, [checks.finding("Error", 9, "end", step=90)], ""))
         if o.strict_eof and self.ends is not None:
             last = self.classified.groupBy("file").agg(F.max("line_no").alias("line_no"))
             bad = self.ends.where("NOT ends_with_newline").join(last, "file")
@@ -113,6 +121,12 @@ class Validation:
         renamed = F.when(F.col("renamed"), checks.finding("Warning", 19, "duplicate", 1, F.concat(F.lit("--> "), F.col("name"))))
         return checks.told(named, [again, renamed], F.col("old_name"))
 
+    def _repair_findings(self) -> DataFrame:
+        """What the repair left out or kept: told at the line where the entry ends, after all that the entry itself has."""
+        gone = F.when(F.col("code") == 20, checks.finding("Warning", 20, "end", -1, F.col("extra"), step=70))
+        kept = F.when(F.col("code") == 21, checks.finding("Warning", 21, "end", 0, step=71))
+        return checks.told(self.repair_findings, [gone, kept], F.col("name"))
+
     def _sequence_findings(self) -> DataFrame:
         last = self.classified.groupBy("file").agg(F.max("line_no").alias("line_no"))
         many = self.unique.where("Protein_Count > 1").join(last, "file")
@@ -138,7 +152,35 @@ class Validation:
     def summary(self) -> DataFrame:
         """(file, proteins, residues, lines, errors, warnings) of each file."""
         sums = self.finding_counts.withColumn("n", F.col("n_specified") + F.col("n_unspecified")).groupBy("file").agg(F.sum(F.when(F.col("level") == "Error", F.col("n"))).alias("errors"), F.sum(F.when(F.col("level") == "Warning", F.col("n"))).alias("warnings"))
-        return records.file_summary(self.classified).join(sums, "file", "left").fillna(0, ["errors", "warnings"])
+        counts = records.file_summary(self.classified)
+        if self.files is not None:
+            counts = self.files.select("file").join(counts, "file", "left").fillna(0, ["proteins", "residues", "lines"])
+        return counts.join(sums, "file", "left").fillna(0, ["errors", "warnings"])
+
+    @functools.cached_property
+    def verdicts(self) -> DataFrame:
+        """(file, valid, has_warnings, errors, warnings) of each file.
+
+        Errors about asterisks and dashes in residues, and the invalid residues that these
+        are where no rule of their own names them, do not count where the options allow
+        these signs.
+        """
+        o = self.options
+        allowed = [sign for sign, on in (("*", o.allow_asterisk), ("-", o.allow_dash)) if on]
+        spared = {r.id for r in o.rule_set.sequence for sign in allowed if r.pattern == "\\" + sign}
+        shown = {r.id for r in o.rule_set.sequence if r.show_match}
+        harmless = F.col("code").isin(*spared or [-1]) | (F.col("code").isin(*shown or [-1]) & F.col("extra").isin(*allowed or ["\0"]))
+        counts = self.all_findings.where(~harmless).groupBy("file").agg(F.count_if(F.col("level") == "Error").alias("errors"), F.count_if(F.col("level") == "Warning").alias("warnings"))
+        told = self.summary.select("file").join(counts, "file", "left").fillna(0, ["errors", "warnings"])
+        return told.select("file", (F.col("errors") == 0).alias("valid"), (F.col("warnings") > 0).alias("has_warnings"), "errors", "warnings")
+
+    def message(self, index: int, level: str = "Error", separator: str = ", ") -> str | None:
+        """The index-th kept finding of a level as text, in the order of the report; None beyond the last."""
+        rows = self.findings.where(F.col("level") == level).orderBy("file", "code", "line_no", "col", "emit_seq").offset(index).limit(1).collect()
+        if not rows:
+            return None
+        r = rows[0]
+        return separator.join([r.level, str(r.line_no), str(r.col), r.protein or "N/A", r.message, *([r.context] if r.context else [])])
 
     # Repair
 
@@ -156,13 +198,17 @@ class Validation:
 
     @functools.cached_property
     def repair_findings(self) -> DataFrame:
-        """The entries that the repair leaves out, or keeps although their name is taken: (file, ordinal, name, code, extra)."""
+        """The entries that the repair leaves out, or keeps although their name is taken: (file, ordinal, line_no, name, code, extra)."""
         o, some = self.options, self.entries.where("valid AND ordinal > 0")
-        found = dedup.removed_by_consolidation(some, self.unique).select("file", "ordinal", "name", F.lit(20).alias("code"), F.concat(F.lit("same as "), F.col("same_as")).alias("extra")) if o.consolidate else some.where("false").select("file", "ordinal", "name", F.lit(20).alias("code"), F.lit("").alias("extra"))
-        if o.keep_same_name:
+        none = some.where("false").select("file", "ordinal", "name", F.lit(20).alias("code"), F.lit("").alias("extra"))
+        found = none
+        if self.keep is None and o.fix and o.consolidate:
+            found = found.unionByName(dedup.removed_by_consolidation(some, self.unique).select("file", "ordinal", "name", F.lit(20).alias("code"), F.concat(F.lit("same as "), F.col("same_as")).alias("extra")))
+        if self.keep is None and o.fix and o.keep_same_name and not o.rename_duplicates:
             hashed = some.withColumn("Sequence_Hash", sequence_hash(F.col("residues"), o.hash_ignores_il))
             found = found.unionByName(dedup.same_name_kept(hashed).where("retained").select("file", "ordinal", "name", F.lit(21).alias("code"), F.lit("").alias("extra")))
-        return found
+        ends = self.entries.select("file", "ordinal", F.col("next_header_line_no").alias("line_no"))
+        return found.join(ends, ["file", "ordinal"]).select("file", "ordinal", "line_no", "name", "code", "extra")
 
     @functools.cached_property
     def fixed_lines(self) -> DataFrame:
@@ -196,9 +242,13 @@ class Validation:
         return base.join(gone, "file", "left").fillna(0, ["duplicate_sequences_skipped"])
 
 
-def validate(spark: SparkSession, paths: str | list[str], options: Options | None = None, recursive: bool = False) -> Validation:
-    """A run over files, plain or gzipped."""
-    return Validation(read_lines(spark, paths, recursive), options, file_ends(spark, paths) if options and options.strict_eof else None)
+def validate(spark: SparkSession, paths: str | list[str], options: Options | None = None, recursive: bool = False, depth: int | None = None, extensions: tuple[str, ...] | None = EXTENSIONS) -> Validation:
+    """A run over files, plain or gzipped; of folders those with one of ``extensions``, down to ``depth`` levels."""
+    files = find_files(spark, paths, recursive, depth, extensions)
+    if not files:
+        raise FileNotFoundError(f"no sequence file in {paths}")
+    ends = file_ends(spark, files) if options and options.strict_eof else None
+    return Validation(read_lines(spark, files), options, ends, files=file_sizes(spark, files))
 
 
 def validate_table(table: DataFrame, id_column: str, text_column: str, options: Options | None = None) -> Validation:
@@ -213,5 +263,5 @@ def dedupe_by_hash_file(spark: SparkSession, paths: str | list[str], hash_table:
     """
     unique = hashing.unique_from_hash_file(hash_table)
     keep = hashing.keep_list(unique)
-    run = Validation(read_lines(spark, paths), (options or Options()).for_hash_file(), None, keep)
+    run = Validation(read_lines(spark, find_files(spark, paths)), (options or Options()).for_hash_file(), None, keep)
     return run, unique, hashing.name_summary(hash_table, keep), dedup.coverage(keep, run.fixed, run.entries.where("ordinal > 0"))

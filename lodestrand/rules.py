@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import PySparkException
 
 FIRST_RULE_ID = 1000
 #: Severities from here on are errors.
@@ -37,6 +41,26 @@ class RuleSet:
     def all(self) -> tuple[Rule, ...]:
         return self.header + self.name + self.description + self.sequence
 
+    def with_rule(self, kind: str, rule: Rule) -> RuleSet:
+        """The rules and one more of a class (header, name, description or sequence), with the next free id."""
+        number = max((r.id + 1 for r in self.all()), default=FIRST_RULE_ID)
+        return replace(self, **{kind: (*getattr(self, kind), replace(_checked(rule, number), id=number))})
+
+
+def _checked(rule: Rule, number: int) -> Rule:
+    """``rule`` if its pattern is one; patterns run in the JVM, so it is asked where there is one."""
+    if context := SparkContext._active_spark_context:
+        try:
+            context._jvm.java.util.regex.Pattern.compile(FLAGS + rule.pattern)
+        except (Py4JJavaError, PySparkException) as problem:
+            raise ValueError(f"rule {number}, {rule.pattern!r}: {problem}") from problem
+    else:
+        try:
+            re.compile(rule.pattern)
+        except re.error as problem:
+            raise ValueError(f"rule {number}, {rule.pattern!r}: {problem}") from problem
+    return rule
+
 
 def numbered(**classes: list[Rule]) -> RuleSet:
     """The rules with ids from ``FIRST_RULE_ID`` on, in the order of the classes; invalid patterns are refused."""
@@ -44,11 +68,7 @@ def numbered(**classes: list[Rule]) -> RuleSet:
     for kind in ("header", "name", "description", "sequence"):
         made = []
         for rule in classes.get(kind, []):
-            try:
-                re.compile(rule.pattern)
-            except re.error as problem:
-                raise ValueError(f"rule {number}, {rule.pattern!r}: {problem}") from problem
-            made.append(Rule(rule.pattern, rule.message, rule.severity, rule.match_is_problem, rule.show_match, number))
+            made.append(replace(_checked(rule, number), id=number))
             number += 1
         out[kind] = tuple(made)
     return RuleSet(**out)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,58 @@ from pyspark.sql import functions as F
 BLOCK_LINES = 500_000
 #: Bytes that are looked at for the kind of line end.
 SNIFF_BYTES = 100_000
-PATTERNS = "*.{fasta,faa,fasta.gz,faa.gz}"
+#: Endings of the files that are looked for in a folder. Fixed values.
+EXTENSIONS = (".fasta", ".faa")
+
+
+def _literal(path: str) -> str:
+    """A name as a pattern that matches nothing else."""
+    return re.sub(r"([\\{}\[\]*?,])", r"\\\1", path)
+
+
+def _listed(spark: SparkSession, paths: str | list[str], recursive: bool, depth: int | None, extensions: tuple[str, ...] | None) -> list[tuple[str, str, int]]:
+    """(pattern, file, size) of each file found; file as the readers' metadata has it."""
+    jvm, found = spark._jvm, {}
+    conf = spark._jsc.hadoopConfiguration()
+    fits = lambda name: extensions is None or name.lower().removesuffix(".gz").endswith(tuple(extensions))
+
+    def add(at) -> None:
+        name = at.getPath().toString()
+        found[_literal(name)] = (jvm.org.apache.hadoop.fs.Path(name).toUri().toString(), at.getLen())
+
+    def walk(fs, folder, left: float) -> None:
+        for at in sorted(fs.listStatus(folder), key=lambda x: x.getPath().toString()):
+            if at.isDirectory():
+                if left > 0:
+                    walk(fs, at.getPath(), left - 1)
+            elif fits(at.getPath().getName()):
+                add(at)
+
+    for path in [paths] if isinstance(paths, str) else paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        fs = place.getFileSystem(conf)
+        for at in fs.globStatus(place) or []:
+            if at.isDirectory():
+                walk(fs, at.getPath(), (float("inf") if depth is None else depth) if recursive else 0)
+            else:
+                add(at)
+    return [(k, *v) for k, v in found.items()]
+
+
+def find_files(spark: SparkSession, paths: str | list[str], recursive: bool = False, depth: int | None = None, extensions: tuple[str, ...] | None = EXTENSIONS) -> list[str]:
+    """The files that ``paths`` name: files and patterns as they are, of folders those with one of ``extensions``.
+
+    What comes back is for Spark's readers, which take names as patterns: signs of
+    patterns in a name are escaped. Endings count in either case, with or without
+    ``.gz`` after them; None takes all. depth: levels of folders below a given one that
+    ``recursive`` goes down, all if None.
+    """
+    return [pattern for pattern, *_ in _listed(spark, paths, recursive, depth, extensions)]
+
+
+def file_sizes(spark: SparkSession, paths: str | list[str], recursive: bool = False, depth: int | None = None, extensions: tuple[str, ...] | None = EXTENSIONS) -> DataFrame:
+    """(file, size) of each file, empty ones too, from the listing alone."""
+    return spark.createDataFrame([row[1:] for row in _listed(spark, paths, recursive, depth, extensions)], "file string, size long")
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], recursive: bool = False, pattern: str | None = None) -> DataFrame:
@@ -33,18 +86,33 @@ def read_lines(spark: SparkSession, paths: str | list[str], recursive: bool = Fa
     return numbered.select("file", line_no.alias("line_no"), text.alias("line"))
 
 
-def file_ends(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, size, terminator, ends_with_newline) of each file, from its first and last bytes.
+def file_ends(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> DataFrame:
+    """(file, size, terminator, ends_with_newline) of each file.
 
     terminator: CRLF, LF, CR or LFCR, by the first line end in the leading bytes; CRLF
-    if there is none.
+    if there is none. ends_with_newline is null for gzip files, whose size says nothing
+    of their text.
+
+    The file is read in splits, cut at line feeds alone: its lines' bytes and one line
+    feed for each are its size, or one more than that if the last line has none.
     """
-    content = spark.read.format("binaryFile").load(paths)
-    head = F.hex(F.substring("content", 1, SNIFF_BYTES))
-    end = F.regexp_extract(head, "^(?:(?!0A|0D)..)*(0D0A|0A0D|0A|0D)", 1)
-    kind = F.when(end == "0A0D", "LFCR").when(end == "0A", "LF").when(end == "0D", "CR").otherwise("CRLF")
-    last = F.hex(F.expr("substring(content, -1, 1)"))
-    return content.select(F.col("path").alias("file"), F.col("length").alias("size"), kind.alias("terminator"), (last.isin("0A", "0D")).alias("ends_with_newline"))
+    listed = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("lineSep", "\n").text(paths)
+    raw = listed.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("line"))
+    place = F.struct("split", "at")
+    head = F.struct("split", "at", F.substring("line", 1, SNIFF_BYTES).alias("head"), F.octet_length("line").alias("n"))
+    tail = F.struct("split", "at", F.expr("substring(line, -1, 1)").alias("tail"))
+    # The first two lines decide: a carriage return may stand before or after the line feed.
+    sums = raw.groupBy("file", "size").agg(F.sum(F.octet_length("line")).alias("bytes"), F.count("*").alias("lines"), F.min(head).alias("a"), F.max(tail).alias("z"))
+    second = raw.select("file", place.alias("place"), F.substring("line", 1, 1).alias("start")).join(sums.select("file", F.struct("a.split", "a.at").alias("first")), "file").where(F.col("place") > F.col("first")).groupBy("file").agg(F.min(F.struct("place", "start")).alias("b"))
+    first = F.hex("a.head")
+    cr = F.regexp_extract(first, "^((?:(?!0D)..)*)0D", 1)
+    has_cr, at_end = first.rlike("^(?:(?!0D)..)*0D"), (F.length(cr) / 2 + 1 == F.col("a.n"))
+    feeds = (F.col("lines") > 1) | (F.col("bytes") + F.col("lines") == F.col("size"))
+    near = F.col("a.n") < SNIFF_BYTES
+    kind = F.when(has_cr & at_end & feeds, "CRLF").when(has_cr, "CR").when(~(near & feeds), "CRLF").when(F.hex("b.start") == "0D", "LFCR").otherwise("LF")
+    ended = (F.col("bytes") + F.col("lines") == F.col("size")) | (F.hex("z.tail") == "0D")
+    gzip = F.lower("file").endswith(".gz")
+    return sums.join(second, "file", "left").select("file", "size", kind.alias("terminator"), F.when(~gzip, ended).alias("ends_with_newline"))
 
 
 def line_terminator(text: Column) -> Column:
@@ -54,8 +122,8 @@ def line_terminator(text: Column) -> Column:
 
 
 def split_lines(table: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(file, line_no, line) of the texts of a table, one file for each row."""
-    return table.select(F.col(id_column).cast("string").alias("file"), F.posexplode(F.split(text_column, "\r\n|\n|\r")).alias("pos", "line")).select("file", (F.col("pos") + 1).cast("long").alias("line_no"), "line")
+    """(file, line_no, line) of the texts of a table, one file for each row; a null text is one empty line."""
+    return table.select(F.col(id_column).cast("string").alias("file"), F.posexplode(F.split(F.coalesce(text_column, F.lit("")), "\r\n|\n|\r")).alias("pos", "line")).select("file", (F.col("pos") + 1).cast("long").alias("line_no"), "line")
 
 
 HASH_COLUMNS = ("Protein_Name", "Sequence_Length", "Sequence_Hash")

@@ -1,3 +1,6 @@
+import gzip
+from datetime import datetime
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -6,9 +9,11 @@ from lodestrand.__main__ import main
 from lodestrand.operators import dedup
 from lodestrand.operators.dedup import endings
 from lodestrand.options import Options, load_options, parse_xml, save_options
-from lodestrand.plans.reports import report, report_lines, write_fixed
+from lodestrand.functions.text import wrapped
+from lodestrand.plans.reports import append_stats, report, report_lines, write_fixed, write_with_last_line_end
 from lodestrand.plans.validation import Validation, dedupe_by_hash_file, validate, validate_table
 from lodestrand.rules import Rule, default_rules, numbered
+from lodestrand.sources.files import file_ends, find_files
 from lodestrand.streaming.arrivals import watch
 
 
@@ -227,3 +232,73 @@ def test_command_line(spark, tmp_path):
 def test_findings_have_one_schema(spark):
     assert run(spark, "").all_findings.columns == ["file", "level", "line_no", "col", "protein", "code", "extra", "context", "emit_seq"]
     assert isinstance(run(spark, CLEAN).summary.toPandas(), pd.DataFrame)
+
+
+def test_files_are_found_by_ending_and_depth(spark, tmp_path):
+    deep = tmp_path / "one" / "two"
+    deep.mkdir(parents=True)
+    for place in ("a b.fasta", "b,{1}.faa", "c.txt", "one/d.FASTA", "one/two/e.fasta.gz"):
+        (tmp_path / place).write_text(">PROT1 d\nMKV\n") if not place.endswith("gz") else (tmp_path / place).write_bytes(gzip.compress(b">PROT1 d\nMKV"))
+    names = lambda **k: sorted(p.rsplit("/", 1)[1].replace("\\", "") for p in find_files(spark, str(tmp_path), **k))
+    assert names() == ["a b.fasta", "b,{1}.faa"]
+    assert names(recursive=True, depth=1) == ["a b.fasta", "b,{1}.faa", "d.FASTA"]
+    assert names(recursive=True) == ["a b.fasta", "b,{1}.faa", "d.FASTA", "e.fasta.gz"]
+    run = validate(spark, str(tmp_path), Options(strict_eof=True), recursive=True)
+    assert sorted((r.proteins, r.residues, r.errors) for r in run.summary.collect()) == [(1, 3, 0)] * 4
+    assert {r.file for r in file_ends(spark, find_files(spark, str(tmp_path), True)).collect()} == {r.file for r in run.lines.select("file").distinct().collect()}
+    with pytest.raises(FileNotFoundError):
+        validate(spark, str(tmp_path / "nowhere"))
+
+
+def test_a_file_without_a_line_has_no_entries(spark, tmp_path):
+    (tmp_path / "a.fasta").write_text("")
+    run = validate(spark, str(tmp_path))
+    assert [(r.code, r.level) for r in run.all_findings.collect()] == [(9, "Error")]
+    assert [(r.valid, r.has_warnings) for r in run.verdicts.collect()] == [(False, False)]
+
+
+def test_what_a_repair_leaves_out_is_told(spark):
+    text = ">P1PROT a\nMKV\n>P1PROT b\nMKL\n>P2PROT c\nMKV\n"
+    found = run(spark, text, Options(fix=True, consolidate=True)).all_findings.where("code IN (20, 21)").collect()
+    assert [(r.code, r.level, r.line_no, r.col, r.protein, r.extra) for r in found] == [(20, "Warning", 7, 0, "P2PROT", "same as P1PROT")]
+    found = run(spark, text, Options(fix=True, keep_same_name=True)).all_findings.where("code IN (20, 21)").collect()
+    assert [(r.code, r.level, r.line_no, r.col, r.protein) for r in found] == [(21, "Warning", 5, 1, "P1PROT")]
+
+
+def test_verdicts_messages_and_rules(spark):
+    r = run(spark, ">PROT1 d\nMK*\nM-B", Options(allow_asterisk=True, allow_dash=True))
+    assert [(x.valid, x.has_warnings, x.warnings) for x in r.verdicts.collect()] == [(True, True, 1)]
+    assert r.message(0, "Warning") == "Warning, 3, 3, PROT1, Residues line contains B (non-standard amino acid for N or D), M-B"
+    assert r.message(1, "Warning") is None and r.message(0) is None
+    rules = default_rules().with_rule("sequence", Rule("W", "a W", 6))
+    assert [x.id for x in rules.sequence][-1] == 1024
+    assert (1024, "Error", 2, 2) in codes(spark, ">PROT1 d\nMW", Options(rules=rules))
+    with pytest.raises(ValueError, match="rule 1024"):
+        default_rules().with_rule("name", Rule("(?<", "broken", 3))
+    assert default_rules().with_rule("name", Rule(r"\p{IsAlphabetic}&&[^a]", "only Java has this", 3)).name[-1].id == 1024
+
+
+def test_statistics_file_grows_by_the_day(spark, tmp_path):
+    day = datetime(2024, 3, 5, 10, 20, 30)
+    path = append_stats(run(spark, CLEAN), str(tmp_path), date=day)
+    assert path.endswith("FastaFileStats_2024-03-05.txt")
+    append_stats(run(spark, CLEAN), str(tmp_path), date=day)
+    lines = [r.value for r in spark.read.text(path).collect()]
+    assert lines.count("\t".join(["Date", "SourceFile", "MessageType", "LineNumber", "ColumnNumber", "Description_or_Protein", "Info", "Context"])) == 1
+    assert len(lines) == 9 and sum(x.startswith("2024-03-05 10:20:30\tf\tStatus") for x in lines) == 8
+
+
+def test_same_names_in_two_folders_stay_apart(spark, tmp_path):
+    for folder, residues in (("x", "MKV"), ("y", "MKL")):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "a.fasta").write_text(f">PROT1 d\n{residues}")
+    r = validate(spark, str(tmp_path / "in"), Options(fix=True, strict_eof=True), recursive=True)
+    write_fixed(r, str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").glob("source=*"))) == 2
+    write_with_last_line_end(r, str(tmp_path / "ended"))
+    assert sorted(p.read_bytes() for p in (tmp_path / "ended" / "LF").glob("source=*/part-*")) == [b">PROT1 d\nMKL\n", b">PROT1 d\nMKV\n"]
+
+
+def test_a_chromosome_is_wrapped_in_one_pass(spark):
+    row = spark.range(1).select(F.expr("repeat('ACGTN', 10000000)").alias("r")).select(wrapped(F.col("r"), F.lit(60)).alias("w")).select(F.size("w").alias("n"), F.length(F.element_at("w", -1)).alias("last"), F.length(F.element_at("w", 1)).alias("first")).first()
+    assert (row.n, row.first, row.last) == (833_334, 60, 20)
