@@ -27,7 +27,7 @@ ORDER = 5
 BITS = 5
 BYTE_BITS = 8
 #: Levels are broadcast up to this size; beyond it, the grams of documents are joined to them.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 128 << 20
 #: Distinct grams that a counting task holds before it hands them on (counts do not depend on it).
 HELD_GRAMS = 4_000_000
 #: Trusted ids that are broadcast at most; more are joined by a shuffle.
@@ -37,8 +37,8 @@ HELD_OUT = 5
 QUANTILE = 0.99
 #: How far over its quantile a perplexity may be.
 SLACK = 1.0
-#: Documents that a threshold needs behind it; else the next wider one counts.
-MIN_TRUSTED = 200
+#: A threshold of n documents counts n times, the next wider one this often: all languages and lengths have their own, and few documents lean on more.
+PRIOR = 50
 LENGTH_CLASSES = (6, 12)
 
 _SPACE = 28
@@ -178,7 +178,7 @@ def _sorted(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     keys = table.column(0).to_numpy()
     keys = keys.astype(np.int32) if keys.max(initial=0) < 2**31 else keys
     order = np.argsort(keys)
-    return keys[order], table.column(1).to_numpy().astype(np.float32)[order]
+    return keys[order], table.column(1).to_numpy()[order]
 
 
 def _found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -259,14 +259,16 @@ def _length_class(text: F.Column) -> F.Column:
 def language_model(trusted: DataFrame, order: int = ORDER, broadcast_bytes: int = BROADCAST_BYTES, bits: int = BITS) -> QualityModel:
     """A model of the column text, without thresholds."""
     levels = train(trusted, order, bits)
-    size = 16 * sum(of.count() for of in levels)  # a gram and at most a context, of eight bytes each
+    size = 32 * sum(of.count() for of in levels)  # a gram and at most a context, two numbers of eight bytes each
     return QualityModel(levels, trusted.sparkSession.sparkContext.broadcast(Tables(levels, bits)) if size <= broadcast_bytes else None, bits=bits)
 
 
 def with_perplexity(documents: DataFrame, model: QualityModel, text_column: str = "text", column: str = "perplexity") -> DataFrame:
     """``documents`` with the perplexity per byte of each whole text; null for an empty or null text.
 
-    Both ways, in memory and by joins, give the same numbers.
+    Both ways, in memory and by joins, give the same numbers but for the order of the
+    sums. Long texts are scored whole; repeated rows get equal numbers; an empty table
+    gives no rows; all columns pass through, and one named ``column`` is replaced.
     """
     text = text_of(text_column)
     if model.tables is not None:
@@ -293,22 +295,34 @@ def fit(documents: DataFrame, trusted_ids: DataFrame, id_column: str = "doc_id",
     model = language_model(trusted.where(~held), order, broadcast_bytes, BYTE_BITS)
     scored = with_perplexity(trusted.where(held), model)
     told = stored(scored.select("lang", _length_class(F.col("text")).alias("length_class"), "perplexity"), "trusted-perplexities")
-    value, n = F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"), F.count("*").alias("n")
-    none = F.lit(None)
-    own = told.where("lang IS NOT NULL").groupBy("lang", "length_class").agg(value, n)
-    same_length = told.groupBy("length_class").agg(value, n).select(none.cast("string").alias("lang"), "length_class", "threshold", "n")
-    every = told.agg(value, n).select(none.cast("string").alias("lang"), none.cast("int").alias("length_class"), "threshold", F.lit(MIN_TRUSTED).alias("n"))
-    model.thresholds = stored(own.unionByName(same_length).unionByName(every).where(F.col("n") >= MIN_TRUSTED).drop("n"), "thresholds")
+    model.thresholds = stored(thresholds(told, quantile), "thresholds")
     return model
 
 
+def thresholds(told: DataFrame, quantile: float = QUANTILE, prior: int = PRIOR) -> DataFrame:
+    """(lang, length_class, threshold) from trusted perplexities (lang, length_class, perplexity).
+
+    A row for each language and length class, for each length class (lang null) and for
+    all (both null). Each quantile is drawn towards the next wider one in the logarithm:
+    (n log q + prior log wider) / (n + prior), so there is no size at which one takes over.
+    """
+    value, n = F.log(F.percentile_approx("perplexity", quantile, 10_000)).alias("q"), F.count("*").alias("n")
+    drawn = lambda wider: (F.col("n") * F.col("q") + prior * F.col(wider)) / (F.col("n") + prior)
+    every = told.agg(value, n).where("n > 0").select(F.col("q").alias("every"), F.lit(True).alias("_all"))  # one row
+    length = told.groupBy("length_class").agg(value, n).withColumn("_all", F.lit(True)).join(F.broadcast(every), "_all").select("length_class", drawn("every").alias("same_length"))  # a row for each class
+    own = told.where("lang IS NOT NULL").groupBy("lang", "length_class").agg(value, n).join(F.broadcast(length), "length_class")
+    rows = own.select("lang", "length_class", F.exp(drawn("same_length")).alias("threshold"))
+    rows = rows.unionByName(length.select(F.lit(None).cast("string").alias("lang"), "length_class", F.exp("same_length").alias("threshold")))
+    return rows.unionByName(every.select(F.lit(None).cast("string").alias("lang"), F.lit(None).cast("int").alias("length_class"), F.exp("every").alias("threshold")))
+
+
 def classify(documents: DataFrame, model: QualityModel, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", slack: float = SLACK) -> DataFrame:
     """doc_id, lang, perplexity, threshold and kept of every document.
 
-    A document goes if its perplexity is over ``slack`` times its threshold: the
-    quantile of trusted documents of its language and length class, of its length
-    class where these are too few, or of all. Without trusted text nothing goes but
-    the empty.
+    A document goes if its perplexity is over ``slack`` times its threshold: that of its
+    language and length class, see ``thresholds``; of its length class where no trusted
+    document has that language, or of all. Without trusted text nothing goes but the
+    empty.
 
     Nulls: a null or empty text has no perplexity and is not kept; a null language is
     held against all languages. Long texts are scored whole. Repeated rows get equal
