@@ -1,4 +1,13 @@
-"""Toxicity by two Kneser-Ney models, one of toxic and one of ordinary text, that share their backoff."""
+"""Toxicity by two Kneser-Ney models, one of toxic and one of ordinary text, that share their backoff.
+
+An expression is a word after the word before it. A model spells it in steps: growing
+prefixes of the word, the whole word, then its left neighbour, each given the step
+before. A step's probability in a class is its discounted count plus the discounted mass
+times the lower order that both classes share: continuation counts, that is in how many
+different words a prefix is met, and beside how many different words a neighbour. The
+score compares the two log-likelihoods of a text, each divided by its number of words;
+steps whose evidence is too thin have the shared probability in both and cancel.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +15,7 @@ import math
 import re
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -25,23 +34,38 @@ MAX_LABELLED = 50_000
 EVIDENCE = 20.0
 #: The part of each model that is the shared distribution, so that no single word decides.
 SHARED = 0.2
-#: A word is spelled as its first 4, 5 and 6 letters and then the whole: each is a step of the model.
+#: A word is spelled as its first 4, 5 and 6 letters, then the whole, then with the word before it: each is a step of the model.
 STEPS = (4, 5, 6)
+#: Stands before a text's first word; no word is spelled so.
+START = "^"
 
 _TRIM = re.compile(r"^[\W_]+|[\W_]+$")
 
 
-def spelled(word: bytes) -> list[str]:
-    """The steps of a word: growing prefixes, then the whole with an end mark; none without letters or digits."""
-    plain = _TRIM.sub("", word.decode("utf-8", "replace").lower())
-    return [*dict.fromkeys(plain[:n] for n in STEPS), plain + "$"] if plain else []
+def plain(word: bytes) -> str:
+    """A word without marks at its ends; empty without letters or digits."""
+    return _TRIM.sub("", word.decode("utf-8", "replace").lower())
+
+
+def spelled(word: str) -> list[str]:
+    """The steps of a plain word: growing prefixes, then the whole with an end mark."""
+    return [*dict.fromkeys(word[:n] for n in STEPS), word + "$"] if word else []
+
+
+def paired(before: str, word: str) -> str:
+    """The last step: the word with the one before it."""
+    return f"{before or START} {word}$"
 
 
 def _parent() -> F.Column:
-    """The step before: the prefix that a key extends; empty for the first."""
+    """The step before: of a pair its word; else the prefix that a key extends, empty for the first."""
     key, last = F.col("key"), max(STEPS)
     whole = F.expr(f"substring(key, 1, least(length(key) - 1, {last}))")
-    return F.when(F.col("key").endswith("$"), whole).otherwise(F.when(F.length(key) > min(STEPS), F.expr("substring(key, 1, length(key) - 1)")).otherwise(F.lit("")))
+    return F.when(_is_pair(), F.expr("substring_index(key, ' ', -1)")).when(key.endswith("$"), whole).otherwise(F.when(F.length(key) > min(STEPS), F.expr("substring(key, 1, length(key) - 1)")).otherwise(F.lit("")))
+
+
+def _is_pair() -> F.Column:
+    return F.col("key").contains(" ")
 
 
 _SUMS = ("toxic", "ordinary", "toxic_docs", "ordinary_docs")
@@ -53,21 +77,28 @@ def _count_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, labels = bytes_of(batch.column(0)), np.array(batch.column(1).to_pylist(), np.int64)
         for a, b in small_runs(texts, 2 << 20):
-            words, keys = WordIndex({BREAK.strip(): 0}), WordIndex()
-            numbers = words.numbers(BREAK.join(texts[a:b]).lower().split())
-            steps = [[]] + [spelled(w) for w in words.take_fresh()]
+            raw, words, keys = WordIndex({BREAK.strip(): 0}), WordIndex({"": 0}), WordIndex()
+            numbers = raw.numbers((BREAK + BREAK.join(texts[a:b])).lower().split())
+            word = np.concatenate([[0], words.numbers([plain(w) for w in raw.take_fresh()])])[numbers]
+            names = list(words)
+            steps = [spelled(w) for w in names]
             count = np.fromiter(map(len, steps), np.int64, len(steps))
             step = keys.numbers([k for s in steps for k in s])
-            owner = np.repeat(np.cumsum(numbers == 0), count[numbers])
-            used = step[gather_ranges((np.cumsum(count) - count)[numbers], count[numbers])]
-            size, kind = len(keys), labels[a:b] != 0
+            owner = np.cumsum(numbers == 0) - 1
+            real = (word > 0) | (numbers == 0)
+            word, owner = word[real], owner[real]
+            pair, place = np.unique((word[:-1] * len(names) + word[1:])[word[1:] > 0], return_inverse=True)
+            keys_of_pairs = [paired(names[p // len(names)], names[p % len(names)]) for p in pair.tolist()]
+            used = np.concatenate([step[gather_ranges((np.cumsum(count) - count)[word], count[word])], len(keys) + place])
+            owner = np.concatenate([np.repeat(owner, count[word]), owner[1:][word[1:] > 0]])
+            size, kind = len(keys) + len(pair), labels[a:b] != 0
             docs = np.unique(owner * size + used)
             columns = []
             for of, at in ((kind[owner], used), (kind[docs // size] if size else kind[:0], docs % max(size, 1))):
                 columns += [np.bincount(at[of], minlength=size), np.bincount(at[~of], minlength=size)]
             whole = (int(columns[0].sum()), int(columns[1].sum()), int(kind.sum()), int((~kind).sum()))
             columns = [pa.array(np.append(c, w)) for c, w in zip(columns, whole, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([*keys, ""], pa.string()), *columns], names=["key", *_SUMS])
+            yield pa.RecordBatch.from_arrays([pa.array([*keys, *keys_of_pairs, ""], pa.string()), *columns], names=["key", *_SUMS])
 
 
 def _discounts(counts: DataFrame, column: str) -> F.Column:
@@ -84,32 +115,42 @@ def _xlogx(share: F.Column, expected: F.Column) -> F.Column:
     return F.when(share > 0, share * F.log(share / expected)).otherwise(0.0)
 
 
+def _continuations(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, n) of prefixes and words: in how many different words; and of the words before others: in how many different pairs."""
+    words = counts.where(F.col("key").endswith("$") & ~_is_pair()).select("key", F.expr("substring(key, 1, length(key) - 1)").alias("word"))
+    steps = F.array_distinct(F.array(F.lit(""), *(F.substring("word", 1, n) for n in STEPS), F.col("key")))
+    return words.select(F.explode(steps).alias("key")).groupBy("key").agg(F.count("*").alias("n")), counts.where(_is_pair()).groupBy(F.substring_index("key", " ", 1).alias("before")).agg(F.count("*").alias("n"))
+
+
 def model_table(labelled: DataFrame, evidence: float = EVIDENCE, shared: float = SHARED) -> DataFrame:
-    """(key, llr): the log of P(key | its prefix, toxic) / P(key | its prefix, ordinary).
+    """(key, llr): the log of P(key | the step before, toxic) / P(key | the step before, ordinary).
 
-    labelled: text, toxic. A step's probability in a class is its discounted count plus
-    the discounted mass dealt by the shared counts of both classes, all over the
-    prefix's count. Rare expressions, whose documents of either class differ by less
-    than ``evidence`` (a log-likelihood ratio) from what the prefix's documents suggest,
-    are left out: there both classes have the shared probability, and the ratio is one.
+    labelled: text, toxic. Rare expressions, whose documents of either class differ by
+    less than ``evidence`` (a log-likelihood ratio) from what the documents of the step
+    before suggest, are left to the shared counts alone: there the ratio is one, and they
+    have no row.
     """
     found = labelled.select("text", "toxic").mapInArrow(_count_steps, "key string, " + ", ".join(f"{c} long" for c in _SUMS))
     counts = stored(found.groupBy("key").agg(*(F.sum(c).alias(c) for c in _SUMS)).withColumn("parent", _parent()), "toxic-counts")
     kinds = ("toxic", "ordinary")
     cut = counts.where("key <> ''").select("*", *(_discounts(counts, k).alias(f"d_{k}") for k in kinds))
-    above = cut.groupBy("parent").agg(*(F.sum(k).alias(f"all_{k}") for k in kinds), *(F.sum(f"d_{k}").alias(f"free_{k}") for k in kinds))
     holder = counts.select(F.col("key").alias("parent"), *(F.col(f"{k}_docs").alias(f"held_{k}") for k in kinds))
-    joined = cut.join(above, "parent").join(holder, "parent")
+    joined = cut.join(holder, "parent")
     expected = {k: F.col(f"held_{k}") for k in kinds}
     docs = F.col("toxic_docs") + F.col("ordinary_docs")
     differs = 2 * sum(_xlogx(F.col(f"{k}_docs"), docs * expected[k] / (expected["toxic"] + expected["ordinary"])) for k in kinds)
-    pooled = (F.col("toxic") + F.col("ordinary")) / (F.col("all_toxic") + F.col("all_ordinary"))
+    told = stored(joined.where(differs >= evidence), "toxic-steps")
+    above = cut.groupBy("parent").agg(*(F.sum(k).alias(f"all_{k}") for k in kinds), *(F.sum(f"d_{k}").alias(f"free_{k}") for k in kinds))
+    under, beside = _continuations(counts)
+    own = told.join(above, "parent").join(under.withColumnRenamed("n", "n_own"), "key", "left").join(under.select(F.col("key").alias("parent"), F.col("n").alias("n_parent")), "parent", "left")
+    own = own.withColumn("before", F.substring_index("key", " ", 1)).join(beside.withColumnRenamed("n", "n_before"), "before", "left")
+    pooled = F.when(_is_pair(), F.col("n_before") / F.lit(max(counts.where(_is_pair()).count(), 1))).otherwise(F.col("n_own") / F.col("n_parent"))
 
     def probability(k: str) -> F.Column:
-        own = (F.col(k) - F.col(f"d_{k}") + F.col(f"free_{k}") * pooled) / F.col(f"all_{k}")
-        return F.when(F.col(f"all_{k}") > 0, (1 - shared) * own + shared * pooled).otherwise(pooled)
+        mine = (F.col(k) - F.col(f"d_{k}") + F.col(f"free_{k}") * pooled) / F.col(f"all_{k}")
+        return F.when(F.col(f"all_{k}") > 0, (1 - shared) * mine + shared * pooled).otherwise(pooled)
 
-    return joined.where(differs >= evidence).select("key", F.log(probability("toxic") / probability("ordinary")).alias("llr"))
+    return own.select("key", F.log(probability("toxic") / probability("ordinary")).alias("llr"))
 
 
 @dataclass
@@ -118,10 +159,23 @@ class ToxicityModel:
 
     keys: np.ndarray
     ratios: np.ndarray
+    #: Words that are the first, and the second, of a pair in ``keys``; the pairs' ratios.
+    before: frozenset[str] = frozenset()
+    after: frozenset[str] = frozenset()
+    pairs: dict[str, float] = field(default_factory=dict)
     slope: float = 1.0
     offset: float = 0.0
 
-    def word_ratios(self, words: list[bytes]) -> np.ndarray:
+    @classmethod
+    def of(cls, rows: list[tuple[str, float]]) -> ToxicityModel:
+        """From the rows of ``model_table``."""
+        pairs = {k: v for k, v in rows if " " in k}
+        single = sorted((xxhash.xxh64_intdigest(k), v) for k, v in rows if " " not in k)
+        ends = [k[:-1].split(" ") for k in pairs]
+        return cls(np.array([k for k, _ in single], np.uint64), np.array([v for _, v in single], np.float64), frozenset("" if a == START else a for a, _ in ends), frozenset(b for _, b in ends), pairs)
+
+    def word_ratios(self, words: list[str]) -> np.ndarray:
+        """The sum over the steps of each plain word."""
         steps = [spelled(w) for w in words]
         flat = np.fromiter((xxhash.xxh64_intdigest(k) for s in steps for k in s), np.uint64)
         at = np.minimum(np.searchsorted(self.keys, flat), max(len(self.keys) - 1, 0))
@@ -142,19 +196,34 @@ class _Scorer:
 
     def _forget(self) -> None:
         self.words, self.ratios = WordIndex({BREAK.strip(): 0}), GrowingRows(np.float64)
-        self.ratios.extend(np.zeros(1))
+        self.real, self.before, self.after = GrowingRows(bool), GrowingRows(bool), GrowingRows(bool)
+        self.names: dict[int, str] = {0: ""}
+        self._add([""], [True])
+
+    def _add(self, names: list[str], real: list[bool]) -> None:
+        first = self.ratios.size
+        self.ratios.extend(self.model.word_ratios(names))
+        self.real.extend(np.array(real, bool))
+        for of, part in ((self.before, self.model.before), (self.after, self.model.after)):
+            of.extend(np.fromiter((n in part for n in names), bool, len(names)))
+        self.names.update((first + i, n) for i, n in enumerate(names) if n in self.model.before or n in self.model.after)
 
     def evidence(self, texts: list[bytes]) -> np.ndarray:
-        """Mean log-likelihood ratio of each text's words; zero without words."""
+        """The difference of the two log-likelihoods of each text, by its number of words; zero without words."""
         if len(self.words) > WORD_LIMIT:
             self._forget()
-        numbers = self.words.numbers(BREAK.join(texts).lower().split())
+        numbers = self.words.numbers((BREAK + BREAK.join(texts)).lower().split())
         if fresh := self.words.take_fresh():
-            self.ratios.extend(self.model.word_ratios(fresh))
-        owner = np.cumsum(numbers == 0)
-        total = np.bincount(owner, self.ratios.data[numbers], len(texts))
+            names = [plain(w) for w in fresh]
+            self._add(names, [n != "" for n in names])
+        owner = np.cumsum(numbers == 0) - 1
         size = np.bincount(owner, numbers > 0, len(texts))
-        return total / np.maximum(size, 1)
+        real = self.real.data[numbers]
+        numbers, owner = numbers[real], owner[real]
+        value = self.ratios.data[numbers]
+        for i in (1 + np.flatnonzero(self.before.data[numbers[:-1]] & self.after.data[numbers[1:]] & (numbers[1:] > 0))).tolist():
+            value[i] += self.model.pairs.get(paired(self.names[int(numbers[i - 1])], self.names[int(numbers[i])]), 0.0)
+        return np.bincount(owner, value, len(texts)) / np.maximum(size, 1)
 
 
 def _evidence_udf(model: Broadcast):
@@ -193,6 +262,10 @@ def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     Four fifths of them (by hash) give the counts, the rest the calibration. At most
     about ``max_labelled`` rows are used, so that the model is of bounded size; which
     ones is decided by a hash of the doc_id. Rows with a null id or label are left out.
+
+    A null text counts as empty. Rows of one id that repeat are all counted; of several
+    labels of an id the largest holds. Long texts are read whole. Without labels, or
+    without documents, the model has no expressions and calls nothing toxic.
     """
     spark = documents.sparkSession
     known = labels.select(F.col(id_column).alias("_id"), F.col(label_column).cast("int").alias("toxic")).where("_id IS NOT NULL AND toxic IS NOT NULL").groupBy("_id").agg(F.max("toxic").alias("toxic"))
@@ -202,9 +275,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     # max_labelled rows of an id and a label at most.
     sample = text.join(F.broadcast(chosen), "_id").withColumn("held", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(5)) == 0)
     rows = model_table(sample.where("NOT held"), evidence).collect()
-    keys = np.fromiter((xxhash.xxh64_intdigest(r[0]) for r in rows), np.uint64, len(rows))
-    order = np.argsort(keys)
-    model = ToxicityModel(keys[order], np.array([r[1] for r in rows], np.float64)[order])
+    model = ToxicityModel.of([(r[0], r[1]) for r in rows])
     told = sample.where("held").select("toxic", _evidence_udf(spark.sparkContext.broadcast(model))("text").alias("x")).collect()
     model.slope, model.offset = _logistic(np.array([r[1] for r in told]), np.array([r[0] for r in told], np.float64))
     return model
@@ -214,7 +285,9 @@ def with_score(documents: DataFrame, model: ToxicityModel, text_column: str = "t
     """``documents`` with a score from 0 to 1 of every whole text; null texts count as empty.
 
     An empty text has no evidence either way and gets what the calibration gives
-    there. All columns pass through; a column named ``score_column`` is replaced.
+    there. Repeated rows get equal scores; long texts are scored whole; an empty table
+    gives no rows. All columns pass through; a column named ``score_column`` is replaced.
+    A score of 0.5 counts as toxic.
     """
     held = documents.sparkSession.sparkContext.broadcast(model)
     x = _evidence_udf(held)(text_of(text_column)) * F.lit(model.slope) + F.lit(model.offset)
@@ -222,7 +295,7 @@ def with_score(documents: DataFrame, model: ToxicityModel, text_column: str = "t
 
 
 def held_out(id_column: str = "doc_id") -> F.Column:
-    """Rows whose label must not be learned from: a fifth, by the crc32 of the id's digits."""
+    """Rows whose label must not be learned from: a fifth, by the crc32 of the id's digits; null for a null id."""
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % 5 == 0
 
 
@@ -236,7 +309,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(documents: DataFrame, model: ToxicityModel, text_column: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``documents`` that score less than ``threshold``."""
+    """The rows of ``documents`` that score less than ``threshold``; nulls, ties and other cases as in ``with_score``."""
     held = documents.sparkSession.sparkContext.broadcast(model)
     x = _evidence_udf(held)(text_of(text_column)) * F.lit(model.slope) + F.lit(model.offset)
     return documents.where(1 / (1 + F.exp(-x)) < threshold)
