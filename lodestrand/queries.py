@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import text as t
 from .operators import checks, dedup, hashing, records
 from .options import Options
+from .plans.validation import Validation
 from .rules import default_rules
 from .sources.files import line_terminator, split_lines
 
@@ -96,12 +97,12 @@ def _headers(spark, d):
     docs = _read(spark, d, "documents")
     sep = F.when(F.col("doc_id") % 5 == 0, "\t").when(F.col("doc_id") % 5 == 1, "\xa0").when(F.col("doc_id") % 5 == 2, "�").otherwise(" ")
     name = F.concat("source", F.when(F.col("doc_id") % 3 == 0, "|a|b|c").when(F.col("doc_id") % 3 == 1, "(1),*").otherwise(""))
-    text = F.concat(F.lit(">"), name, sep, F.substring("text", 1, 60), F.when(F.col("doc_id") % 7 == 0, ' "q" \\/').otherwise(""))
+    text = F.concat(F.lit(">"), name, sep, "text", F.when(F.col("doc_id") % 7 == 0, ' "q" \\/').otherwise(""))
     return docs.select(F.lit("f").alias("file"), F.col("doc_id").alias("line_no"), text.alias("header")).withColumn("name", t.header_name(F.col("header"))).withColumn("description", t.header_description(F.col("header")))
 
 
 HEADERS = r"""headers AS (
-  SELECT doc_id AS line_no, '>' || source || CASE doc_id % 3 WHEN 0 THEN '|a|b|c' WHEN 1 THEN '(1),*' ELSE '' END || CASE doc_id % 5 WHEN 0 THEN chr(9) WHEN 1 THEN chr(160) WHEN 2 THEN chr(65533) ELSE ' ' END || substring(text, 1, 60) || CASE WHEN doc_id % 7 = 0 THEN ' "q" \/' ELSE '' END AS header
+  SELECT doc_id AS line_no, '>' || source || CASE doc_id % 3 WHEN 0 THEN '|a|b|c' WHEN 1 THEN '(1),*' ELSE '' END || CASE doc_id % 5 WHEN 0 THEN chr(9) WHEN 1 THEN chr(160) WHEN 2 THEN chr(65533) ELSE ' ' END || text || CASE WHEN doc_id % 7 = 0 THEN ' "q" \/' ELSE '' END AS header
   FROM documents
 ),
 cut AS (SELECT *, regexp_extract(header, '(?s)^.([^ \t\x{A0}\x{FFFD}]*)', 1) AS name FROM headers),
@@ -143,7 +144,7 @@ def q_rule_sequence(spark, d):
 
 def q_context_snippet(spark, d):
     place = F.instr("text", " ") + 6
-    docs = _read(spark, d, "documents").where("length(text) > 20")
+    docs = _read(spark, d, "documents")
     return docs.select("doc_id", t.context(F.col("text"), place, t.HEADER_CONTEXT).alias("wide"), t.context(F.col("text"), F.lit(1), t.SEQUENCE_CONTEXT).alias("narrow"), t.context(F.col("text"), F.length("text") - 1, t.HEADER_CONTEXT).alias("last"))
 
 
@@ -162,8 +163,8 @@ def q_finding_counts(spark, d):
 
 
 def _findings(spark, d):
-    rows = doc_lines(spark, d).join(_read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file"), "lang"), "file")
-    placed = rows.where(~t.is_blank(F.col("line"))).select(F.col("lang").alias("file"), (F.col("file").cast("long") * 1_000_000 + F.col("line_no")).alias("line_no"), t.left_trimmed(F.col("line")).alias("text"), F.lit("").alias("protein"))
+    lines = _read(spark, d, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\r\n|\n|\r")).alias("i", "line"))
+    placed = lines.where(~t.is_blank(F.col("line"))).select(F.col("lang").alias("file"), (F.col("doc_id") * 1_000_000 + F.col("i") + 1).alias("line_no"), t.left_trimmed(F.col("line")).alias("text"), F.lit("").alias("protein"))
     return checks.sequence_findings(placed, OPTIONS)
 
 
@@ -227,8 +228,7 @@ def q_consolidate(spark, d):
 
 
 def _dna(spark, d):
-    share = F.when(F.col("doc_id") % 3 == 0, F.regexp_replace(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "[^ATCG]", "")).otherwise(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")))
-    return doc_records(spark, d).drop("residues").join(_read(spark, d, "documents").select(F.col("doc_id").alias("ordinal"), share.alias("residues")), "ordinal")
+    return doc_records(spark, d).withColumn("residues", F.when(F.col("ordinal") % 3 == 0, F.regexp_replace("residues", "[^ATCG]", "")).otherwise(F.col("residues")))
 
 
 def q_dna_class(spark, d):
@@ -292,6 +292,66 @@ def q_line_endings(spark, d):
     return _read(spark, d, "documents").select("doc_id", line_terminator(mixed).alias("terminator"))
 
 
+# Runs over files of entries: a header line and a line of residues for each document, a file for each language.
+
+
+def entry_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line numbers leave gaps where a document is of another file; these do not matter."""
+    rows = doc_records(spark, sf_dir)
+    lines = F.array(F.concat(F.lit(">"), "name", F.lit(" d")), F.col("residues"))
+    return rows.select("file", F.col("ordinal").alias("doc_id"), F.posexplode(lines).alias("i", "line")).select("file", (F.col("doc_id") * 2 + F.col("i") + 1).alias("line_no"), "line")
+
+
+def _run(spark, d, **options) -> Validation:
+    return Validation(entry_lines(spark, d), Options(**options))
+
+
+ENTRIES = RECORDS + """, e AS (
+  SELECT *, ordinal * 2 + 1 AS line_no, row_number() OVER (PARTITION BY file ORDER BY ordinal) AS place, row_number() OVER (PARTITION BY file, lower(name) ORDER BY ordinal) AS k, upper(sha1(residues)) AS hash,
+    coalesce(lead(ordinal * 2 + 1) OVER (PARTITION BY file ORDER BY ordinal), ordinal * 2 + 2) AS next_line, max(ordinal * 2 + 2) OVER (PARTITION BY file) AS last_line FROM records
+)"""
+
+
+def q_end_checks(spark, d):
+    return checks.end_findings(records.classify(doc_lines(spark, d))).select("file", "level", "code", "line_no", "col")
+
+
+def q_duplicate_name_findings(spark, d):
+    return _run(spark, d).all_findings.where("code = 12").select("file", "level", "line_no", "col", "protein")
+
+
+def q_duplicate_sequence_findings(spark, d):
+    return _run(spark, d).all_findings.where("code = 18").select("file", "level", "line_no", "col", "protein", "extra", "context")
+
+
+def q_rename_findings(spark, d):
+    return _run(spark, d, fix=True, rename_duplicates=True).all_findings.where("code = 19").select("file", "level", "line_no", "col", "protein", "extra")
+
+
+def q_consolidation_findings(spark, d):
+    return _run(spark, d, fix=True, consolidate=True).all_findings.where("code = 20").select("file", "level", "line_no", "col", "protein", "extra")
+
+
+def q_retained_findings(spark, d):
+    return _run(spark, d, fix=True, keep_same_name=True).all_findings.where("code = 21").select("file", "level", "line_no", "col", "protein")
+
+
+def q_skipped_names(spark, d):
+    return _run(spark, d, fix=True).fixed.select("file", "ordinal", "name", F.length("residues").alias("n"))
+
+
+def q_fix_counts(spark, d):
+    return _run(spark, d, fix=True, invalid_name_chars="|").fix_counts
+
+
+def q_messages(spark, d):
+    return _run(spark, d, max_findings=3).findings.where("code IN (12, 17)").select("file", "line_no", "code", "message")
+
+
+def q_replacement_mark(spark, d):
+    return checks.header_findings(_headers(spark, d), OPTIONS).where("code = 1005").select("line_no", "level", "col", "context")
+
+
 UNIQUE_SQL = f"""
 WITH {RECORDS}, h AS (SELECT *, upper(sha1(residues)) AS hash FROM records WHERE residues <> ''),
 u AS (SELECT file, hash, min(ordinal) AS o, arg_min(name, ordinal) AS first, max(length(residues)) AS n, list_sort(list(DISTINCT name)) AS names FROM h GROUP BY file, hash),
@@ -321,7 +381,7 @@ SELECT file, code, level, count(*) AS n, min(line_no) AS first_line FROM f GROUP
     "q_rule_name": f"WITH {HEADERS} " + _sql_rules(RULES.name, "name", "1", "parts"),
     "q_rule_description": f"WITH {HEADERS} " + _sql_rules(RULES.description, "description", "length(name) + 1", "parts"),
     "q_rule_sequence": rf"WITH {LINES}, placed AS (SELECT file::BIGINT * 1000000 + line_no AS line_no, regexp_replace(line, '^\s+', '') AS text FROM lines WHERE NOT regexp_full_match(line, '\s*')), broken AS (" + _sql_rules(RULES.sequence, "text", "0", "placed") + ") SELECT level, code, extra, count(*) AS n, sum(col)::BIGINT AS cols, max(line_no) AS last_line FROM broken GROUP BY level, code, extra",
-    "q_context_snippet": "SELECT doc_id, " + ", ".join(f"substring(text, greatest({i} - {h}, 0) + 1, least(greatest({i} + {h}, greatest({i} - {h}, 0) + {2 * h}), length(text) - 1) - greatest({i} - {h}, 0) + 1) AS {n}" for n, i, h in (("wide", "(instr(text, ' ') + 6)", 6), ("narrow", "1", 2), ("last", "(length(text) - 1)", 6))) + " FROM documents WHERE length(text) > 20",
+    "q_context_snippet": "SELECT doc_id, " + ", ".join(f"CASE WHEN length(text) <= 1 THEN text ELSE substring(text, greatest({i} - {h}, 0) + 1, least(greatest({i} + {h}, greatest({i} - {h}, 0) + {2 * h}), length(text) - 1) - greatest({i} - {h}, 0) + 1) END AS {n}" for n, i, h in (("wide", "(instr(text, ' ') + 6)", 6), ("narrow", "1", 2), ("last", "(length(text) - 1)", 6))) + " FROM documents",
     "q_name_length": "WITH n AS (SELECT p_partkey AS line_no, length(p_name) AS n FROM part) SELECT line_no, 'Warning' AS level, 13 AS code, 2 AS col, n AS length FROM n WHERE n < 20 UNION ALL SELECT line_no, 'Error', 1, 2, n FROM n WHERE n > 30",
     "q_findings_capped": f"WITH {FINDINGS_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY file, level, code ORDER BY line_no, col, extra) AS k FROM broken) SELECT file, level, code, line_no, col, extra FROM ranked WHERE k <= 5",
     "q_finding_counts": f"WITH {FINDINGS_SQL} SELECT file, level, code, least(count(*), 5) AS n_specified, greatest(count(*) - 5, 0) AS n_unspecified FROM broken GROUP BY file, level, code",
@@ -344,5 +404,15 @@ SELECT file, code, level, count(*) AS n, min(line_no) AS first_line FROM f GROUP
     "q_wrap_residues": f"WITH {RECORDS}, w AS (SELECT ordinal, residues, greatest(CASE WHEN length(residues) % 200 <= 0 OR length(residues) % 200 > 120 THEN 120 ELSE length(residues) % 200 END, 10) AS w FROM records WHERE residues <> ''), l AS (SELECT ordinal, unnest([substring(residues, i, w) for i in range(1, length(residues) + 1, w)]) AS line FROM w) SELECT ordinal, count(*) AS n_lines, max(length(line)) AS longest, max(line) AS largest FROM l GROUP BY ordinal",
     "q_build_header": "SELECT s_suppkey, '>' || CASE WHEN s_suppkey % 3 = 0 THEN '????' ELSE s_name END || CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE ' supplier' END AS header FROM supplier",
     "q_file_stats": f"WITH {STREAM} SELECT file, count(*) FILTER (WHERE kind = 'header') AS proteins, coalesce(sum(length(text)) FILTER (WHERE kind = 'residue'), 0)::BIGINT AS residues FROM state GROUP BY file",
+    "q_end_checks": f"WITH {KINDS}, f AS (SELECT file, max(line_no) AS line_no, count(*) FILTER (WHERE kind = 'header') AS heads, arg_max(kind, line_no) FILTER (WHERE kind <> 'blank') AS last FROM kinds GROUP BY file) SELECT file, 'Error' AS level, CASE WHEN heads = 0 THEN 9 ELSE 10 END AS code, line_no, 1 AS col FROM f WHERE heads = 0 OR last = 'header'",
+    "q_duplicate_name_findings": f"WITH {ENTRIES} SELECT file, 'Error' AS level, line_no, 2 AS col, name AS protein FROM e WHERE k > 1",
+    "q_duplicate_sequence_findings": f"WITH {ENTRIES}, g AS (SELECT file, hash, arg_min(name, ordinal) AS protein, list_sort(list(name)) AS names, any_value(last_line) AS line_no, any_value(substring(residues, 1, 20)) AS context FROM e WHERE k = 1 AND residues <> '' GROUP BY file, hash HAVING count(*) > 1) SELECT file, 'Warning' AS level, line_no, 1 AS col, protein, array_to_string(list_concat([protein], [n for n in names if n <> protein]), ', ') AS extra, context FROM g",
+    "q_rename_findings": f"WITH {ENTRIES} SELECT file, 'Warning' AS level, line_no, 2 AS col, name AS protein, '--> ' || name || CASE WHEN k <= 26 THEN '-' || chr((96 + k)::INT) ELSE '-' || chr((97 + (k - 27) % 26)::INT) || ((k - 27) // 26 + 1) END AS extra FROM e WHERE k > 1",
+    "q_consolidation_findings": f"WITH {ENTRIES}, v AS (SELECT *, min(ordinal) OVER (PARTITION BY file, hash) AS first, first_value(name) OVER (PARTITION BY file, hash ORDER BY ordinal) AS same FROM e WHERE k = 1) SELECT file, 'Warning' AS level, next_line AS line_no, 0 AS col, name AS protein, CASE WHEN residues = '' THEN 'same as ??' ELSE 'same as ' || same END AS extra FROM v WHERE residues = '' OR ordinal <> first",
+    "q_retained_findings": f"WITH {ENTRIES}, f AS (SELECT *, first_value(CASE WHEN residues = '' THEN '' ELSE hash END) OVER (PARTITION BY file, lower(name) ORDER BY ordinal) AS f FROM e) SELECT file, 'Warning' AS level, next_line AS line_no, 1 AS col, name AS protein FROM f WHERE k > 1 AND CASE WHEN residues = '' THEN '' ELSE hash END <> f",
+    "q_skipped_names": f"WITH {ENTRIES} SELECT file, place AS ordinal, name, length(residues) AS n FROM e WHERE k = 1",
+    "q_fix_counts": f"WITH {ENTRIES} SELECT file, 0 AS truncated_names, 0 AS refs_removed, count(*) AS chars_replaced, 0 AS duplicates_renamed, count(*) FILTER (WHERE k > 1) AS duplicates_skipped, 0 AS updated_residue_lines, 0 AS duplicate_sequences_skipped FROM e GROUP BY file",
+    "q_messages": f"WITH {ENTRIES}, f AS (SELECT file, line_no, 12 AS code, 'Duplicate protein name found' AS message FROM e WHERE k > 1 UNION ALL SELECT file, line_no + 1, 17, 'Residues line is longer than the suggested maximum length of 120 characters (' || length(residues) || ')' FROM e WHERE length(residues) > 120) SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY file, code ORDER BY line_no) <= 3",
+    "q_replacement_mark": f"WITH {HEADERS} SELECT line_no, 'Warning' AS level, length(name) + 2 AS col, substring(header, greatest(length(name) + 1 - 6, 0) + 1, 13) AS context FROM parts WHERE line_no % 5 = 2",
     "q_line_endings": "SELECT doc_id, CASE WHEN instr(text, chr(10)) = 0 OR instr(text, chr(10)) > 100000 THEN 'CRLF' ELSE CASE doc_id % 4 WHEN 0 THEN 'CRLF' WHEN 1 THEN 'CR' WHEN 2 THEN 'LFCR' ELSE 'LF' END END AS terminator FROM documents",
 }
