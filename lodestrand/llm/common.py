@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import shared_folder, stored
 
-__all__ = ["GrowingRows", "WordIndex", "bytes_of", "gather_ranges", "shared_folder", "small_runs", "stored", "sums_of_runs", "text_of", "worker_table"]
+__all__ = ["GrowingRows", "WordIndex", "bytes_of", "gather_ranges", "own_names", "shared_folder", "small_runs", "stored", "sums_of_runs", "text_of", "worker_table"]
 
 #: Characters of text that a Python worker holds as words at one time.
 CHUNK_CHARS = 1 << 20
@@ -25,6 +26,18 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns that a function adds for itself: like ``names``, and in the way of no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 _held: dict = {}
 
 

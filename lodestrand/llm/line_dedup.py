@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bytes_of, stored, text_of
+from .common import bytes_of, own_names, stored, text_of
 from .perfect_hash import PerfectHash
 
 MIN_CHARS = 40
@@ -221,7 +221,8 @@ def drop_shared_lines(documents: DataFrame, id_column: str = "doc_id", text_colu
     Nulls: a null text is one empty line and becomes the empty text; a null doc_id
     counts as one document, smaller than any other. Repeated rows of one doc_id are
     one document in the counts, and all of them keep or lose a line. Long texts are
-    read whole. An empty table gives no rows. Other columns pass through.
+    read whole. An empty table gives no rows. Other columns pass through;
+    one named ``report`` is replaced.
     """
     spark = documents.sparkSession
     plain = documents.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("doc_id"), text_of(text_column).alias("text"))
@@ -234,9 +235,10 @@ def drop_shared_lines(documents: DataFrame, id_column: str = "doc_id", text_colu
         held = spark.sparkContext.broadcast([tuple(row) for row in index.collect()])
         told = documents.withColumn(report, _rewrite_by_broadcast(held, shards, min_chars)(key, text))
     else:
-        drops = _drops_by_shard(plain, index, shards, min_chars, group_rows).select(F.col("doc_id").alias("_drop_id"), F.col("text_hash").alias("_drop_hash"), F.col("dropped").alias("_dropped"))
-        joined = documents.join(drops, (key == F.col("_drop_id")) & (F.xxhash64(text) == F.col("_drop_hash")), "left")
-        told = joined.withColumn(report, _rewrite_by_numbers(text, F.col("_dropped"))).drop("_drop_id", "_drop_hash", "_dropped")
+        own = own_names(documents, "_drop_id", "_drop_hash", "_dropped")
+        drops = _drops_by_shard(plain, index, shards, min_chars, group_rows).toDF(*own)
+        joined = documents.join(drops, (key == F.col(own[0])) & (F.xxhash64(text) == F.col(own[1])), "left")
+        told = joined.withColumn(report, _rewrite_by_numbers(text, F.col(own[2]))).drop(*own)
     return told.withColumn(text_column, F.col(report)["text"])
 
 

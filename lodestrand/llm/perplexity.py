@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bytes_of, gather_ranges, small_runs, stored, text_of
+from .common import bytes_of, gather_ranges, own_names, small_runs, stored, text_of
 
 ORDER = 5
 #: Bits of a symbol: the folded alphabet of five, or all bytes as they are.
@@ -273,10 +273,11 @@ def with_perplexity(documents: DataFrame, model: QualityModel, text_column: str
     text = text_of(text_column)
     if model.tables is not None:
         return documents.withColumn(column, F.when(text != "", F.exp(-_mean_log(model.tables, len(model.levels), model.bits)(text))))
-    told = _joined_mean_log(documents, model.levels, text, model.bits).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.exp(-F.col("mean_log")).alias("_perplexity"))
+    own1, own2, value = own_names(documents, "_h1", "_h2", "_perplexity")
+    told = _joined_mean_log(documents, model.levels, text, model.bits).select(F.col("h1").alias(own1), F.col("h2").alias(own2), F.exp(-F.col("mean_log")).alias(value))
     h1, h2 = _text_key(text)
-    joined = documents.join(told, (h1 == F.col("_h1")) & (h2 == F.col("_h2")), "left")
-    return joined.withColumn(column, F.when(text != "", F.col("_perplexity"))).drop("_h1", "_h2", "_perplexity")
+    joined = documents.join(told, (h1 == F.col(own1)) & (h2 == F.col(own2)), "left")
+    return joined.withColumn(column, F.when(text != "", F.col(value))).drop(own1, own2, value)
 
 
 def fit(documents: DataFrame, trusted_ids: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", order: int = ORDER, quantile: float = QUANTILE, broadcast_ids: int = BROADCAST_IDS, broadcast_bytes: int = BROADCAST_BYTES) -> QualityModel:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import own_names, stored, text_of
 
 
 def either_case(words: str) -> str:
@@ -146,6 +146,10 @@ def redact(documents: DataFrame, id_column: str = "doc_id", text_column: str = "
     Masked are the secrets of ``secret_spans`` but for endpoints, where only user and
     password go; also keys of 40 characters between = _ . or -, which op7's own kinds
     take for parts of longer runs. Spans that overlap or touch have one mask.
+
+    Nulls: a null text stays null, a null doc_id is a document like another. Long texts
+    are masked whole. Repeated rows get equal texts. An empty table gives no rows. All
+    columns pass through, whatever their names.
     """
     key = ["doc_id", "text_hash"]
     every = stored(spans(_keyed(documents, id_column, text_column), MASKED), "masked-spans")
@@ -154,13 +158,14 @@ def redact(documents: DataFrame, id_column: str = "doc_id", text_column: str = "
     order = Window.partitionBy(*key).orderBy("start", "end")
     fresh = F.coalesce(F.col("start") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     islands = found.withColumn("fresh", fresh.cast("int")).withColumn("island", F.sum("fresh").over(order)).groupBy(*key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    cuts = islands.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cuts")).select(F.col("doc_id").alias("_cut_id"), F.col("text_hash").alias("_cut_hash"), "_cuts")
-    text, last = text_of(text_column), F.size("_cuts")
-    begin = lambda i: F.when(i == 0, 0).otherwise(F.get("_cuts", i - 1)["end"])
-    stop = lambda i: F.when(i == last, F.length(text)).otherwise(F.get("_cuts", i)["start"])
+    at, own_id, own_hash = own_names(documents, "_cuts", "_cut_id", "_cut_hash")
+    cuts = islands.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(at)).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash), at)
+    text, last = text_of(text_column), F.size(at)
+    begin = lambda i: F.when(i == 0, 0).otherwise(F.get(at, i - 1)["end"])
+    stop = lambda i: F.when(i == last, F.length(text)).otherwise(F.get(at, i)["start"])
     kept = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, (begin(i) + 1).cast("int"), (stop(i) - begin(i)).cast("int")))
-    joined = documents.join(cuts, F.col(id_column).eqNullSafe(F.col("_cut_id")) & (F.xxhash64(text) == F.col("_cut_hash")), "left")
-    return joined.withColumn(text_column, F.when(F.col("_cuts").isNull(), F.col(text_column)).otherwise(F.array_join(kept, mask))).drop("_cut_id", "_cut_hash", "_cuts")
+    joined = documents.join(cuts, F.col(id_column).eqNullSafe(F.col(own_id)) & (F.xxhash64(text) == F.col(own_hash)), "left")
+    return joined.withColumn(text_column, F.when(F.col(at).isNull(), F.col(text_column)).otherwise(F.array_join(kept, mask))).drop(own_id, own_hash, at)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bits import bit_sums, packed
-from .common import bytes_of, small_runs, stored, text_of
+from .common import bytes_of, own_names, small_runs, stored, text_of
 from .components import components
 
 SHINGLE = 4
@@ -228,11 +228,11 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
 
 def first_of_each(documents: DataFrame, found: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """The rows of ``documents`` that are the first of a root of ``found`` (doc_id, text_hash, root); all columns."""
-    absent = F.lit(-(2**63))
+    absent, key = F.lit(-(2**63)), own_names(documents, "_row_id", "_row_hash")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
-    kept = found.groupBy("root").agg(first).select(F.coalesce("first.doc_id", absent).alias("_row_id"), F.col("first.text_hash").alias("_row_hash"))
-    keyed = documents.withColumns({"_row_id": F.coalesce(F.col(id_column).cast("long"), absent), "_row_hash": F.xxhash64(text_of(text_column))})
-    return keyed.join(kept, ["_row_id", "_row_hash"], "left_semi").dropDuplicates(["_row_id", "_row_hash"]).drop("_row_id", "_row_hash")
+    kept = found.groupBy("root").agg(first).select(F.coalesce("first.doc_id", absent).alias(key[0]), F.col("first.text_hash").alias(key[1]))
+    keyed = documents.withColumns({key[0]: F.coalesce(F.col(id_column).cast("long"), absent), key[1]: F.xxhash64(text_of(text_column))})
+    return keyed.join(kept, key, "left_semi").dropDuplicates(key).drop(*key)
 
 
 def keep_one(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS) -> DataFrame:
