@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,10 @@ from .tokens import BREAK
 BITS = 128
 #: Fingerprints of this many different bits or fewer are found; there is one block more than that.
 RADIUS = 3
+#: Bytes of text in one range of the order of ids, which one task reads.
+RANGE_BYTES = 32 << 20
+#: Bytes of texts that are compared at one time.
+RUN_BYTES = 1 << 20
 #: A word weighs as much as it has bytes, up to this: short words are in every text.
 MAX_WEIGHT = 12
 
@@ -147,12 +152,14 @@ def beside_next(documents: DataFrame, buckets: int | None = None) -> DataFrame:
     """(target, guest, doc_id, text): within a target, in order, each row comes before its next document.
 
     Order: descending doc_id (nulls last), equal ids by the hash of their text; after
-    the last comes the first. Ranges of ids are the targets. The first row of a range
+    the last comes the first. Ranges of ids are the targets, as many as the bytes of the
+    texts ask for, so that a task does not grow with the table. The first row of a range
     is also, as a guest, the last of the range before, so one shuffle of the texts is
     enough. Only the ranges' bounds and first rows' ids pass the driver.
     """
     spark = documents.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = buckets or max(1, math.ceil(size / RANGE_BYTES))
     bounds = documents.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
     keyed = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), _bucket(sorted(set(map(int, bounds))))("doc_id").alias("bucket"))
     order = F.struct(F.col("doc_id").isNotNull(), "doc_id", "text_hash")
@@ -176,9 +183,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     waiting: tuple | None = None
     for batch in batches:
         targets, guests, ids = (batch.column(i).to_pylist() for i in range(3))
-        texts = batch.column(3)
-        for a in range(0, batch.num_rows, 500):
-            rows = list(zip(targets[a : a + 500], guests[a : a + 500], ids[a : a + 500], bytes_of(texts.slice(a, 500)), strict=True))
+        texts = bytes_of(batch.column(3))
+        for a, b in small_runs(texts, RUN_BYTES):
+            rows = list(zip(targets[a:b], guests[a:b], ids[a:b], texts[a:b], strict=True))
             rows = ([waiting] if waiting else []) + rows
             waiting = rows[-1]
             # A target's last row is a guest, and a guest has no next row of its own.
