@@ -84,7 +84,6 @@ def text_statistics(documents: DataFrame, id_column: str = "doc_id", text_column
         "lang",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        _removed(text, r"[#*$%&|<>]").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(_covered("places"), F.lit(0)).alias("n_repeat_words"),
         F.length(text).cast("long").alias("n_chars"),
@@ -96,7 +95,7 @@ def text_statistics(documents: DataFrame, id_column: str = "doc_id", text_column
     size = max(map(len, COMMON_WORDS.values()))
     each = [F.size("seen") - F.size(F.array_remove("seen", F.lit(k + 1).cast("long"))) for k in range(size)]
     common = F.array(*(x.cast("long") for x in each), F.col("n_words") - F.size("seen"))
-    return counted.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.array(*CHARACTER_CLASSES, rest).alias("characters"), F.when(F.col("is_listed"), common).alias("common"))
+    return counted.select("doc_id", "lang", "n_words", "word_chars", F.col("symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words", F.array(*CHARACTER_CLASSES, rest).alias("characters"), F.when(F.col("is_listed"), common).alias("common"))
 
 
 def references(statistics: DataFrame) -> DataFrame:
@@ -127,13 +126,19 @@ def divergence(counts: str, reference: str) -> Column:
     return F.when((n > 0) & (m > 0), F.sqrt(F.greatest(whole / 2, F.lit(0.0))))
 
 
-def judge(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", max_character_distance: float = MAX_CHARACTER_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE, min_words_compared: int = MIN_WORDS_COMPARED) -> DataFrame:
+def base_failed() -> Column:
+    """Too few words, or too many of them in windows that repeat."""
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
+
+
+def judge(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", max_character_distance: float = MAX_CHARACTER_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE, min_words_compared: int = MIN_WORDS_COMPARED, trusted: DataFrame | None = None) -> DataFrame:
     """One row per document with its counts, its distances from its language and the verdict.
 
-    The references are the summed histograms of all documents of a language. A text is
-    compared with its own language's; with all documents' where the language has no
-    list of common words (or is null), and then by characters alone. Texts of fewer
-    than ``min_words_compared`` words are compared by characters alone.
+    The references are the summed histograms of ``trusted`` (columns as ``documents``),
+    or, without it, of all documents themselves: a verdict then depends on the table it
+    comes with. A text is compared with its own language's; with all languages' where the language has no list of common words
+    (or is null), and then by characters alone. Texts of fewer than
+    ``min_words_compared`` words are compared by characters alone.
 
     Columns: doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     character_distance, word_distance (null where not compared), base_failed, kept.
@@ -143,12 +148,12 @@ def judge(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
     An empty table gives no rows. Other columns are ignored.
     """
     counts = stored(text_statistics(documents, id_column, text_column, lang_column), "text-statistics")
+    known_good = counts if trusted is None else text_statistics(trusted, id_column, text_column, lang_column)
     known = counts.withColumn("language", F.when(F.col("lang").isin(*COMMON_WORDS), F.col("lang")).otherwise(F.lit("")))
-    joined = known.join(F.broadcast(references(counts)), "language", "left")
+    joined = known.join(F.broadcast(references(known_good)), "language", "left")  # a row for each listed language and one more
     compared = joined.withColumns({"character_distance": divergence("characters", "characters_reference"), "word_distance": F.when((F.col("n_words") >= min_words_compared) & F.col("common").isNotNull(), divergence("common", "common_reference"))})
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     close = (F.coalesce("character_distance", F.lit(0.0)) <= max_character_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= max_word_distance)
-    return compared.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "character_distance", "word_distance", failed.alias("base_failed"), (~failed & close).alias("kept"))
+    return compared.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "character_distance", "word_distance", base_failed().alias("base_failed"), (~base_failed() & close).alias("kept"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

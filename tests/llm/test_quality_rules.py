@@ -54,3 +54,12 @@ def test_histograms_are_those_of_the_text(spark):
 
 def test_empty_table(spark):
     assert Q.judge(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def test_trusted_references_make_a_verdict_its_own(spark):
+    kind = "doc_id long, text string, lang string"
+    trusted = spark.createDataFrame([(i, TEXTS[12][0], "en") for i in range(3)], kind)
+    one = spark.createDataFrame([(1, TEXTS[12][0] + " and a bird", "en")], kind)
+    crowd = one.unionByName(spark.createDataFrame([(10 + i, "zq xj kv " * 100, "en") for i in range(50)], kind))
+    alone, among = (next(r for r in Q.judge(d, trusted=trusted).collect() if r.doc_id == 1) for d in (one, crowd))
+    assert alone == among and alone.word_distance is not None
