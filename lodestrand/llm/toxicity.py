@@ -76,7 +76,7 @@ def _count_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     worker_table("toxic-counts", bool)  # empties what other operators keep
     for batch in batches:
         texts, labels = bytes_of(batch.column(0)), np.array(batch.column(1).to_pylist(), np.int64)
-        for a, b in small_runs(texts, 2 << 20):
+        for a, b in small_runs(texts, 4 << 20):
             raw, words, keys = WordIndex({BREAK.strip(): 0}), WordIndex({"": 0}), WordIndex()
             numbers = raw.numbers((BREAK + BREAK.join(texts[a:b])).lower().split())
             word = np.concatenate([[0], words.numbers([plain(w) for w in raw.take_fresh()])])[numbers]
@@ -134,7 +134,7 @@ def model_table(labelled: DataFrame, evidence: float = EVIDENCE, shared: float =
     counts = stored(found.groupBy("key").agg(*(F.sum(c).alias(c) for c in _SUMS)).withColumn("parent", _parent()), "toxic-counts")
     kinds = ("toxic", "ordinary")
     cut = counts.where("key <> ''").select("*", *(_discounts(counts, k).alias(f"d_{k}") for k in kinds))
-    holder = counts.select(F.col("key").alias("parent"), *(F.col(f"{k}_docs").alias(f"held_{k}") for k in kinds))
+    holder = counts.where(~_is_pair()).select(F.col("key").alias("parent"), *(F.col(f"{k}_docs").alias(f"held_{k}") for k in kinds))
     joined = cut.join(holder, "parent")
     expected = {k: F.col(f"held_{k}") for k in kinds}
     docs = F.col("toxic_docs") + F.col("ordinary_docs")
