@@ -76,7 +76,7 @@ def _count_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     worker_table("toxic-counts", bool)  # empties what other operators keep
     for batch in batches:
         texts, labels = bytes_of(batch.column(0)), np.array(batch.column(1).to_pylist(), np.int64)
-        for a, b in small_runs(texts, 4 << 20):
+        for a, b in small_runs(texts, 2 << 20):
             raw, words, keys = WordIndex({BREAK.strip(): 0}), WordIndex({"": 0}), WordIndex()
             numbers = raw.numbers((BREAK + BREAK.join(texts[a:b])).lower().split())
             word = np.concatenate([[0], words.numbers([plain(w) for w in raw.take_fresh()])])[numbers]
@@ -159,20 +159,25 @@ class ToxicityModel:
 
     keys: np.ndarray
     ratios: np.ndarray
-    #: Words that are the first, and the second, of a pair in ``keys``; the pairs' ratios.
-    before: frozenset[str] = frozenset()
-    after: frozenset[str] = frozenset()
-    pairs: dict[str, float] = field(default_factory=dict)
+    #: Words that are the first, and the second, of a pair, numbered; the pairs as first * len(after) + second, in order, and their ratios.
+    before: dict[str, int] = field(default_factory=dict)
+    after: dict[str, int] = field(default_factory=dict)
+    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    pair_ratios: np.ndarray = field(default_factory=lambda: np.zeros(0))
     slope: float = 1.0
     offset: float = 0.0
 
     @classmethod
     def of(cls, rows: list[tuple[str, float]]) -> ToxicityModel:
         """From the rows of ``model_table``."""
-        pairs = {k: v for k, v in rows if " " in k}
         single = sorted((xxhash.xxh64_intdigest(k), v) for k, v in rows if " " not in k)
-        ends = [k[:-1].split(" ") for k in pairs]
-        return cls(np.array([k for k, _ in single], np.uint64), np.array([v for _, v in single], np.float64), frozenset("" if a == START else a for a, _ in ends), frozenset(b for _, b in ends), pairs)
+        ends = [(*k[:-1].split(" "), v) for k, v in rows if " " in k]
+        before = {w: i for i, w in enumerate(sorted({a for a, *_ in ends}))}
+        after = {w: i for i, w in enumerate(sorted({b for _, b, _ in ends}))}
+        pairs = sorted((before[a] * len(after) + after[b], v) for a, b, v in ends)
+        if START in before:
+            before[""] = before.pop(START)
+        return cls(np.array([k for k, _ in single], np.uint64), np.array([v for _, v in single], np.float64), before, after, np.array([k for k, _ in pairs], np.int64), np.array([v for _, v in pairs], np.float64))
 
     def word_ratios(self, words: list[str]) -> np.ndarray:
         """The sum over the steps of each plain word."""
@@ -196,17 +201,14 @@ class _Scorer:
 
     def _forget(self) -> None:
         self.words, self.ratios = WordIndex({BREAK.strip(): 0}), GrowingRows(np.float64)
-        self.real, self.before, self.after = GrowingRows(bool), GrowingRows(bool), GrowingRows(bool)
-        self.names: dict[int, str] = {0: ""}
+        self.real, self.before, self.after = GrowingRows(bool), GrowingRows(np.int32), GrowingRows(np.int32)
         self._add([""], [True])
 
     def _add(self, names: list[str], real: list[bool]) -> None:
-        first = self.ratios.size
         self.ratios.extend(self.model.word_ratios(names))
         self.real.extend(np.array(real, bool))
         for of, part in ((self.before, self.model.before), (self.after, self.model.after)):
-            of.extend(np.fromiter((n in part for n in names), bool, len(names)))
-        self.names.update((first + i, n) for i, n in enumerate(names) if n in self.model.before or n in self.model.after)
+            of.extend(np.fromiter((part.get(n, -1) for n in names), np.int32, len(names)))
 
     def evidence(self, texts: list[bytes]) -> np.ndarray:
         """The difference of the two log-likelihoods of each text, by its number of words; zero without words."""
@@ -221,8 +223,13 @@ class _Scorer:
         real = self.real.data[numbers]
         numbers, owner = numbers[real], owner[real]
         value = self.ratios.data[numbers]
-        for i in (1 + np.flatnonzero(self.before.data[numbers[:-1]] & self.after.data[numbers[1:]] & (numbers[1:] > 0))).tolist():
-            value[i] += self.model.pairs.get(paired(self.names[int(numbers[i - 1])], self.names[int(numbers[i])]), 0.0)
+        if len(self.model.pairs):
+            first, second = self.before.data[numbers[:-1]].astype(np.int64), self.after.data[numbers[1:]]
+            both = np.flatnonzero((first >= 0) & (second >= 0) & (numbers[1:] > 0))
+            pair = first[both] * len(self.model.after) + second[both]
+            at = np.minimum(np.searchsorted(self.model.pairs, pair), len(self.model.pairs) - 1)
+            hit = self.model.pairs[at] == pair
+            value[1 + both[hit]] += self.model.pair_ratios[at[hit]]
         return np.bincount(owner, value, len(texts)) / np.maximum(size, 1)
 
 
