@@ -8,6 +8,8 @@ the lines of all documents of a source as one file, each document after a header
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,8 +117,11 @@ def _sql_rules(rules, text: str, offset: str, line_from: str) -> str:
     for r in rules:
         p = r.pattern.replace("'", "''").replace(r"\xA0", r"\x{A0}").replace(r"\xFFFD", r"\x{FF}FD")
         place = f"length(regexp_extract({text}, '(?s)^(.*?)(?:{p.lstrip('^')})', 1))" if not p.startswith("^") else "0"
+        holds = f"regexp_matches({text}, '(?s){p}')"
+        if least := re.fullmatch(r"\.\{(\d+),\}", r.pattern):  # so many characters or more: what the pattern says, in a form that is quick on whole texts
+            place, holds = "0", f"length({text}) >= {least[1]}"
         extra = f"regexp_extract({text}, '(?s){p}')" if r.show_match else "''"
-        found.append(f"SELECT line_no, '{r.level}' AS level, {r.id} AS code, {offset} + {place} + 1 AS col, {extra} AS extra FROM {line_from} WHERE regexp_matches({text}, '(?s){p}')")
+        found.append(f"SELECT line_no, '{r.level}' AS level, {r.id} AS code, {offset} + {place} + 1 AS col, {extra} AS extra FROM {line_from} WHERE {holds}")
     return " UNION ALL ".join(found)
 
 
