@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality_rules, secrets, warc
+from . import line_dedup, quality_rules, secrets, turn_repair, warc
 from .fingerprints import op5_document_fingerprints
 from .line_dedup import op10_line_dedup
 from .packing import op4_packing
@@ -12,6 +12,7 @@ from .quality_rules import op8_quality_rules
 from .secrets import op7_secret_scan
 from .simhash_trie import op2_simhash_near_dedup
 from .toxicity import op6_toxicity
+from .turn_repair import op12_conversation_repair
 from .warc import op1_warc_revisits
 
 QUERIES = {
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_line_dedup": op10_line_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -32,4 +34,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_secret_scan": secrets.ORACLE_SQL,
     "op8_quality_rules": quality_rules.ORACLE_SQL,
     "op10_line_dedup": line_dedup.ORACLE_SQL,
+    "op12_conversation_repair": turn_repair.ORACLE_SQL,
 }
