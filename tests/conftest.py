@@ -2,6 +2,7 @@ import os
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 ROOT = str(Path(__file__).resolve().parent.parent)
@@ -54,7 +55,7 @@ def shown(frame):
     """Rows as sorted tuples of text, columns by name, whole numbers alike whatever their type."""
 
     def cell(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return "null"
         if isinstance(v, float):
             return str(int(v)) if v == int(v) else f"{v:.9g}"
