@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality_rules, secrets, turn_repair, warc
+from . import line_dedup, prefix_trie, quality_rules, secrets, turn_repair, warc
 from .fingerprints import op5_document_fingerprints
 from .line_dedup import op10_line_dedup
 from .packing import op4_packing
 from .perplexity import op9_quality_classifier
 from .pieces import op3_sentencepiece
+from .prefix_trie import op13_prefix_trie
 from .quality_rules import op8_quality_rules
 from .secrets import op7_secret_scan
 from .simhash_trie import op2_simhash_near_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_line_dedup": op10_line_dedup,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -35,4 +37,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_quality_rules": quality_rules.ORACLE_SQL,
     "op10_line_dedup": line_dedup.ORACLE_SQL,
     "op12_conversation_repair": turn_repair.ORACLE_SQL,
+    "op13_prefix_trie": prefix_trie.ORACLE_SQL,
 }

@@ -7,7 +7,7 @@ from lodestrand.llm.queries import ORACLE_SQL, QUERIES
 
 
 def test_names():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
     assert set(ORACLE_SQL) <= set(QUERIES) and all(isinstance(s, str) for s in ORACLE_SQL.values())
 
 
