@@ -10,6 +10,7 @@ from .perplexity import op9_quality_classifier
 from .pieces import op3_sentencepiece
 from .prefix_trie import op13_prefix_trie
 from .quality_rules import op8_quality_rules
+from .repeats import op11_suffix_dedup
 from .secrets import op7_secret_scan
 from .simhash_trie import op2_simhash_near_dedup
 from .toxicity import op6_toxicity
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_line_dedup": op10_line_dedup,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_prefix_trie": op13_prefix_trie,
 }
