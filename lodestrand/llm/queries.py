@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, prefix_trie, quality_rules, secrets, turn_repair, warc
+from . import line_dedup, prefix_trie, quality_rules, repeats, secrets, turn_repair, warc
 from .fingerprints import op5_document_fingerprints
 from .line_dedup import op10_line_dedup
 from .packing import op4_packing
@@ -38,6 +38,7 @@ ORACLE_SQL: dict[str, str] = {
     "op7_secret_scan": secrets.ORACLE_SQL,
     "op8_quality_rules": quality_rules.ORACLE_SQL,
     "op10_line_dedup": line_dedup.ORACLE_SQL,
+    "op11_suffix_dedup": repeats.ORACLE_SQL,
     "op12_conversation_repair": turn_repair.ORACLE_SQL,
     "op13_prefix_trie": prefix_trie.ORACLE_SQL,
 }

@@ -350,3 +350,20 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     told = without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return told.select("doc_id", F.col("repeats.n_bytes"), F.col("repeats.n_removed"), F.col("repeats.n_spans"), F.sha2("repeats.kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = r"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+starts AS (SELECT r, doc_id, unnest(range(1, octet_length(b) - 198)) AS p, b FROM texts WHERE octet_length(b) >= 200),
+windows AS (SELECT r, p, md5(array_slice(b, p, p + 199)) AS w FROM starts),
+again AS (SELECT w FROM windows GROUP BY w HAVING count(*) > 1),
+hits AS (SELECT r, p, p - coalesce(lag(p) OVER (PARTITION BY r ORDER BY p), -1000) > 200 AS fresh FROM windows WHERE w IN (SELECT w FROM again)),
+runs AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY r ORDER BY p) AS k FROM hits),
+spans AS (SELECT r, k, min(p) AS a, max(p) + 200 AS z FROM runs GROUP BY r, k),
+edges AS (SELECT r, a, z, lag(z, 1, 1) OVER (PARTITION BY r ORDER BY a) AS open FROM spans),
+cuts AS (SELECT r, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, max(z) AS last, list({'a': open, 'z': a - 1} ORDER BY a) AS kept FROM edges GROUP BY r),
+parts AS (SELECT doc_id, b, n_removed, n_spans, list_concat(coalesce(kept, []), [{'a': coalesce(last, 1), 'z': octet_length(b)}]) AS kept FROM texts LEFT JOIN cuts USING (r))
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(array_to_string(list_transform(kept, lambda x: CASE WHEN x.z < x.a THEN '' ELSE hex(array_slice(b, x.a, x.z)) END), ''))) AS kept_sha256
+FROM parts
+"""
