@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import with_duplicates
-from .hashing import indexed
+from .renaming import ending, endings, rename_duplicates
 
-#: Names that differ only in such endings can come to the same new name.
-ROOT = r"(?:-[a-z]\d*)+$"
+__all__ = ["consolidate", "coverage", "duplicate_names", "ending", "endings", "kept_by_list", "merged_names", "removed_by_consolidation", "rename_duplicates", "same_name_kept"]
 
 
 def _first_places(entries: DataFrame, name: Column) -> DataFrame:
@@ -32,86 +28,6 @@ def duplicate_names(entries: DataFrame) -> DataFrame:
     return marked.withColumn("name_again", (F.col("name") != "") & (F.col("ordinal") > F.col("_first"))).drop("_first")
 
 
-def endings() -> Iterator[str]:
-    """-b to -z, then -a1 to -z1, -a2 and so on."""
-    number = 0
-    while True:
-        for letter in range(ord("a") if number else ord("b"), ord("z") + 1):
-            yield f"-{chr(letter)}{number or ''}"
-        number += 1
-
-
-def ending(number: Column) -> Column:
-    """The ending of a number from 0 on, as ``endings`` gives them."""
-    later = number - 25
-    letter = F.when(number < 25, F.lit(ord("b")) + number).otherwise(F.lit(ord("a")) + F.pmod(later, F.lit(26)))
-    return F.concat(F.lit("-"), F.char(letter), F.when(number < 25, "").otherwise(F.floor(later / 26 + 1).cast("string")))
-
-
-def _rename(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """New names of rows that come in the order file, root, ordinal.
-
-    Of a root it keeps the names as given and, for each, how far its endings are used
-    up: a name made by an ending is known by that, so memory does not grow with repeats.
-    """
-    root, given, ways = None, set(), {}
-
-    def taken(name: str) -> bool:
-        if name in given:
-            return True
-        base, dash, tail = name.rpartition("-")
-        return bool(dash) and base in ways and _number(tail) < ways[base][0] and name not in ways[base][1]
-
-    for batch in batches:
-        names = []
-        for file, own, name in zip(batch["file"], batch["root"], batch["name"], strict=True):
-            if (file, own) != root:
-                root, given, ways = (file, own), set(), {}
-            low, new = name.lower(), name
-            if taken(low):
-                at, passed = ways.get(low, (0, set()))
-                while taken(low + (tail := _ending(at))):
-                    passed.add(low + tail)  # another name's: not made from this one
-                    at += 1
-                new = name + tail
-                ways[low] = (at + 1, passed)
-            else:
-                given.add(low)
-            names.append(new)
-        yield pd.DataFrame({"file": batch["file"], "ordinal": batch["ordinal"], "new_name": names})
-
-
-def _ending(number: int) -> str:
-    return f"-{chr(98 + number)}" if number < 25 else f"-{chr(97 + (number - 25) % 26)}{(number - 25) // 26 + 1}"
-
-
-def _number(tail: str) -> float:
-    """Which ending a text after the dash is; infinite if it is none."""
-    if not tail or not "a" <= tail[0] <= "z" or (tail[1:] and not (tail[1:].isascii() and tail[1:].isdigit() and tail[1] != "0")):
-        return float("inf")
-    letter = ord(tail[0])
-    return 25 + (int(tail[1:]) - 1) * 26 + letter - 97 if tail[1:] else letter - 98 if letter > 97 else float("inf")
-
-
-def rename_duplicates(entries: DataFrame) -> DataFrame:
-    """``entries`` with new_name: every name of a file once, by endings that no earlier name has.
-
-    Names can meet only within one root, the name without endings. Where a root has one
-    name, in either case, its k-th entry has the (k-1)-th ending, and k comes from
-    ranges, however many entries there are. Where it has several, its entries go in
-    their order through one task, which holds the root's distinct names alone.
-    """
-    low = F.lower("name")
-    rooted = entries.where("name <> ''").select("file", "ordinal", "name", low.alias("low"), F.regexp_replace(low, ROOT, "").alias("root"))
-    roots = rooted.groupBy("file", "root").agg(F.count("*").alias("n"), F.min("low").alias("a"), F.max("low").alias("b")).where("n > 1")
-    single, mixed = roots.where("a = b").select("file", "root"), roots.where("a <> b").select("file", "root")
-    repeats = indexed(rooted.join(single, ["file", "root"], "left_semi").select("file", "ordinal", "name", "low"), "k", "ordinal", by=["file", "low"])
-    plain = repeats.where("k > 1").select("file", "ordinal", F.concat("name", ending(F.col("k") - 2)).alias("new_name"))
-    ordered = rooted.join(mixed, ["file", "root"], "left_semi").drop("low").repartition("file", "root").sortWithinPartitions("file", "root", "ordinal")
-    settled = ordered.mapInPandas(_rename, "file string, ordinal long, new_name string")
-    return entries.join(plain.unionByName(settled), ["file", "ordinal"], "left").withColumn("new_name", F.coalesce("new_name", "name"))
-
-
 def same_name_kept(entries: DataFrame, hash_column: str = "Sequence_Hash") -> DataFrame:
     """Entries whose name is new, or whose sequence differs from the first entry of that name."""
     key = F.lower("name")

@@ -51,14 +51,30 @@ def test_a_name_that_most_entries_have(spark, many_ranges):
     assert len(told) == len(rows) and sum(r.Duplicate_Name == "0" for r in told) == len(set(names))
 
 
-def test_mixed_roots_equal_a_sequential_model(spark):
+POOL = ["A", "a-b", "A-b-b", "A-c", "A-a1", "A-z", "B", "b-a", "B-b2", "B-b01", "B-b", "A-d", "A-c-b-b", "-b", "A-b-b-b", "C-b", "A-b123456789012345678901"]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_mixed_roots_equal_a_sequential_model(spark, many_ranges, seed):
     import random
 
     from test_validation import model_names
 
     from lodestrand.operators import dedup
 
-    rng = random.Random(4)
-    names = [rng.choice(["A", "a-b", "A-b-b", "A-c", "A-a1", "A-z", "B", "b-a", "B-b2", "B-b01", "B-b"]) for _ in range(400)]
-    entries = spark.createDataFrame([("f", i, n) for i, n in enumerate(names)], "file string, ordinal long, name string")
-    assert [r.new_name for r in dedup.rename_duplicates(entries).orderBy("ordinal").collect()] == model_names(names)
+    rng = random.Random(seed)
+    pool = rng.sample(POOL, rng.randrange(4, len(POOL)))
+    names = {f: [rng.choice(pool) for _ in range(rng.choice([20, 400]))] for f in ("f", "g")}
+    entries = spark.createDataFrame([(f, i, n, f"{i}" * 50) for f in names for i, n in enumerate(names[f])], "file string, ordinal long, name string, payload string").repartition(5)
+    found = dedup.rename_duplicates(entries)
+    assert found.columns == [*entries.columns, "new_name"]
+    for f in names:
+        assert [r.new_name for r in found.where(found.file == f).orderBy("ordinal").collect()] == model_names(names[f])
+
+
+def test_empty_and_missing_names_stay(spark):
+    from lodestrand.operators import dedup
+
+    entries = spark.createDataFrame([("f", 0, ""), ("f", 1, ""), ("f", 2, None), ("f", 3, "X"), ("f", 4, "x")], "file string, ordinal long, name string")
+    assert [r.new_name for r in dedup.rename_duplicates(entries).orderBy("ordinal").collect()] == ["", "", None, "X", "x-b"]
+    assert dedup.rename_duplicates(entries.where("false")).count() == 0

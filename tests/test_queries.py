@@ -3,7 +3,9 @@
 import pytest
 from conftest import shown
 
-from lodestrand.queries import ORACLE_SQL, QUERIES
+from lodestrand import file_queries, queries
+
+QUERIES, ORACLE_SQL = queries.QUERIES | file_queries.QUERIES, queries.ORACLE_SQL | file_queries.ORACLE_SQL
 
 
 def test_every_query_has_sql():
