@@ -113,53 +113,75 @@ def _runs(length: int, gram: int):
     return run
 
 
-def _passages(length: int):
+def _flat(batch: pa.RecordBatch, column: int, fields: int) -> tuple[list[bytes], list[list], list[int]]:
+    """Texts of a batch, and its lists of places as columns with the text of each."""
+    places = batch.column(column)
+    rows = np.repeat(np.arange(batch.num_rows), places.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)).tolist()
+    return bytes_of(batch.column(2)), [places.flatten().field(i).to_pylist() for i in range(fields)], rows
+
+
+def _digests(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, places = bytes_of(batch.column(2)), batch.column(3)
-            k1, k2, sizes = batch.column(0).to_pylist(), batch.column(1).to_pylist(), places.value_lengths().to_pylist()
-            flat = places.flatten()
-            h, at, windows = (flat.field(i).to_pylist() for i in range(3))
-            held, size, x = [], 0, 0
-            for i, n in enumerate(sizes):
-                for j in range(x, x + n):
-                    passage = texts[i][at[j] : at[j] + windows[j] + length - 1]
-                    c = xxhash.xxh3_128_intdigest(passage)
-                    held.append((k1[i], k2[i], h[j], at[j], (c & (2**64 - 1)) - 2**63, (c >> 64) - 2**63, passage))
-                    size += len(passage)
-                    if size > 4 << 20:
-                        yield _batch(held)
-                        held, size = [], 0
-                x += n
-            if held:
-                yield _batch(held)
+            texts, (h, at, windows), rows = _flat(batch, 3, 3)
+            both = b"".join(xxhash.xxh3_128_digest(texts[i][a : a + n + length - 1]) for i, a, n in zip(rows, at, windows, strict=True))
+            c = np.frombuffer(both, "<i8").reshape(-1, 2)
+            own = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(h, pa.int64()), pa.array(at, pa.int64()), pa.array(windows, pa.int32()), pa.array(c[:, 0].copy()), pa.array(c[:, 1].copy())], names=["k1", "k2", "h", "at", "windows", "c1", "c2"])
 
     return run
 
 
-_PASSAGE = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("h", pa.int64()), ("at", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("passage", pa.binary())])
+def _extracts(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, (array, h, c1, c2, again, at, windows), rows = _flat(batch, 3, 7)
+            step = 8192  # passages in one batch
+            for x in range(0, len(rows), step):
+                part = slice(x, x + step)
+                found = [texts[i][a : a + n + length - 1] for i, a, n in zip(rows[part], at[part], windows[part], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c[part], t) for c, t in ((array, pa.int32()), (h, pa.int64()), (c1, pa.int64()), (c2, pa.int64()), (again, pa.bool_()))] + [pa.array(found, pa.binary())], names=["array", "h", "c1", "c2", "again", "passage"])
+
+    return run
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PASSAGE, strict=True)], schema=_PASSAGE)
+def _with_text(keyed: DataFrame, places: DataFrame) -> DataFrame:
+    """(k1, k2, text, places) of the texts that ``places`` (k1, k2, places) has; copies of a text give it once."""
+    one = keyed.groupBy("k1", "k2").agg(F.min("id").alias("_one"))
+    return keyed.join(places.join(one, ["k1", "k2"]), ["k1", "k2"]).where(F.col("id").eqNullSafe(F.col("_one"))).select("k1", "k2", "text", "places")
 
 
-def passages(keyed: DataFrame, id_column: str, length: int = MIN_LENGTH, gram: int = GRAM) -> DataFrame:
-    """(k1, k2, h, at, c1, c2, passage): the places of distinct texts that can repeat, with their bytes.
+def occurrences(keyed: DataFrame, length: int = MIN_LENGTH, gram: int = GRAM) -> DataFrame:
+    """(k1, k2, h, at, windows, c1, c2): the places of distinct texts that can repeat.
 
-    keyed: k1, k2, ``id_column`` and text. A window that occurs at two places has the same
-    anchor at both, so only runs of windows are kept whose anchor's hash h is met at two
-    places. k1 and k2 stand for the text, at is the first window's place in it, c1 and c2
-    stand for the passage, which reaches from the first window to the end of the last.
+    keyed: k1, k2, id and text. A window that occurs at two places has the same anchor at
+    both, so only runs of windows are kept whose anchor's hash h is met at two places.
+    k1 and k2 stand for the text, at is the first window's place in it, c1 and c2 stand for
+    the passage, which reaches from the first window to the end of the last.
     """
     runs = stored(keyed.select("k1", "k2", "text").mapInArrow(_runs(length, gram), "k1 long, k2 long, h long, at long, windows int"), "anchor-runs")
     place = F.xxhash64("k1", "k2", "at")
-    met = runs.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("h")
+    met = stored(runs.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("h"), "anchors-met-again")
     places = runs.join(met, "h").groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "at", "windows")).alias("places"))
-    one = keyed.groupBy("k1", "k2").agg(F.min(id_column).alias("_one"))
-    where = places.join(one, ["k1", "k2"])
-    found = keyed.join(where, ["k1", "k2"]).where(F.col(id_column).eqNullSafe(F.col("_one"))).select("k1", "k2", "text", "places")
-    return stored(found.mapInArrow(_passages(length), "k1 long, k2 long, h long, at long, c1 long, c2 long, passage binary"), "passages")
+    return stored(_with_text(keyed, places).mapInArrow(_digests(length), "k1 long, k2 long, h long, at long, windows int, c1 long, c2 long"), "occurrences")
+
+
+def passages(keyed: DataFrame, found: DataFrame, length: int = MIN_LENGTH, array_bytes: int = ARRAY_BYTES, most: int = MOST_PASSAGES) -> DataFrame:
+    """(array, h, c1, c2, again, passage): the bytes of each different passage once, for anchors that are met with two occurrences.
+
+    array: which suffix array it goes to; null for anchors with more than ``most`` different
+    passages. again: it occurs at two places.
+    """
+    place = F.struct("k1", "k2", "at", "windows")
+    once = stored(found.groupBy("h", "c1", "c2").agg(F.min(place).alias("one"), (F.min(place) < F.max(place)).alias("again")), "distinct-passages")
+    sums = once.groupBy("h").agg(F.count("*").alias("n"), F.max("again").alias("any"), F.sum(F.col("one.windows") + length - 1).alias("bytes")).where("n > 1 OR any")
+    sums = stored(sums.select("h", "n", "bytes"), "passages-of-anchors")
+    size = sums.where(F.col("n") <= most).agg(F.sum("bytes")).first()[0] or 0
+    arrays = max(1, math.ceil(size / array_bytes))
+    array = F.when(F.col("n") <= most, F.pmod(F.xxhash64("h"), F.lit(arrays)).cast("int"))
+    wanted = once.join(sums, "h").select("one.k1", "one.k2", F.struct(array.alias("array"), "h", "c1", "c2", "again", "one.at", "one.windows").alias("place"))
+    places = wanted.groupBy("k1", "k2").agg(F.collect_list("place").alias("places"))
+    return stored(_with_text(keyed, places).mapInArrow(_extracts(length), "array int, h long, c1 long, c2 long, again boolean, passage binary"), "passages")
 
 
 def _array_of(table: pa.Table, length: int) -> tuple[SuffixArray, np.ndarray, np.ndarray]:
@@ -220,27 +242,12 @@ def _window_covers(hot: DataFrame, length: int) -> DataFrame:
     """The same covers for anchors with more passages than one array takes: each window by itself, counted before the shuffle."""
     windows = stored(hot.select("h", "c1", "c2", "passage").mapInArrow(_window_hashes(length), "h long, c1 long, c2 long, from long, w1 long, w2 long"), "windows")
     place = F.xxhash64("c1", "c2", "from")
-    met = windows.groupBy("w1", "w2").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("w1", "w2")
+    met = stored(windows.groupBy("w1", "w2").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("w1", "w2"), "windows-met-again")
     shared = windows.join(met, ["w1", "w2"]).select("h", "c1", "c2", "from", (F.col("from") + length).alias("to"))
     whole = hot.where("again").select("h", "c1", "c2", F.lit(0).cast("long").alias("from"), F.length("passage").cast("long").alias("to"))
     return shared.unionByName(whole)
 
 
-def distinct_passages(found: DataFrame, length: int = MIN_LENGTH, array_bytes: int = ARRAY_BYTES, most: int = MOST_PASSAGES) -> DataFrame:
-    """(h, c1, c2, passage, again, n, array): each passage once, for anchors with two occurrences; array: which suffix array it goes to.
-
-    again: it occurs at two places. n: different passages with that anchor; beyond
-    ``most`` of them array is null.
-    """
-    place = F.xxhash64("k1", "k2", "at")
-    once = found.groupBy("h", "c1", "c2").agg(F.first("passage").alias("passage"), (F.min(place) < F.max(place)).alias("again"))
-    once = stored(once, "distinct-passages")
-    sums = once.groupBy("h").agg(F.count("*").alias("n"), F.max("again").alias("any"), F.sum(F.length("passage")).alias("bytes")).where("n > 1 OR any")
-    size = sums.where(F.col("n") <= most).agg(F.sum("bytes")).first()[0] or 0
-    arrays = max(1, math.ceil(size / array_bytes))
-    return once.join(sums.select("h", "n"), "h").withColumn("array", F.when(F.col("n") <= most, F.pmod(F.xxhash64("h"), F.lit(arrays)).cast("int")))
-
-
 def repeated_ranges(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = MIN_LENGTH, gram: int = GRAM, array_bytes: int = ARRAY_BYTES, most: int = MOST_PASSAGES) -> DataFrame:
     """(k1, k2, copies, ranges): for each different text its rows, and the byte ranges that repeats of ``length`` bytes cover.
 
@@ -254,8 +261,8 @@ def repeated_ranges(documents: DataFrame, id_column: str = "doc_id", text_column
     """
     text = text_of(text_column)
     keyed = documents.select(F.col(id_column).alias("id"), text.alias("text")).withColumns(_keyed(F.col("text")))
-    found = passages(keyed, "id", length, gram)
-    once = distinct_passages(found, length, array_bytes, most)
+    found = occurrences(keyed, length, gram)
+    once = passages(keyed, found, length, array_bytes, most)
     by_array = once.where("array IS NOT NULL").select("array", "h", "c1", "c2", "passage", "again").groupBy("array").applyInArrow(_covers(length), "h long, c1 long, c2 long, from long, to long")
     covers = stored(by_array.unionByName(_window_covers(once.where("array IS NULL"), length)), "covers")
     near = found.select("k1", "k2", "h", "c1", "c2", "at").join(covers, ["h", "c1", "c2"]).select("k1", "k2", (F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to")).alias("to"))
@@ -276,8 +283,8 @@ def repeat_groups(documents: DataFrame, id_column: str = "doc_id", text_column:
     is for looking at repeats, not for anchors with very many passages.
     """
     keyed = documents.select(F.col(id_column).alias("id"), text_of(text_column).alias("text")).withColumns(_keyed(F.col("text")))
-    found = passages(keyed, "id", length, gram)
-    once = distinct_passages(found, length, array_bytes, 2**31 - 1)
+    found = occurrences(keyed, length, gram)
+    once = passages(keyed, found, length, array_bytes, 2**31 - 1)
 
     def run(table: pa.Table) -> pa.Table:
         suffixes, groups, _ = _array_of(table, length)
@@ -290,7 +297,7 @@ def repeat_groups(documents: DataFrame, id_column: str = "doc_id", text_column:
         return pa.table({"array": table["array"].take(rows), "group": pa.array(number), "n_bytes": pa.array(groups[number, 2]), "h": table["h"].take(rows), "c1": table["c1"].take(rows), "c2": table["c2"].take(rows), "from": pa.array(places - suffixes.starts[owner])})
 
     members = once.select("array", "h", "c1", "c2", "passage", "again").groupBy("array").applyInArrow(run, "array int, group long, n_bytes long, h long, c1 long, c2 long, from long")
-    return members.join(found.select("k1", "k2", "h", "c1", "c2", "at"), ["h", "c1", "c2"]).select("array", "group", "n_bytes", "k1", "k2", (F.col("at") + F.col("from")).alias("at"))
+    return members.join(found.select("k1", "k2", "h", "c1", "c2", "at"), ["h", "c1", "c2"]).select("array", "group", "n_bytes", "k1", "k2", (F.col("at") + F.col("from")).alias("at")).distinct()
 
 
 _TOLD = T.StructType().add("kept", "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
