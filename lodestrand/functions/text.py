@@ -62,10 +62,9 @@ def sequence_hash(residues: Column, ignore_il: bool = False) -> Column:
     return F.when(residues == "", "").otherwise(F.upper(F.sha1(plain.cast("binary"))))
 
 
-def nucleic_share(residues: Column) -> Column:
-    """Percentage of the letters that are upper-case A, T, C or G; 0 without letters."""
-    letters = F.length(F.regexp_replace(residues, r"\P{L}", ""))
-    return F.when(letters > 0, F.length(F.regexp_replace(residues, "[^ATCG]", "")) * 100.0 / letters).otherwise(0.0)
+def residue_counts(residues: Column) -> dict[str, Column]:
+    """How many letters there are, and how many of them are upper-case A, T, C or G."""
+    return {"letters": F.length(F.regexp_replace(residues, r"\P{L}", "")).cast("long"), "nucleic": F.length(F.regexp_replace(residues, "[^ATCG]", "")).cast("long")}
 
 
 def clean_residues(line: Column, remove_invalid: bool) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import HEADER_CONTEXT, SEQUENCE_CONTEXT, context, rule_index
 from ..options import Options
 from ..rules import FIRST_RULE_ID, FLAGS, Rule
+from .hashing import measured
 
 COLUMNS = ["file", "level", "line_no", "col", "protein", "code", "extra", "context", "emit_seq"]
 #: Places in a line's order, one after the other; a rule's number is added.
@@ -105,7 +106,7 @@ def end_findings(classified: DataFrame) -> DataFrame:
 
 def dna_findings(entries: DataFrame, nucleic: DataFrame) -> DataFrame:
     """A warning for each entry of nucleic acids, told where the entry ends, and an error for a file of mostly such."""
-    start = entries.select("file", "ordinal", F.col("next_header_line_no").alias("line_no"), F.substring("residues", 1, 20).alias("start"))
+    start = measured(entries).select("file", "ordinal", F.col("next_header_line_no").alias("line_no"), "start")
     each = told(nucleic.where("likely_dna").join(start, ["file", "ordinal"]), [finding("Warning", 22, "entry", 0, "", F.col("start"))], F.col("name"))
     votes = nucleic.groupBy("file").agg(F.count("*").alias("total"), F.count_if(F.col("percent") > DNA_PERCENT).alias("dna")).withColumn("line_no", F.lit(0).cast("long"))
     all_dna = F.col("total") == F.col("dna")

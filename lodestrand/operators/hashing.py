@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import sequence_hash
+from ..functions.text import residue_counts, sequence_hash
 from ..storage import stored
 
 
@@ -29,9 +29,33 @@ def indexed(df: DataFrame, column: str, *order: str, by: str | list[str] | None
     return placed.select(*(F.col(f"r.{c}") for c in df.columns), (F.col("_own") + F.col("_base")).alias(column))
 
 
+def running_sums(df: DataFrame, sums: dict[str, str], order: list[str], by: list[str]) -> DataFrame:
+    """``df`` with, for each new column in ``sums``, what the column named there adds up to in the rows before, in the order of a group.
+
+    Like ``indexed``: rows are put in ranges of the group and the order, and one row for
+    each range carries the sums over, so a group may fill any number of ranges.
+    """
+    ranged = stored(df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    own = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    bases = ranged.groupBy(*by, "_range").agg(*(F.sum(c).alias(f"_{k}") for k, c in sums.items())).select(*by, "_range", *(F.coalesce(F.sum(f"_{k}").over(before), zero).alias(f"_{k}") for k in sums))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*by, "_range"]]
+    placed = ranged.withColumns({f"_own_{k}": F.coalesce(F.sum(c).over(own), zero) for k, c in sums.items()}).alias("r").join(bases.alias("b"), same)
+    return placed.select(*(F.col(f"r.{c}") for c in df.columns), *((F.col(f"_own_{k}") + F.col(f"_{k}")).alias(k) for k in sums))
+
+
+def measured(entries: DataFrame, ignore_il: bool = False) -> DataFrame:
+    """``entries`` with what is asked of their residues: n_residues, start (the first 20), Sequence_Hash, letters and nucleic (how many A, T, C and G)."""
+    if "n_residues" in entries.columns:
+        return entries
+    r = F.col("residues")
+    return entries.withColumns({"n_residues": F.length(r).cast("long"), "start": F.substring(r, 1, 20), "Sequence_Hash": sequence_hash(r, ignore_il), **residue_counts(r)})
+
+
 def protein_hashes(entries: DataFrame, ignore_il: bool = False) -> DataFrame:
     """(file, Protein_ID, Protein_Name, Sequence_Length, Sequence_Hash) of each entry with residues, in their order."""
-    some = entries.where("residues <> ''").select("file", "ordinal", F.col("name").alias("Protein_Name"), F.length("residues").alias("Sequence_Length"), sequence_hash(F.col("residues"), ignore_il).alias("Sequence_Hash"), F.substring("residues", 1, 20).alias("start"))
+    some = measured(entries, ignore_il).where("n_residues > 0").select("file", "ordinal", F.col("name").alias("Protein_Name"), F.col("n_residues").alias("Sequence_Length"), "Sequence_Hash", "start")
     return indexed(some, "Protein_ID", "ordinal")
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_residues, header_description, header_name, is_blank, left_trimmed, nucleic_share
+from ..functions.text import clean_residues, header_description, header_name, is_blank, left_trimmed
 from ..options import Options
 from ..sources.files import BLOCK_LINES
+from .hashing import measured
 
 MAX_LINE = 10_000_000
 
@@ -47,33 +48,46 @@ def split_headers(classified: DataFrame) -> DataFrame:
     return classified.where("kind = 'header'").select("file", "ordinal", "line_no", header.alias("header"), header_name(header).alias("name"), header_description(header).alias("description"))
 
 
+def residue_lines(classified: DataFrame, options: Options | None = None) -> DataFrame:
+    """(file, ordinal, line_no, raw, clean, changed) of each line of residues: its length, what is left of it, whether that differs."""
+    clean = clean_residues(F.col("text"), (options or Options()).remove_invalid_residues)
+    return classified.where("kind = 'residue'").select("file", "ordinal", "line_no", F.length("text").cast("long").alias("raw"), clean.alias("clean"), (clean != F.col("text")).alias("changed"))
+
+
+def line_sums() -> list[Column]:
+    return [F.sum("raw").alias("raw_residues"), F.max(F.length("clean")).alias("max_line_len"), F.count("*").alias("n_residue_lines"), F.count_if("changed").alias("changed_lines")]
+
+
 def assemble(classified: DataFrame, options: Options | None = None) -> DataFrame:
     """(file, ordinal, residues, raw_residues, max_line_len, n_residue_lines, changed_lines) of each entry with residue lines.
 
     residues are the cleaned lines joined in order, without asterisks at the end;
-    raw_residues counts the characters of the left-trimmed lines, as they were.
+    raw_residues counts the characters of the left-trimmed lines, as they were. An entry
+    is one cell here: see ``segments`` for entries of any length.
     """
-    options = options or Options()
-    clean = clean_residues(F.col("text"), options.remove_invalid_residues)
-    parts = classified.where("kind = 'residue'").select("file", "ordinal", "line_no", F.length("text").cast("long").alias("raw"), clean.alias("clean"), (clean != F.col("text")).alias("changed"))
-    grouped = parts.groupBy("file", "ordinal").agg(F.array_sort(F.collect_list(F.struct("line_no", "clean"))).alias("parts"), F.sum("raw").alias("raw_residues"), F.max(F.length("clean")).alias("max_line_len"), F.count("*").alias("n_residue_lines"), F.count_if("changed").alias("changed_lines"))
+    grouped = residue_lines(classified, options).groupBy("file", "ordinal").agg(F.array_sort(F.collect_list(F.struct("line_no", "clean"))).alias("parts"), *line_sums())
     joined = F.array_join(F.transform("parts", lambda p: p["clean"]), "")
     return grouped.select("file", "ordinal", F.rtrim(joined, F.lit("*")).alias("residues"), "raw_residues", "max_line_len", "n_residue_lines", "changed_lines")
 
 
-def records(classified: DataFrame, options: Options | None = None) -> DataFrame:
+def records(classified: DataFrame, options: Options | None = None, assembled: DataFrame | None = None) -> DataFrame:
     """Headers beside their residues, also entries with only one of the two, and where the next header lies.
 
     next_header_line_no is the line at which the entry ends: the next header's, or the
-    file's last.
+    file's last. n_residues, start, Sequence_Hash, letters and nucleic: see
+    ``hashing.measured``. assembled: see ``segments.assembled``; without it every entry is
+    one cell. Residues of an entry that is in segments are null.
     """
-    heads = split_headers(classified)
+    heads, options = split_headers(classified), options or Options()
+    whole = assembled if assembled is not None else measured(assemble(classified, options), options.hash_ignores_il)
     # Entry ends by the entry after: a join on the ordinal, not a window over a whole file.
     following = heads.select("file", (F.col("ordinal") - 1).alias("ordinal"), F.col("line_no").alias("next_line"))
     last = classified.groupBy("file").agg(F.max("line_no").alias("line_count"))
-    both = heads.join(assemble(classified, options), ["file", "ordinal"], "full").join(following, ["file", "ordinal"], "left").join(last, "file")
-    text = lambda c: F.coalesce(c, F.lit(""))
-    return both.select("file", "ordinal", F.col("line_no").alias("header_line_no"), F.coalesce("next_line", "line_count").alias("next_header_line_no"), text("header").alias("header"), text("name").alias("name"), text("description").alias("description"), text("residues").alias("residues"), F.coalesce("raw_residues", F.lit(0)).alias("raw_residues"), F.coalesce("max_line_len", F.lit(0)).alias("max_line_len"), F.coalesce("n_residue_lines", F.lit(0)).alias("n_residue_lines"), F.coalesce("changed_lines", F.lit(0)).alias("changed_lines"))
+    both = heads.join(whole, ["file", "ordinal"], "full").join(following, ["file", "ordinal"], "left").join(last, "file")
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    number = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    residues = F.when(F.coalesce("n_residues", F.lit(0)) == 0, "").otherwise(F.col("residues")).alias("residues")
+    return both.select("file", "ordinal", F.col("line_no").alias("header_line_no"), F.coalesce("next_line", "line_count").alias("next_header_line_no"), *map(text, ("header", "name", "description")), residues, *map(number, ("raw_residues", "max_line_len", "n_residue_lines", "changed_lines", "n_residues", "letters", "nucleic")), *map(text, ("start", "Sequence_Hash")))
 
 
 def file_summary(classified: DataFrame) -> DataFrame:
@@ -83,6 +97,5 @@ def file_summary(classified: DataFrame) -> DataFrame:
 
 def nucleic(entries: DataFrame) -> DataFrame:
     """(file, ordinal, name, percent, likely_dna) of each entry with residues; likely if every letter is A, T, C or G."""
-    share = nucleic_share(F.col("residues"))
-    letters = F.length(F.regexp_replace("residues", r"\P{L}", "")) > 0
-    return entries.where("residues <> ''").select("file", "ordinal", "name", share.alias("percent"), (letters & (share >= 100)).alias("likely_dna"))
+    share = F.when(F.col("letters") > 0, F.col("nucleic") * 100.0 / F.col("letters")).otherwise(0.0)
+    return measured(entries).where("n_residues > 0").select("file", "ordinal", "name", share.alias("percent"), ((F.col("letters") > 0) & (share >= 100)).alias("likely_dna"))

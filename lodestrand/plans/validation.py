@@ -7,8 +7,8 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import build_header, sequence_hash, trimmed, with_repair, wrap_width, wrapped
-from ..operators import checks, dedup, hashing, records
+from ..functions.text import build_header, trimmed, with_repair, wrap_width, wrapped
+from ..operators import checks, dedup, hashing, records, segments
 from ..options import Options
 from ..rules import messages
 from ..storage import stored
@@ -22,8 +22,9 @@ class Validation:
     made of, are stored when first asked for; the rest is computed only when read.
     """
 
-    def __init__(self, lines: DataFrame, options: Options | None = None, ends: DataFrame | None = None, keep: DataFrame | None = None, files: DataFrame | None = None) -> None:
-        """lines: (file, line_no, line); ends: see ``sources.file_ends``; keep: names to keep (Protein_Name); files: (file, size) of all files, those without a line too."""
+    def __init__(self, lines: DataFrame, options: Options | None = None, ends: DataFrame | None = None, keep: DataFrame | None = None, files: DataFrame | None = None, cell: int = segments.CELL) -> None:
+        """lines: (file, line_no, line); ends: see ``sources.file_ends``; keep: names to keep (Protein_Name); files: (file, size) of all files, those without a line too; cell: characters of an entry that is kept in one cell."""
+        self.cell = cell
         self.lines, self.options, self.ends, self.keep, self.files = lines, options or Options(), ends, keep, files
 
     @functools.cached_property
@@ -34,6 +35,11 @@ class Validation:
     def headers(self) -> DataFrame:
         return records.split_headers(self.classified)
 
+    @functools.cached_property
+    def assembled(self) -> tuple[DataFrame, DataFrame | None]:
+        """The entries' residues, and the segments of those that are too long for a cell; see ``segments.assembled``."""
+        return segments.assembled(self.classified, self.options, self.cell)
+
     @functools.cached_property
     def entries(self) -> DataFrame:
         return stored(self._entries(), "entries")
@@ -45,7 +51,8 @@ class Validation:
         valid (its residues count for hashes and DNA).
         """
         o = self.options
-        found = records.records(self.classified, o).withColumn("raw_name", F.col("name"))
+        whole, _ = self.assembled
+        found = records.records(self.classified, o, whole).withColumn("raw_name", F.col("name"))
         if o.fix and self.keep is None:
             found = with_repair(found, o, column="_fixed")
             found = found.withColumns({c: F.when(F.col("raw_name") == "", F.col(c)).otherwise(F.col("_fixed")[c]) for c in ("name", "description")} | {c: F.coalesce(F.col("_fixed")[c], F.lit(False)) for c in ("truncated", "refs_removed", "chars_replaced")}).drop("_fixed")
@@ -71,7 +78,7 @@ class Validation:
     @functools.cached_property
     def sequences(self) -> DataFrame:
         """The entries whose residues count."""
-        some = self.entries.where("valid AND residues <> ''")
+        some = self.entries.where("valid AND n_residues > 0")
         return some if self.options.needs_residues else some.where("false")
 
     @functools.cached_property
@@ -186,12 +193,11 @@ class Validation:
 
     @functools.cached_property
     def fixed(self) -> DataFrame:
-        """(file, ordinal, name, description, residues, max_line_len) of the entries that the repaired file has."""
+        """(file, ordinal, name, description, residues, max_line_len) of the entries that the repaired file has; residues is null where they are in segments."""
         o = self.options
         some = self.entries.where("valid AND ordinal > 0").withColumns({c: trimmed(F.col(c)) for c in ("name", "description")})
         if self.keep is None and o.keep_same_name and not o.rename_duplicates:
-            hashed = some.withColumn("Sequence_Hash", sequence_hash(F.col("residues"), o.hash_ignores_il))
-            some = dedup.same_name_kept(hashed)
+            some = dedup.same_name_kept(some)
         if self.keep is None and o.consolidate:
             some = dedup.consolidate(some, self.unique)
         return some.select("file", "ordinal", "name", "description", "residues", "max_line_len")
@@ -205,8 +211,7 @@ class Validation:
         if self.keep is None and o.fix and o.consolidate:
             found = found.unionByName(dedup.removed_by_consolidation(some, self.unique).select("file", "ordinal", "name", F.lit(20).alias("code"), F.concat(F.lit("same as "), F.col("same_as")).alias("extra")))
         if self.keep is None and o.fix and o.keep_same_name and not o.rename_duplicates:
-            hashed = some.withColumn("Sequence_Hash", sequence_hash(F.col("residues"), o.hash_ignores_il))
-            found = found.unionByName(dedup.same_name_kept(hashed).where("retained").select("file", "ordinal", "name", F.lit(21).alias("code"), F.lit("").alias("extra")))
+            found = found.unionByName(dedup.same_name_kept(some).where("retained").select("file", "ordinal", "name", F.lit(21).alias("code"), F.lit("").alias("extra")))
         ends = self.entries.select("file", "ordinal", F.col("next_header_line_no").alias("line_no"))
         return found.join(ends, ["file", "ordinal"]).select("file", "ordinal", "line_no", "name", "code", "extra")
 
@@ -222,8 +227,13 @@ class Validation:
             body_lines = self.classified.where("kind = 'residue'").join(kept, ["file", "ordinal"], "left_semi").select("file", "ordinal", F.col("line_no").alias("part"), clean.alias("line"))
             heads = self.fixed.select("file", "ordinal", F.lit(0).cast("long").alias("part"), build_header(F.col("name"), F.col("description"), o.header_start).alias("line"))
             return heads.unionByName(body_lines)
-        all_lines = F.concat(F.array(build_header(F.col("name"), F.col("description"), o.header_start)), body)
-        return self.fixed.select("file", "ordinal", F.posexplode(all_lines).alias("part", "line")).withColumn("part", F.col("part").cast("long"))
+        all_lines = F.concat(F.array(build_header(F.col("name"), F.col("description"), o.header_start)), F.coalesce(body, F.array().cast("array<string>")))
+        lines = self.fixed.select("file", "ordinal", F.posexplode(all_lines).alias("part", "line")).withColumn("part", F.col("part").cast("long"))
+        _, parts = self.assembled
+        if parts is None:
+            return lines
+        kept = self.fixed.where("residues IS NULL").select("file", "ordinal")
+        return lines.unionByName(segments.wrapped_segments(parts.join(kept, ["file", "ordinal"], "left_semi")))
 
     @functools.cached_property
     def fix_counts(self) -> DataFrame:
