@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.hashing import indexed
 from .common import stored
-from .streamed import in_order, joined_digests
+from ..operators.streams import in_order, joined_digests
 from .turn_repair import CRC32_SQL
 
 #: Digest of the node without turns.

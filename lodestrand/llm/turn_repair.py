@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..operators.hashing import indexed
 from .common import stored
-from .streamed import joined_digests
+from ..operators.streams import joined_digests
 
 #: What each edit costs; a truncated turn that is not deleted costs TRUNCATED more.
 DELETE, INSERT, KEEP, REROLE, TRUNCATED = 2, 5, 0, 1, 5

@@ -71,7 +71,7 @@ def test_explosion_is_bounded_by_the_beginnings(spark):
 def test_streams_refuse_rows_out_of_order(spark):
     from pyspark.sql import functions as F
 
-    from lodestrand.llm.streamed import joined_digests
+    from lodestrand.operators.streams import joined_digests
 
     rows = spark.createDataFrame([(1, 1, "a"), (1, 1, "b")], "k int, at int, piece string")
     with pytest.raises(Exception, match="out of order"):
