@@ -35,7 +35,7 @@ def main(arguments: list[str] | None = None) -> None:
         save_options(options, a.save_parameters)
     spark = SparkSession.builder.appName("lodestrand").getOrCreate()
     if a.hash_file:
-        run, unique, names, coverage = dedupe_by_hash_file(spark, a.paths, read_hash_file(spark, a.hash_file), options)
+        run, unique, names, coverage = dedupe_by_hash_file(spark, a.paths, read_hash_file(spark, a.hash_file), options, a.recursive, a.depth)
         coverage.show()
         if a.output:
             reports.write_table(unique, "unique", f"{a.output}/unique")

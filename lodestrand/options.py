@@ -129,8 +129,9 @@ def parse_xml(text: str) -> dict[str, dict[str, str]]:
 
 
 def load_options(path: str | Path, base: Options | None = None) -> Options:
-    """``base`` with the settings of an XML file; the file's rules replace the default ones."""
-    sections = parse_xml(Path(path).read_text(encoding="utf-8", errors="replace"))
+    """``base`` with the settings of an XML file, the file's rules replace the default ones; one that is not there is looked for by its name in the program's folder."""
+    path = Path(path) if Path(path).exists() else Path(__file__).parent / Path(path).name
+    sections = parse_xml(path.read_text(encoding="utf-8", errors="replace"))
     if SECTION not in sections:
         raise ValueError(f"{path} has no section {SECTION}")
     base, values = base or Options(), {}

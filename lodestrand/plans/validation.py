@@ -12,6 +12,7 @@ from ..operators import checks, dedup, hashing, records, segments
 from ..options import Options
 from ..rules import messages
 from ..storage import stored
+from ..sources import ranges
 from ..sources.files import EXTENSIONS, file_ends, file_sizes, find_files, read_lines, split_lines
 
 
@@ -22,9 +23,9 @@ class Validation:
     made of, are stored when first asked for; the rest is computed only when read.
     """
 
-    def __init__(self, lines: DataFrame, options: Options | None = None, ends: DataFrame | None = None, keep: DataFrame | None = None, files: DataFrame | None = None, cell: int = segments.CELL) -> None:
-        """lines: (file, line_no, line); ends: see ``sources.file_ends``; keep: names to keep (Protein_Name); files: (file, size) of all files, those without a line too; cell: characters of an entry that is kept in one cell."""
-        self.cell = cell
+    def __init__(self, lines: DataFrame, options: Options | None = None, ends: DataFrame | None = None, keep: DataFrame | None = None, files: DataFrame | None = None, cell: int = segments.CELL, faults: DataFrame | None = None) -> None:
+        """lines: (file, line_no, line); ends: see ``sources.file_ends``; keep: names to keep (Protein_Name); files: (file, size) of all files, those without a line too; cell: characters of an entry that is kept in one cell; faults: (file, fault) of files that could not be read."""
+        self.cell, self.faults = cell, faults
         self.lines, self.options, self.ends, self.keep, self.files = lines, options or Options(), ends, keep, files
 
     @functools.cached_property
@@ -111,6 +112,9 @@ class Validation:
             found.append(self._repair_findings())
         if self.files is not None:
             bare = self.files.join(self.classified.select("file").distinct(), "file", "left_anti").withColumn("line_no", F.lit(0).cast("long"))
+            if self.faults is not None:
+                bare = bare.join(self.faults, "file", "left_anti")
+                found.append(checks.told(self.faults.withColumn("line_no", F.lit(0).cast("long")), [checks.finding("Error", 0, "entry", -1, F.col("fault"))], ""))
             found.append(checks.told(bare, [checks.finding("Error", 9, "end", step=90)], ""))
         if o.strict_eof and self.ends is not None:
             last = self.classified.groupBy("file").agg(F.max("line_no").alias("line_no"))
@@ -252,13 +256,40 @@ class Validation:
         return base.join(gone, "file", "left").fillna(0, ["duplicate_sequences_skipped"])
 
 
+def open_files(spark: SparkSession, paths: str | list[str], recursive: bool = False, depth: int | None = None, extensions: tuple[str, ...] | None = EXTENSIONS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(lines, ends, files, faults) of the files that ``paths`` name.
+
+    Files are read by ranges of bytes where tasks can open them, and else by Spark's
+    readers, which pass over names that begin with a dot or an underscore: these are
+    refused then. faults: (file, fault) of files that could not be read to their end;
+    they have no lines.
+    """
+    files = file_sizes(spark, paths, recursive, depth, extensions)
+    if files.isEmpty():
+        raise FileNotFoundError(f"no sequence file in {paths}")
+    scheme = F.regexp_extract("file", r"^([a-z0-9+.-]+):", 1)
+    if not files.where(~scheme.isin(*ranges.SCHEMES)).isEmpty():
+        hidden = files.where(F.col("file").rlike(r"[/\\][._][^/\\]*$")).first()
+        if hidden:
+            raise ValueError(f"{hidden.file} would be passed over by Spark's readers")
+        found = find_files(spark, paths, recursive, depth, extensions)
+        return read_lines(spark, found), file_ends(spark, found), files, files.where("false").select("file", F.lit("").alias("fault"))
+    cut = stored(ranges.splits(files), "file-ranges")
+    sums = stored(ranges.range_sums(cut), "range-sums")
+    by_file = stored(ranges.file_sums(sums), "file-sums")
+    faults = by_file.where("fault IS NOT NULL").select("file", "fault")
+    whole = by_file.where("fault IS NULL").join(files, "file")
+    good = whole.select("file")
+    lines = ranges.range_lines(cut.join(good, "file", "left_semi"), sums.join(good, "file", "left_semi"))
+    gzip = F.lower("file").endswith(".gz")
+    ends = whole.where("lines > 0").select("file", "size", "terminator", F.when(~gzip, F.col("ends_with_newline")).alias("ends_with_newline"))
+    return lines, ends, files, faults
+
+
 def validate(spark: SparkSession, paths: str | list[str], options: Options | None = None, recursive: bool = False, depth: int | None = None, extensions: tuple[str, ...] | None = EXTENSIONS) -> Validation:
     """A run over files, plain or gzipped; of folders those with one of ``extensions``, down to ``depth`` levels."""
-    files = find_files(spark, paths, recursive, depth, extensions)
-    if not files:
-        raise FileNotFoundError(f"no sequence file in {paths}")
-    ends = file_ends(spark, files) if options and options.strict_eof else None
-    return Validation(read_lines(spark, files), options, ends, files=file_sizes(spark, files))
+    lines, ends, files, faults = open_files(spark, paths, recursive, depth, extensions)
+    return Validation(lines, options, ends, files=files, faults=faults)
 
 
 def validate_table(table: DataFrame, id_column: str, text_column: str, options: Options | None = None) -> Validation:
@@ -266,12 +297,13 @@ def validate_table(table: DataFrame, id_column: str, text_column: str, options:
     return Validation(split_lines(table, id_column, text_column), options)
 
 
-def dedupe_by_hash_file(spark: SparkSession, paths: str | list[str], hash_table: DataFrame, options: Options | None = None) -> tuple[Validation, DataFrame, DataFrame, DataFrame]:
+def dedupe_by_hash_file(spark: SparkSession, paths: str | list[str], hash_table: DataFrame, options: Options | None = None, recursive: bool = False, depth: int | None = None) -> tuple[Validation, DataFrame, DataFrame, DataFrame]:
     """A repair that keeps the first name of each sequence in a table of hashes.
 
     Returns the run, the unique sequences, the name summary and the coverage of the list.
     """
     unique = hashing.unique_from_hash_file(hash_table)
     keep = hashing.keep_list(unique)
-    run = Validation(read_lines(spark, find_files(spark, paths)), (options or Options()).for_hash_file(), None, keep)
+    lines, _, files, faults = open_files(spark, paths, recursive, depth)
+    run = Validation(lines, (options or Options()).for_hash_file(), None, keep, files=files, faults=faults)
     return run, unique, hashing.name_summary(hash_table, keep), dedup.coverage(keep, run.fixed, run.entries.where("ordinal > 0"))

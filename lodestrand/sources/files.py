@@ -20,15 +20,20 @@ def _literal(path: str) -> str:
     return re.sub(r"([\\{}\[\]*?,])", r"\\\1", path)
 
 
+def _named(uri: Column) -> Column:
+    """A file's name as it is, from the form in which the readers' metadata has it."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
 def _listed(spark: SparkSession, paths: str | list[str], recursive: bool, depth: int | None, extensions: tuple[str, ...] | None) -> list[tuple[str, str, int]]:
-    """(pattern, file, size) of each file found; file as the readers' metadata has it."""
+    """(pattern, file, size) of each file found, those too whose names begin with a dot or an underscore."""
     jvm, found = spark._jvm, {}
     conf = spark._jsc.hadoopConfiguration()
     fits = lambda name: extensions is None or name.lower().removesuffix(".gz").endswith(tuple(extensions))
 
     def add(at) -> None:
         name = at.getPath().toString()
-        found[_literal(name)] = (jvm.org.apache.hadoop.fs.Path(name).toUri().toString(), at.getLen())
+        found[_literal(name)] = (name, at.getLen())
 
     def walk(fs, folder, left: float) -> None:
         for at in sorted(fs.listStatus(folder), key=lambda x: x.getPath().toString()):
@@ -71,16 +76,17 @@ def read_lines(spark: SparkSession, paths: str | list[str], recursive: bool = Fa
     Spark's reader splits files at line feeds, carriage returns and both together, and
     unpacks gzip. Numbers come without sorting: rows of one split are contiguous in
     ``monotonically_increasing_id``, so a line's number is its place in its split plus
-    the lines of the splits before, of which there is one row each.
+    the lines of the splits before, of which there is one row each. These readers pass
+    over names that begin with a dot or an underscore: see ``ranges`` for all files.
     """
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    raw = reader.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.make_valid_utf8("value").alias("line"))
+    raw = reader.text(paths).select(_named(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.make_valid_utf8("value").alias("line"))
     splits = raw.groupBy("file", "split").agg(F.min("at").alias("first"), F.count("*").alias("lines"))
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     placed = splits.withColumn("before", F.coalesce(F.sum("lines").over(before), F.lit(0))).drop("lines")
-    numbered = raw.join(F.broadcast(placed), ["file", "split"])  # one row a split of the input
+    numbered = raw.join(placed, ["file", "split"])
     line_no = F.col("at") - F.col("first") + F.col("before") + 1
     text = F.when(line_no == 1, F.regexp_replace("line", "^﻿", "")).otherwise(F.col("line"))
     return numbered.select("file", line_no.alias("line_no"), text.alias("line"))
@@ -97,7 +103,7 @@ def file_ends(spark: SparkSession, paths: str | list[str], recursive: bool = Fal
     feed for each are its size, or one more than that if the last line has none.
     """
     listed = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("lineSep", "\n").text(paths)
-    raw = listed.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("line"))
+    raw = listed.select(_named(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("line"))
     place = F.struct("split", "at")
     head = F.struct("split", "at", F.substring("line", 1, SNIFF_BYTES).alias("head"), F.octet_length("line").alias("n"))
     tail = F.struct("split", "at", F.expr("substring(line, -1, 1)").alias("tail"))
