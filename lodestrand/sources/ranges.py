@@ -33,11 +33,15 @@ def splits(files: DataFrame, size: int = SPLIT) -> DataFrame:
     return files.select("file", "size", F.explode(starts).alias("from")).select("file", "from", F.least(F.col("from") + size, "size").alias("to"))
 
 
-def _opened(file: str) -> pa.NativeFile:
+def place_of(file: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a file's full name, and its name there."""
     if file.startswith("file:"):
-        fs, path = pyarrow.fs.LocalFileSystem(), "/" + file.removeprefix("file:").lstrip("/")
-    else:
-        fs, path = pyarrow.fs.FileSystem.from_uri(quote(file, safe=":/?&=@%+"))
+        return pyarrow.fs.LocalFileSystem(), "/" + file.removeprefix("file:").lstrip("/")
+    return pyarrow.fs.FileSystem.from_uri(quote(file, safe=":/?&=@%+"))
+
+
+def _opened(file: str) -> pa.NativeFile:
+    fs, path = place_of(file)
     return fs.open_input_file(path)
 
 
