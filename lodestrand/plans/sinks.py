@@ -51,10 +51,10 @@ def _join_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = source.get_file_info(pyarrow.fs.FileSelector(folder, allow_not_found=True))
             sink.create_dir(path.rsplit("/", 1)[0], recursive=True)
             unready = f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}"  # a second attempt of the task does not meet the first
-            with sink.open_output_stream(unready) as out:
+            with sink.open_output_stream(unready, compression=None) as out:
                 out.write(header or b"")
                 for part in sorted((x for x in found if x.base_name.startswith("part-")), key=lambda x: x.base_name):
-                    with source.open_input_stream(part.path) as f:
+                    with source.open_input_stream(part.path, compression=None) as f:
                         while data := f.read(CHUNK):
                             out.write(data)
                 sizes.append(out.tell())
@@ -62,19 +62,20 @@ def _join_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sizes, pa.int64())], names=["target", "bytes"])
 
 
-def write_single(rows: DataFrame, targets: DataFrame, folder: str, order: list[str], header: str = "", line_separator: str = "\n") -> DataFrame:
+def write_single(rows: DataFrame, targets: DataFrame, folder: str, order: list[str], header: str = "", line_separator: str = "\n", compression: str | None = None) -> DataFrame:
     """The lines of each file in ``targets`` (file, target) as one file of ``folder``; returns (target, bytes), already written.
 
     rows: (file, *order, line). Lines are written in ranges of their order to the folder
     that driver and executors share; then each output is put together by one task, as a
-    stream, and renamed. A file without lines has the header alone.
+    stream, and renamed. A file without lines has the header alone. compression: None or
+    gzip, whose parts are members of one file; there is no header then.
     """
     spark = rows.sparkSession
     place, staging = full_name(spark, folder), f"{shared_folder(spark)}/lodestrand/output-{uuid.uuid4().hex}"
     staged = full_name(spark, staging)
     key = F.lower(F.hex(F.xxhash64("file")))
     ordered = rows.select(key.alias("id"), *order, "line").repartitionByRange("id", *order).sortWithinPartitions("id", *order)
-    ordered.select("id", "line").write.partitionBy("id").option("lineSep", line_separator).text(staging)
+    ordered.select("id", "line").write.partitionBy("id").text(staging, compression=compression, lineSep=line_separator)
     first = f"{header}{line_separator}".encode() if header else b""
     jobs = targets.select(F.concat(F.lit(f"{staged}/id="), key).alias("staged"), F.concat(F.lit(f"{place}/"), "target").alias("target"), F.lit(first).alias("header"))
     n = targets.count()
