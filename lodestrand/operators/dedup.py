@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import with_duplicates
+from ..functions.text import MAX_DESCRIPTION, with_duplicates
+from .hashing import first_names, other_names, running_sums
 from .renaming import ending, endings, rename_duplicates
 
-__all__ = ["consolidate", "coverage", "duplicate_names", "ending", "endings", "kept_by_list", "merged_names", "removed_by_consolidation", "rename_duplicates", "same_name_kept"]
+__all__ = ["consolidate", "coverage", "duplicate_names", "ending", "endings", "kept_by_list", "removed_by_consolidation", "rename_duplicates", "same_name_kept"]
 
 
 def _first_places(entries: DataFrame, name: Column) -> DataFrame:
@@ -38,28 +39,28 @@ def same_name_kept(entries: DataFrame, hash_column: str = "Sequence_Hash") -> Da
     return marked.withColumn("retained", retained).where(~later | F.col("retained")).drop("_first", "_file", "_key")
 
 
-def merged_names(own: Column, names: Column) -> Column:
-    """The other names of a sequence, without the entry's own and its own with an ending."""
-    base = lambda n: F.regexp_extract(n, r"(.+)-[a-z]\d*", 1)
-    return F.filter(names, lambda n: (F.lower(n) != F.lower(own)) & (F.lower(base(n)) != F.lower(own)))
-
-
-def consolidate(entries: DataFrame, unique: DataFrame) -> DataFrame:
+def consolidate(entries: DataFrame, hashes: DataFrame) -> DataFrame:
     """The first entry of each sequence, the other names at the end of its description.
 
-    entries: file, ordinal, name, description, ...; unique: see ``hashing.unique_sequences``.
+    entries: file, ordinal, name, description, ...; hashes: see ``hashing.protein_hashes``.
+    Other names come by the order of their sequences, then by name, without the entry's
+    own and its own with an ending. Only as many are gathered as a description can hold,
+    which a running length over ranges tells, however many names a sequence has.
     """
-    firsts = unique.select("file", F.lower("Protein_Name_First").alias("_key"), "additional")
+    key = F.lower("Protein_Name_First").alias("_key")
+    base = F.regexp_extract("name", r"(.+)-[a-z]\d*", 1)
+    others = other_names(hashes).select("file", key, "first_ordinal", "name").where((F.lower("name") != F.col("_key")) & (F.lower(base) != F.col("_key")))
+    placed = running_sums(others.withColumn("_n", (F.length("name") + 1).cast("long")), {"_before": "_n"}, ["first_ordinal", "name"], ["file", "_key"]).where(F.col("_before") <= MAX_DESCRIPTION)
+    lists = placed.groupBy("file", "_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("first_ordinal", "name"))), lambda x: x["name"]).alias("_others"))
     once = _with_first(entries, F.lower("name")).where("ordinal = _first").drop("_first").withColumn("_key", F.lower("name"))
-    joined = once.join(firsts.groupBy("file", "_key").agg(F.flatten(F.collect_list("additional")).alias("additional")), ["file", "_key"])
-    others = merged_names(F.col("name"), F.col("additional"))
-    return joined.withColumn("description", F.when(F.size(others) > 0, with_duplicates(F.col("description"), others)).otherwise(F.col("description"))).drop("_key", "additional")
+    joined = once.join(first_names(hashes).select("file", key), ["file", "_key"], "left_semi").join(lists, ["file", "_key"], "left")
+    return joined.withColumn("description", F.when(F.col("_others").isNotNull(), with_duplicates(F.col("description"), F.col("_others"))).otherwise(F.col("description"))).drop("_key", "_others")
 
 
-def removed_by_consolidation(entries: DataFrame, unique: DataFrame) -> DataFrame:
+def removed_by_consolidation(entries: DataFrame, hashes: DataFrame) -> DataFrame:
     """(file, ordinal, name, same_as): the entries that go, and the one that stands for each."""
-    firsts = unique.select("file", F.lower("Protein_Name_First").alias("_key")).distinct()
-    others = unique.select("file", F.explode("additional").alias("name"), F.col("Protein_Name_First").alias("same_as")).withColumn("_key", F.lower("name")).groupBy("file", "_key").agg(F.min("same_as").alias("same_as"))
+    firsts = first_names(hashes).select("file", F.lower("Protein_Name_First").alias("_key")).distinct()
+    others = other_names(hashes).select("file", F.lower("name").alias("_key"), F.col("Protein_Name_First").alias("same_as")).groupBy("file", "_key").agg(F.min("same_as").alias("same_as"))
     gone = entries.withColumn("_key", F.lower("name")).join(firsts, ["file", "_key"], "left_anti").join(others, ["file", "_key"], "left")
     return gone.select("file", "ordinal", "name", F.coalesce("same_as", F.lit("??")).alias("same_as"))
 

@@ -75,6 +75,25 @@ def unique_sequences(hashes: DataFrame) -> DataFrame:
     return ranked.select("file", "Sequence_Index", "Protein_Name_First", "Sequence_Length", "Sequence_Hash", (F.size("additional") + 1).alias("Protein_Count"), F.array_join("additional", ",").alias("Duplicate_Proteins"), "additional", "repeats", "start")
 
 
+def first_names(hashes: DataFrame) -> DataFrame:
+    """(file, Sequence_Hash, first_ordinal, Protein_Name_First, Sequence_Length) of each sequence: where and under which name it is met first."""
+    first = F.min(F.struct("ordinal", "Protein_Name", "Sequence_Length")).alias("first")
+    return hashes.groupBy("file", "Sequence_Hash").agg(first).select("file", "Sequence_Hash", F.col("first.ordinal").alias("first_ordinal"), F.col("first.Protein_Name").alias("Protein_Name_First"), F.col("first.Sequence_Length").alias("Sequence_Length"))
+
+
+def other_names(hashes: DataFrame) -> DataFrame:
+    """A row for each other name of each sequence: the columns of ``first_names`` and name. No sequence's names are gathered."""
+    names = hashes.select("file", "Sequence_Hash", F.col("Protein_Name").alias("name")).distinct()
+    return names.join(first_names(hashes), ["file", "Sequence_Hash"]).where("name <> Protein_Name_First")
+
+
+def duplicate_rows(hashes: DataFrame) -> DataFrame:
+    """The rows of ``sequence_duplicates`` straight from the hashes, for sequences with any number of names."""
+    ranked = indexed(first_names(hashes), "Sequence_Index", "first_ordinal").select("file", "Sequence_Hash", "Sequence_Index")
+    named = other_names(hashes).join(ranked, ["file", "Sequence_Hash"])
+    return named.select("file", "Sequence_Index", "Protein_Name_First", "Sequence_Length", F.col("name").alias("Duplicate_Protein"))
+
+
 def sequence_duplicates(unique: DataFrame) -> DataFrame:
     """(file, Sequence_Index, Protein_Name_First, Sequence_Length, Duplicate_Protein): one row for each other name."""
     return unique.select("file", "Sequence_Index", "Protein_Name_First", "Sequence_Length", F.explode("additional").alias("Duplicate_Protein"))

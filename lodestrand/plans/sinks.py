@@ -99,6 +99,23 @@ def write_table_files(table: DataFrame, kind: str, files: DataFrame, folder: str
     return write_single(table.select("file", *ORDER[kind], line.alias("line")), target_names(files, ENDINGS[kind]), folder, ORDER[kind], "\t".join(COLUMNS[kind]), line_separator)
 
 
+def write_normalised_files(run: Validation, folder: str) -> DataFrame:
+    """A copy with CR and LF at the end of every line, as ``CRLF_<name>``, of each file that has other line ends.
+
+    Gzipped files are passed over, with a warning; files whose first line end is CRLF
+    already have no copy. Inputs are never changed.
+    """
+    gzip = F.lower("file").endswith(".gz")
+    if skipped := run.ends.where(gzip).count():
+        run.events.warning(f"{skipped} gzipped files keep their line ends")
+    wanted = run.ends.where(~gzip & (F.col("terminator") != "CRLF")).select("file")
+    named = wanted.withColumn("name", F.regexp_extract("file", r"([^/\\]*)$", 1))
+    several = named.groupBy("name").agg((F.count("*") > 1).alias("several"))
+    own = F.when(F.col("several"), F.concat(F.lower(F.hex(F.xxhash64("file"))), F.lit("_"))).otherwise("")
+    targets = named.join(several, "name").select("file", F.concat(F.lit("CRLF_"), own, "name").alias("target"))
+    return write_single(run.lines.join(wanted, "file", "left_semi").select("file", "line_no", "line"), targets, folder, ["line_no"], line_separator="\r\n")
+
+
 def append_stats_file(run: Validation, folder: str, sizes: DataFrame | None = None, date: datetime | None = None) -> str:
     """The report as the next numbered part of the day's statistics file, a folder; returns its path.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import build_header, trimmed, with_repair, wrap_width, wrapped
@@ -12,6 +12,7 @@ from ..operators import checks, dedup, hashing, records, segments
 from ..options import Options
 from ..rules import messages
 from ..storage import stored
+from .events import Events
 from ..sources import ranges
 from ..sources.files import EXTENSIONS, file_ends, file_sizes, find_files, read_lines, split_lines
 
@@ -23,14 +24,35 @@ class Validation:
     made of, are stored when first asked for; the rest is computed only when read.
     """
 
-    def __init__(self, lines: DataFrame, options: Options | None = None, ends: DataFrame | None = None, keep: DataFrame | None = None, files: DataFrame | None = None, cell: int = segments.CELL, faults: DataFrame | None = None) -> None:
-        """lines: (file, line_no, line); ends: see ``sources.file_ends``; keep: names to keep (Protein_Name); files: (file, size) of all files, those without a line too; cell: characters of an entry that is kept in one cell; faults: (file, fault) of files that could not be read."""
-        self.cell, self.faults = cell, faults
+    def __init__(self, lines: DataFrame, options: Options | None = None, ends: DataFrame | None = None, keep: DataFrame | None = None, files: DataFrame | None = None, cell: int = segments.CELL, faults: DataFrame | None = None, events: Events | None = None) -> None:
+        """lines: (file, line_no, line); ends: see ``sources.file_ends``; keep: names to keep (Protein_Name); files: (file, size) of all files, those without a line too; cell: characters of an entry that is kept in one cell; faults: (file, fault) of files that could not be read; events: what is told meanwhile."""
+        self.cell, self.faults, self.events = cell, faults, events or Events()
+        self._seen = Observation("lines")
         self.lines, self.options, self.ends, self.keep, self.files = lines, options or Options(), ends, keep, files
 
     @functools.cached_property
     def classified(self) -> DataFrame:
-        return stored(records.classify(self.lines, self.options.header_start, reset_blank_on_header=self.options.reset_blank_on_header), "classified-lines")
+        lines = records.classify(self.lines, self.options.header_start, reset_blank_on_header=self.options.reset_blank_on_header)
+        kind, n = F.col("kind"), F.length("text")
+        counted = lines.observe(self._seen, F.count("*").alias("lines"), F.count_if(kind == "header").alias("proteins"), F.coalesce(F.sum(F.when(kind == "residue", n)), F.lit(0)).cast("long").alias("residues"), F.count_if(kind == "oversize").alias("skipped_lines"))
+        if self.faults is not None:
+            for file, fault in self.faults.limit(self.options.max_findings).collect():
+                self.events.error(f"{file}: {fault}")
+        return self._stored(counted, "classified-lines")
+
+    def _stored(self, df: DataFrame, name: str) -> DataFrame:
+        with self.events.step(df.sparkSession, name):
+            return stored(df, name)
+
+    @functools.cached_property
+    def totals(self) -> dict[str, int]:
+        """lines, proteins, residues and skipped_lines of all files: counted while the classified lines were written."""
+        _ = self.classified
+        seen = dict.fromkeys(("lines", "proteins", "residues", "skipped_lines"), 0) | dict(self._seen.get)
+        self.events.status(f"{seen['proteins']:,} proteins, {seen['residues']:,} residues, {seen['lines']:,} lines")
+        if seen["skipped_lines"]:
+            self.events.warning(f"{seen['skipped_lines']:,} lines of over {records.MAX_LINE:,} characters were skipped")
+        return seen
 
     @functools.cached_property
     def headers(self) -> DataFrame:
@@ -43,7 +65,7 @@ class Validation:
 
     @functools.cached_property
     def entries(self) -> DataFrame:
-        return stored(self._entries(), "entries")
+        return self._stored(self._entries(), "entries")
 
     def _entries(self) -> DataFrame:
         """Every entry with its final name and what becomes of it.
@@ -97,7 +119,7 @@ class Validation:
 
     @functools.cached_property
     def all_findings(self) -> DataFrame:
-        return stored(self._all_findings(), "findings")
+        return self._stored(self._all_findings(), "findings")
 
     def _all_findings(self) -> DataFrame:
         """Every finding, in the findings table's columns; none left out."""
@@ -203,7 +225,7 @@ class Validation:
         if self.keep is None and o.keep_same_name and not o.rename_duplicates:
             some = dedup.same_name_kept(some)
         if self.keep is None and o.consolidate:
-            some = dedup.consolidate(some, self.unique)
+            some = dedup.consolidate(some, self.hashes)
         return some.select("file", "ordinal", "name", "description", "residues", "max_line_len")
 
     @functools.cached_property
@@ -213,7 +235,7 @@ class Validation:
         none = some.where("false").select("file", "ordinal", "name", F.lit(20).alias("code"), F.lit("").alias("extra"))
         found = none
         if self.keep is None and o.fix and o.consolidate:
-            found = found.unionByName(dedup.removed_by_consolidation(some, self.unique).select("file", "ordinal", "name", F.lit(20).alias("code"), F.concat(F.lit("same as "), F.col("same_as")).alias("extra")))
+            found = found.unionByName(dedup.removed_by_consolidation(some, self.hashes).select("file", "ordinal", "name", F.lit(20).alias("code"), F.concat(F.lit("same as "), F.col("same_as")).alias("extra")))
         if self.keep is None and o.fix and o.keep_same_name and not o.rename_duplicates:
             found = found.unionByName(dedup.same_name_kept(some).where("retained").select("file", "ordinal", "name", F.lit(21).alias("code"), F.lit("").alias("extra")))
         ends = self.entries.select("file", "ordinal", F.col("next_header_line_no").alias("line_no"))
@@ -286,10 +308,11 @@ def open_files(spark: SparkSession, paths: str | list[str], recursive: bool = Fa
     return lines, ends, files, faults
 
 
-def validate(spark: SparkSession, paths: str | list[str], options: Options | None = None, recursive: bool = False, depth: int | None = None, extensions: tuple[str, ...] | None = EXTENSIONS) -> Validation:
+def validate(spark: SparkSession, paths: str | list[str], options: Options | None = None, recursive: bool = False, depth: int | None = None, extensions: tuple[str, ...] | None = EXTENSIONS, events: Events | None = None) -> Validation:
     """A run over files, plain or gzipped; of folders those with one of ``extensions``, down to ``depth`` levels."""
-    lines, ends, files, faults = open_files(spark, paths, recursive, depth, extensions)
-    return Validation(lines, options, ends, files=files, faults=faults)
+    with (events or Events()).step(spark, "file-ranges"):
+        lines, ends, files, faults = open_files(spark, paths, recursive, depth, extensions)
+    return Validation(lines, options, ends, files=files, faults=faults, events=events)
 
 
 def validate_table(table: DataFrame, id_column: str, text_column: str, options: Options | None = None) -> Validation:

@@ -190,7 +190,7 @@ def q_unique_seqs(spark, d):
 
 
 def q_seq_dups(spark, d):
-    return hashing.sequence_duplicates(hashing.unique_sequences(_hashes(spark, d)))
+    return hashing.duplicate_rows(_hashes(spark, d))
 
 
 def q_hashfile_unique(spark, d):
@@ -229,7 +229,7 @@ def q_keep_same_name(spark, d):
 def q_consolidate(spark, d):
     entries = doc_records(spark, d)
     once = entries.withColumn("name", F.concat("name", F.lit("."), F.col("ordinal")))
-    return dedup.consolidate(once.where("residues <> ''"), hashing.unique_sequences(hashing.protein_hashes(once))).select("file", "ordinal", "name", "description")
+    return dedup.consolidate(once.where("residues <> ''"), hashing.protein_hashes(once)).select("file", "ordinal", "name", "description")
 
 
 def _dna(spark, d):
