@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..options import Options
-from ..rules import FLAGS
 
 HEADER_CONTEXT = 13
 SEQUENCE_CONTEXT = 5
@@ -51,11 +50,6 @@ def context(text: Column, index: Column, length: int) -> Column:
     return F.when(F.length(text) <= 1, text).otherwise(F.substring(text, (start + 1).cast("int"), (end - start + 1).cast("int")))
 
 
-def rule_index(text: Column, pattern: str) -> Column:
-    """0-based place of the first match; 0 without one."""
-    return F.greatest(F.regexp_instr(text, F.lit(FLAGS + pattern)) - 1, F.lit(0))
-
-
 def sequence_hash(residues: Column, ignore_il: bool = False) -> Column:
     """SHA-1 in upper-case hex, leucine and isoleucine alike if asked; empty for an empty sequence."""
     plain = F.translate(residues, "L", "I") if ignore_il else residues

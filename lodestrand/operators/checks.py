@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import HEADER_CONTEXT, SEQUENCE_CONTEXT, context, rule_index
+from ..functions.text import HEADER_CONTEXT, SEQUENCE_CONTEXT, context
 from ..options import Options
 from ..rules import FIRST_RULE_ID, FLAGS, Rule
 from .hashing import measured
@@ -27,8 +27,9 @@ def rule_findings(rules: tuple[Rule, ...], text: Column, line: Column, offset: C
     found = []
     for step, rule in enumerate(rules):
         pattern = FLAGS + rule.pattern
-        broken = text.rlike(pattern) if rule.match_is_problem else ~text.rlike(pattern)
-        index = (F.lit(offset) if isinstance(offset, int) else offset) + rule_index(text, rule.pattern)
+        place = F.regexp_instr(text, F.lit(pattern))  # one search tells whether and where
+        broken = place > 0 if rule.match_is_problem else place == 0
+        index = (F.lit(offset) if isinstance(offset, int) else offset) + F.greatest(place - 1, F.lit(0))
         extra = F.regexp_substr(text, F.lit(pattern)) if rule.show_match else F.lit("")
         found.append(F.when(broken if when is None else when & broken, finding(rule.level, rule.id, phase, index, extra, context(line, index, width), step)))
     return found

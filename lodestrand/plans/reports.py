@@ -104,4 +104,4 @@ def write_with_last_line_end(run: Validation, path: str, mode: str = "errorifexi
     """The lines of those files that lack the last line end, with it, each file's other line ends as they are."""
     for kind, separator in (("CRLF", "\r\n"), ("LF", "\n"), ("CR", "\r"), ("LFCR", "\n\r")):
         lacking = run.ends.where((F.col("terminator") == kind) & ~F.col("ends_with_newline")).select("file")
-        write_normalised(run.lines.join(F.broadcast(lacking), "file", "left_semi"), f"{path}/{kind}", separator, mode)  # names of files
+        write_normalised(run.lines.join(lacking, "file", "left_semi"), f"{path}/{kind}", separator, mode)

@@ -46,18 +46,21 @@ KINDS = LINES + r", kinds AS (SELECT *, regexp_replace(line, '^\s+', '') AS text
 
 
 def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of one file for each source: a header line for each document, then its lines, every third one blank."""
+    """Lines of one file for each source: a header line for each document, then its lines, a blank one before every third."""
     docs = _read(spark, sf_dir, "documents")
     header = F.concat(F.lit(">"), "source", F.lit("|"), F.col("doc_id"), F.lit(" "), "lang")
-    parts = docs.select(F.col("source").alias("file"), "doc_id", F.posexplode(F.concat(F.array(header), F.split("text", "\n"))).alias("i", "line"))
+    spaced = F.flatten(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 3 == 2, F.array(F.lit(""), x)).otherwise(F.array(x))))
+    parts = docs.select(F.col("source").alias("file"), "doc_id", F.posexplode(F.concat(F.array(header), spaced)).alias("i", "line"))
     # Numbers in the order of the documents; gaps do not matter.
-    numbered = parts.select("file", (F.col("doc_id") * 1_000_000 + F.col("i") + 1).alias("line_no"), F.when((F.col("i") > 0) & (F.col("i") % 3 == 0), F.lit("")).otherwise(F.col("line")).alias("line"))
-    return numbered
+    return parts.select("file", (F.col("doc_id") * 1_000_000 + F.col("i") + 1).alias("line_no"), "line")
 
 
 STREAM = r"""stream AS (
-  SELECT source AS file, doc_id * 1000000 + i AS line_no, CASE WHEN i > 1 AND (i - 1) % 3 = 0 THEN '' ELSE line END AS line
-  FROM (SELECT source, doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS line FROM (SELECT source, doc_id, list_concat(['>' || source || '|' || doc_id || ' ' || lang], string_split(text, chr(10))) AS p FROM documents))
+  SELECT source AS file, doc_id * 1000000 + i AS line_no, line
+  FROM (
+    SELECT source, doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS line
+    FROM (SELECT source, doc_id, list_concat(['>' || source || '|' || doc_id || ' ' || lang], flatten(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 3 = 0 THEN ['', x] ELSE [x] END))) AS p FROM documents)
+  )
 ),
 kinds AS (SELECT *, regexp_replace(line, '^\s+', '') AS text, CASE WHEN regexp_full_match(line, '\s*') THEN 'blank' WHEN regexp_matches(line, '^\s*>') THEN 'header' ELSE 'residue' END AS kind FROM stream),
 state AS (
