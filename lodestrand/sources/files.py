@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+from .ranges import SCHEMES, place_of
+
 #: Lines of one block: what one task of the state operators holds at a time.
 BLOCK_LINES = 500_000
 #: Bytes that are looked at for the kind of line end.
@@ -65,9 +73,42 @@ def find_files(spark: SparkSession, paths: str | list[str], recursive: bool = Fa
     return [pattern for pattern, *_ in _listed(spark, paths, recursive, depth, extensions)]
 
 
+def _one_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What lies in each folder, not deeper."""
+    for batch in batches:
+        for folder, left in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            fs, path = place_of(folder)
+            found = fs.get_file_info(pyarrow.fs.FileSelector(path))
+            names = [f"{folder.rstrip('/')}/{x.base_name}" for x in found]
+            folders = [x.type == pyarrow.fs.FileType.Directory for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([x.size for x in found], pa.int64()), pa.array(folders, pa.bool_()), pa.array([left - 1] * len(found), pa.int64())], names=["file", "size", "folder", "left"])
+
+
 def file_sizes(spark: SparkSession, paths: str | list[str], recursive: bool = False, depth: int | None = None, extensions: tuple[str, ...] | None = EXTENSIONS) -> DataFrame:
-    """(file, size) of each file, empty ones too, from the listing alone."""
-    return spark.createDataFrame([row[1:] for row in _listed(spark, paths, recursive, depth, extensions)], "file string, size long")
+    """(file, size) of each file that ``paths`` name, empty and hidden ones too; see ``find_files``.
+
+    The driver looks at the given names alone. Folders are listed by tasks, a level at a
+    time, so neither the number of folders nor of files is held in one place; where tasks
+    cannot open them, the driver lists them.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    files, folders = [], []
+    for path in [paths] if isinstance(paths, str) else paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        for at in place.getFileSystem(conf).globStatus(place) or []:
+            (folders if at.isDirectory() else files).append((at.getPath().toString(), at.getLen()))
+    if any(name.split(":")[0] not in SCHEMES for name, _ in files + folders):
+        return spark.createDataFrame([row[1:] for row in _listed(spark, paths, recursive, depth, extensions)], "file string, size long")
+    found = spark.createDataFrame(files, "file string, size long")
+    level = spark.createDataFrame([(name, (1 << 40 if depth is None else depth) if recursive else 0) for name, _ in folders], "folder string, left long")
+    wanted = [F.regexp_replace(F.lower("file"), r"\.gz$", "").endswith(x) for x in extensions or ()]
+    while not level.isEmpty():
+        n = max(1, min(level.count(), 10_000))
+        listed = stored(level.repartition(n, "folder").mapInArrow(_one_level, "file string, size long, folder boolean, left long"), "listed-folders")
+        here = listed.where("NOT folder").select("file", "size")
+        found = found.unionByName(here.where(functools.reduce(operator.or_, wanted)) if wanted else here)
+        level = listed.where("folder AND left >= 0").select(F.col("file").alias("folder"), "left")
+    return found.distinct()
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], recursive: bool = False, pattern: str | None = None) -> DataFrame:
