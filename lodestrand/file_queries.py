@@ -111,6 +111,36 @@ def q_segmented_sequences(spark, d):
     return sums.join(wide, ["file", "ordinal"]).join(names, ["file", "ordinal"]).drop("ordinal")
 
 
+def _faulty_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of entries made of parts: known accessions, long names, unwanted characters, names and sequences that come again, small letters."""
+    k = F.col("p_partkey")
+    kind = k % 6
+    name = F.when(kind == 0, F.concat(F.lit("gi|"), k, F.lit("|rest"))).when(kind == 1, F.concat(F.lit("longname"), k, F.lit("|second|third|fourth_part"))).when(kind == 2, F.concat(F.lit("na#me"), k)).when(kind == 5, F.concat(F.lit("plain"), k)).otherwise(F.concat(F.lit("dup"), k % 40))
+    residues = F.concat(F.expr("substring(repeat('ACDEFGHIKL', 8), cast(p_partkey % 50 + 1 AS int), 20)"), F.when(k % 4 == 0, "x").otherwise(""))
+    lines = F.array(F.concat(F.lit(">"), name, F.lit(" about")), residues)
+    parts = _read(spark, d, "part").select(F.concat(F.lit("f"), k % 3).alias("file"), "p_partkey", F.posexplode(lines).alias("i", "line"))
+    return parts.select("file", (F.col("p_partkey") * 2 + F.col("i")).alias("line_no"), "line")
+
+
+def q_fix_counters(spark, d):
+    """The seven counters of a repair, of one run that renames duplicates and of one that leaves out duplicate names and sequences."""
+    same = {"fix": True, "max_name_length": 24, "invalid_name_chars": "#%", "remove_invalid_residues": True}
+    runs = {"rename": Options(rename_duplicates=True, **same), "leave out": Options(consolidate=True, **same)}
+    counts = [Validation(_faulty_entries(spark, d), o).fix_counts.withColumn("run", F.lit(k)) for k, o in runs.items()]
+    return counts[0].unionByName(counts[1])
+
+
+COUNTERS_SQL = """
+WITH e AS (
+  SELECT 'f' || (p_partkey % 3) AS file, p_partkey AS k, p_partkey % 6 AS kind, substring(repeat('ACDEFGHIKL', 8), (p_partkey % 50 + 1)::INT, 20) AS residues,
+    p_partkey % 6 IN (3, 4) AND row_number() OVER (PARTITION BY p_partkey % 3, p_partkey % 6 IN (3, 4), p_partkey % 40 ORDER BY p_partkey) > 1 AS again
+  FROM part
+)
+SELECT run, file, count(*) FILTER (WHERE kind = 1) AS truncated_names, count(*) FILTER (WHERE kind = 0) AS refs_removed, count(*) FILTER (WHERE kind = 2) AS chars_replaced, count(*) FILTER (WHERE again AND run = 'rename') AS duplicates_renamed,
+  count(*) FILTER (WHERE again AND run <> 'rename') AS duplicates_skipped, count(*) FILTER (WHERE k % 4 = 0 AND (run = 'rename' OR NOT again)) AS updated_residue_lines,
+  CASE WHEN run = 'rename' THEN 0 ELSE count(*) FILTER (WHERE NOT again) - count(DISTINCT residues) FILTER (WHERE NOT again) END AS duplicate_sequences_skipped
+FROM e, (VALUES ('rename'), ('leave out')) AS r(run) GROUP BY run, file
+"""
 CONTENT = r"""content AS (
   SELECT lang AS file, string_agg(coalesce(text, '') || CASE ascii(lang[2]) % 3 WHEN 0 THEN chr(10) WHEN 1 THEN chr(13) || chr(10) ELSE chr(13) END, '' ORDER BY doc_id) AS t
   FROM documents WHERE lang IS NOT NULL GROUP BY lang
@@ -143,4 +173,5 @@ ORACLE_SQL = {
     "q_fixed_files": FIXED_SQL,
     "q_table_files": TABLE_SQL,
     "q_segmented_sequences": SEGMENTED_SQL,
+    "q_fix_counters": COUNTERS_SQL,
 }

@@ -99,3 +99,16 @@ def test_a_cut_file_is_a_finding(spark, tmp_path):
     assert all(r.message.startswith("Unspecified error (") for r in run.findings.collect())
     counts = {r.file.rsplit("/", 1)[1]: (r.proteins, r.residues, r.errors) for r in run.summary.collect()}
     assert counts == {"bad.fasta.gz": (0, 0, 1), "odd.fasta.gz": (0, 0, 1), "_good.fasta": (1, 3, 0)}
+
+
+def test_folders_are_listed_level_by_level(spark, tmp_path):
+    for at in ("a.fasta", "x/b.FAA", "x/_y/c.fasta.gz", "x/_y/z/d.fasta", "x/e.txt"):
+        (tmp_path / at).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / at).write_bytes(b"12345")
+    names = lambda paths=str(tmp_path), **k: sorted(r.file.rsplit("/", 1)[1] for r in file_sizes(spark, paths, **k).collect())
+    assert names() == ["a.fasta"]
+    assert names(recursive=True, depth=1) == ["a.fasta", "b.FAA"]
+    assert names(recursive=True) == ["a.fasta", "b.FAA", "c.fasta.gz", "d.fasta"]
+    assert names(recursive=True, extensions=None) == ["a.fasta", "b.FAA", "c.fasta.gz", "d.fasta", "e.txt"]
+    assert names([f"{tmp_path}/a.fasta", f"{tmp_path}/*", f"{tmp_path}/x/e.txt"]) == ["a.fasta", "b.FAA", "e.txt"]
+    assert {r.size for r in file_sizes(spark, str(tmp_path), True).collect()} == {5}
