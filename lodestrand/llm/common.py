@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..storage import shared_folder, stored
 
-__all__ = ["GrowingRows", "WordIndex", "bytes_of", "gather_ranges", "own_names", "shared_folder", "small_runs", "stored", "sums_of_runs", "text_of", "worker_table"]
+__all__ = ["GrowingRows", "WordIndex", "bytes_of", "gather_ranges", "join_split", "own_names", "shared_folder", "small_runs", "stored", "sums_of_runs", "text_of", "worker_table"]
 
 #: Characters of text that a Python worker holds as words at one time.
 CHUNK_CHARS = 1 << 20
@@ -38,9 +39,40 @@ def own_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Rows of a key that one task joins in any case; a key with more, and over 1 / HOT_SHARE of all rows, is split.
+HOT_ROWS = 1_000_000
+HOT_SHARE = 1000
+
+
+def join_split(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row a key, so that no key's rows are one task.
+
+    ``total`` is the number of ``rows``. Keys with more than ``hot_rows`` rows and more
+    than a share of 1 / HOT_SHARE are fewer than HOT_SHARE, so their part of ``table`` is
+    broadcast; the rest is joined by key. With no more rows than ``hot_rows`` there is no
+    such key. ``how`` is inner or left; null keys match nothing.
+    """
+    if total <= hot_rows:
+        return rows.join(table, key, how)
+    limit = max(hot_rows, total // HOT_SHARE)
+    hot = stored(rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select(key), "hot-keys")
+    few = F.broadcast(hot)  # HOT_SHARE rows at most
+    split = rows.join(few, key, "left_semi").join(F.broadcast(table.join(few, key, "left_semi")), key, how)
+    return split.unionByName(rows.join(few, key, "left_anti").join(table, key, how))
+
+
 _held: dict = {}
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def worker_table(key, make: Callable):
     """What a Python worker keeps between batches, made once. Another operator's table goes first.
 
@@ -49,7 +81,7 @@ def worker_table(key, make: Callable):
     """
     if key not in _held:
         _held.clear()
-        gc.collect()
+        _give_back()
         _held[key] = make()
     return _held[key]
 

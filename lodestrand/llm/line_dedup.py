@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bytes_of, own_names, stored, text_of
+from .common import bytes_of, own_names, stored, text_of, worker_table
 from .perfect_hash import PerfectHash
 
 MIN_CHARS = 40
@@ -112,16 +113,9 @@ class Shard:
         return gone
 
 
-_ready: dict[int, tuple] = {}
-
-
-def _opened(index: Broadcast) -> dict[int, Shard]:
+def _opened(key: str, index: Broadcast) -> dict[int, Shard]:
     """This worker's shards of a broadcast index."""
-    rows = index.value
-    if id(rows) not in _ready:
-        _ready.clear()
-        _ready[id(rows)] = (rows, {row[0]: Shard(*map(bytes, row[1:])) for row in rows})
-    return _ready[id(rows)][1]
+    return worker_table(key, lambda: {row[0]: Shard(*map(bytes, row[1:])) for row in index.value})
 
 
 def _kept(text: bytes, dropped: set[int]) -> bytes:
@@ -133,6 +127,8 @@ _RESULT = pa.struct([("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped
 
 
 def _rewrite_by_broadcast(index: Broadcast, n_shards: int, min_chars: int):
+    key = f"line-index-{uuid.uuid4().hex}"
+
     @F.arrow_udf(_TOLD)
     def rewrite(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for doc_ids, texts in batches:
@@ -148,7 +144,7 @@ def _rewrite_by_broadcast(index: Broadcast, n_shards: int, min_chars: int):
             owner = np.repeat(np.arange(len(texts)), counts)
             gone = np.zeros(len(h1), bool)
             shard = (h1.view(np.int64) % n_shards).astype(np.int64)
-            for number, arrays in _opened(index).items():
+            for number, arrays in _opened(key, index).items():
                 mine = np.flatnonzero(shard == number)
                 gone[mine] = arrays.drops(h1[mine], h2[mine], ids[owner[mine]])
             dropped: dict[int, set[int]] = {}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bits import bit_sums, packed
-from .common import bytes_of, own_names, small_runs, stored, text_of
+from .common import HOT_SHARE, bytes_of, join_split, own_names, small_runs, stored, text_of
 from .components import components
 
 SHINGLE = 4
@@ -25,8 +25,6 @@ CELL = (1 << 15, 1 << 20)
 LEAF = 8
 #: Node pairs that a task holds at a time.
 FRONTIER = 1 << 17
-#: Fingerprints of more copies than this share of all documents are joined by broadcast: 1,000 rows at most.
-HOT_SHARE = 1000
 
 
 def _shingle_hashes(text: bytes, width: int) -> list[int]:
@@ -218,8 +216,11 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "distinct-fingerprints")
     root = components(links(distinct.select("fp"), radius, cell_size)).select(F.col("node").alias("fp"), "root")
     joined = distinct.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = stored(joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "copies", "root", "component_id"), "components")
-    limit = max(1, math.ceil((distinct.agg(F.sum("copies")).first()[0] or 0) / HOT_SHARE))
+    joined = stored(joined, "roots")
+    total = joined.agg(F.count("*"), F.sum("copies")).first()
+    names = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = stored(join_split(joined, names, "root", total[0]).select("fp", "copies", "root", "component_id"), "components")
+    limit = max(1, math.ceil((total[1] or 0) / HOT_SHARE))  # more copies have fewer than HOT_SHARE fingerprints
     hot = F.broadcast(named.where(F.col("copies") > limit).drop("copies"))
     cold = named.where(F.col("copies") <= limit).drop("copies")
     told = rows.join(hot, "fp").unionByName(rows.join(hot, "fp", "left_anti").join(cold, "fp"))
