@@ -134,9 +134,10 @@ def base_failed() -> Column:
 def judge(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", max_character_distance: float = MAX_CHARACTER_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE, min_words_compared: int = MIN_WORDS_COMPARED, trusted: DataFrame | None = None) -> DataFrame:
     """One row per document with its counts, its distances from its language and the verdict.
 
-    The references are the summed histograms of ``trusted`` (columns as ``documents``),
-    or, without it, of all documents themselves: a verdict then depends on the table it
-    comes with. A text is compared with its own language's; with all languages' where the language has no list of common words
+    The references are the summed histograms of ``trusted``, so a verdict does not depend
+    on the documents that are judged with it. ``trusted`` is a table of texts (columns as
+    ``documents``), or of ids alone, which name documents of this table. Without it all
+    documents serve, and a verdict then depends on the table it comes with. A text is compared with its own language's; with all languages' where the language has no list of common words
     (or is null), and then by characters alone. Texts of fewer than
     ``min_words_compared`` words are compared by characters alone.
 
@@ -148,7 +149,12 @@ def judge(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
     An empty table gives no rows. Other columns are ignored.
     """
     counts = stored(text_statistics(documents, id_column, text_column, lang_column), "text-statistics")
-    known_good = counts if trusted is None else text_statistics(trusted, id_column, text_column, lang_column)
+    if trusted is None:
+        known_good = counts
+    elif text_column in trusted.columns:
+        known_good = text_statistics(trusted, id_column, text_column, lang_column)
+    else:
+        known_good = counts.join(trusted.select(F.col(id_column).alias("doc_id")), "doc_id", "left_semi")
     known = counts.withColumn("language", F.when(F.col("lang").isin(*COMMON_WORDS), F.col("lang")).otherwise(F.lit("")))
     joined = known.join(F.broadcast(references(known_good)), "language", "left")  # a row for each listed language and one more
     compared = joined.withColumns({"character_distance": divergence("characters", "characters_reference"), "word_distance": F.when((F.col("n_words") >= min_words_compared) & F.col("common").isNotNull(), divergence("common", "common_reference"))})
@@ -157,8 +163,9 @@ def judge(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract of op8: the base counts of each document and whether it is kept."""
-    judged = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Contract of op8: the base counts of each document and whether it is kept. References: the documents labelled good."""
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
+    judged = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), trusted=trusted)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -191,8 +198,9 @@ h AS (SELECT *, CASE WHEN is_listed THEN list_append([len([p for p in seen if p
 w AS (SELECT doc_id, generate_subscripts(words, 1) AS i, words FROM c WHERE n_words >= {WINDOW}),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS times FROM w WHERE i <= len(words) - 2),
 r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM g, range(0, {WINDOW}) AS o(k) WHERE times > 1 GROUP BY doc_id),
-one AS (SELECT language, {sums("characters", n_chars)} AS cr, {sums("common", size + 1)} AS wr FROM h WHERE language <> '' GROUP BY language),
-refs AS (SELECT * FROM one UNION ALL SELECT '', (SELECT {sums("characters", n_chars)} FROM h), NULL),
+good AS (SELECT * FROM h WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+one AS (SELECT language, {sums("characters", n_chars)} AS cr, {sums("common", size + 1)} AS wr FROM good WHERE language <> '' GROUP BY language),
+refs AS (SELECT * FROM one UNION ALL SELECT '', (SELECT {sums("characters", n_chars)} FROM good), NULL),
 x AS (
   SELECT h.doc_id, n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, n_symbols, n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, {distance("characters", "cr")} AS cd, CASE WHEN n_words >= {MIN_WORDS_COMPARED} AND common IS NOT NULL THEN {distance("common", "wr")} END AS wd
   FROM h LEFT JOIN r ON h.doc_id = r.doc_id LEFT JOIN refs ON h.language = refs.language

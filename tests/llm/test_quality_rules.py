@@ -63,3 +63,13 @@ def test_trusted_references_make_a_verdict_its_own(spark):
     crowd = one.unionByName(spark.createDataFrame([(10 + i, "zq xj kv " * 100, "en") for i in range(50)], kind))
     alone, among = (next(r for r in Q.judge(d, trusted=trusted).collect() if r.doc_id == 1) for d in (one, crowd))
     assert alone == among and alone.word_distance is not None
+
+
+def test_trusted_ids_stand_for_the_documents_they_name(spark):
+    rows = [(i, *TEXTS[i % len(TEXTS)]) for i in range(40)] + [(None, *TEXTS[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    ids = spark.createDataFrame([(9,), (12,), (12,), (8,), (None,), (999,)], "doc_id long")
+    texts = spark.createDataFrame([r for r in rows if r[0] in (8, 9, 12)], docs.schema)
+    by_ids, by_texts = (sorted(map(str, Q.judge(docs, trusted=t).collect())) for t in (ids, texts))
+    assert by_ids == by_texts and len(by_ids) == len(rows)
+    assert all(r.kept == (not r.base_failed) for r in Q.judge(docs, trusted=ids.limit(0)).collect())
