@@ -194,13 +194,12 @@ def _bare(line: bytes) -> bytes:
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for file, start, stop in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            place = 0
+        for file, start, stop, place in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             for lines in lines_of(_parts(file, start, stop), start == 0):
                 for x in range(0, len(lines), _ROWS):
                     part = lines[x : x + _ROWS]
                     n = len(part)
-                    yield pa.RecordBatch.from_arrays([pa.array([file] * n), pa.array([start] * n, pa.int64()), pa.array(range(place, place + n), pa.int64()), pa.array(list(map(_bare, part)), pa.binary())], names=["file", "from", "place", "line"])
+                    yield pa.RecordBatch.from_arrays([pa.array([file] * n), pa.array(range(place + 1, place + n + 1), pa.int64()), pa.array(list(map(_bare, part)), pa.binary())], names=["file", "line_no", "line"])
                     place += n
 
 
@@ -244,12 +243,15 @@ def range_lines(ranges: DataFrame, sums: DataFrame) -> DataFrame:
     """(file, line_no, line) of every line, numbered from 1 in each file by the lines of the ranges before.
 
     sums: see ``range_sums``; files with a fault must be left out of both.
+
+    A range is told the lines before it ahead of being read: lines joined with them
+    later would look no larger than the ranges to the planner, which then broadcasts them.
     """
-    raw = _dealt(ranges).mapInArrow(_each, "file string, from long, place long, line binary")
     before = sums.select("file", "from", F.expr("coalesce(sum(lines) OVER (PARTITION BY file ORDER BY `from` ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)").alias("before"))
-    line_no = F.col("place") + F.col("before") + 1
+    placed = ranges.join(before, ["file", "from"]).select("file", "from", "to", "before")
+    raw = _dealt(placed).mapInArrow(_each, "file string, line_no long, line binary")
     text = F.make_valid_utf8(F.col("line").cast("string"))
-    return raw.join(before, ["file", "from"]).select("file", line_no.alias("line_no"), F.when(line_no == 1, F.regexp_replace(text, "^﻿", "")).otherwise(text).alias("line"))
+    return raw.select("file", "line_no", F.when(F.col("line_no") == 1, F.regexp_replace(text, "^﻿", "")).otherwise(text).alias("line"))
 
 
 def file_sums(sums: DataFrame) -> DataFrame:

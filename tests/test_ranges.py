@@ -112,3 +112,11 @@ def test_folders_are_listed_level_by_level(spark, tmp_path):
     assert names(recursive=True, extensions=None) == ["a.fasta", "b.FAA", "c.fasta.gz", "d.fasta", "e.txt"]
     assert names([f"{tmp_path}/a.fasta", f"{tmp_path}/*", f"{tmp_path}/x/e.txt"]) == ["a.fasta", "b.FAA", "e.txt"]
     assert {r.size for r in file_sizes(spark, str(tmp_path), True).collect()} == {5}
+
+
+@pytest.mark.parametrize("asked", [["file"], ["file", "line_no", "line"]])
+def test_lines_are_on_no_side_of_a_join(spark, folder, asked):
+    """The planner takes lines for as few as the ranges they are read from, and would broadcast them."""
+    parts = ranges.splits(file_sizes(spark, str(folder[0])), 3001)
+    plan = ranges.range_lines(parts, ranges.range_sums(parts).cache()).select(*asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan.split("MapInArrow")[0]
