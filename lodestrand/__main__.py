@@ -61,12 +61,12 @@ def main(arguments: list[str] | None = None) -> None:
     if options.add_missing_line_feed and run.ends is not None:
         reports.write_with_last_line_end(run, f"{a.output}/line-feed-added")
     if options.save_basic_hashes:
-        sinks.write_table_files(run.hashes, "hashes", run.summary, a.output)
+        sinks.write_table_files(run.hashes, "hashes", run.names, a.output)
     if run.options.fix:
         sinks.write_fixed_files(run, a.output)
         if options.save_hashes and not a.hash_file:
-            sinks.write_table_files(run.unique, "unique", run.summary, a.output)
-            sinks.write_table_files(duplicate_rows(run.hashes), "duplicates", run.summary, a.output)
+            sinks.write_table_files(run.unique, "unique", run.names, a.output)
+            sinks.write_table_files(duplicate_rows(run.hashes), "duplicates", run.names, a.output)
 
 
 if __name__ == "__main__":

@@ -91,7 +91,7 @@ def q_table_files(spark, d):
     """The table of unique sequences, written as one file for each input and read again."""
     folder = _folder(spark)
     run = Validation(entry_lines(spark, d), Options())
-    sinks.write_table_files(run.unique, "unique", run.summary, folder)
+    sinks.write_table_files(run.unique, "unique", run.names, folder)
     lines, *_ = open_files(spark, folder, extensions=(".txt",))
     return lines.select(F.regexp_extract("file", r"/([a-z]+)_UniqueProteinSeqs\.txt$", 1).alias("file"), "line_no", "line")
 

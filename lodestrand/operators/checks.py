@@ -35,9 +35,14 @@ def rule_findings(rules: tuple[Rule, ...], text: Column, line: Column, offset: C
     return found
 
 
-def told(rows: DataFrame, found: list[Column], protein: Column | str) -> DataFrame:
-    """The non-null findings of each row as rows of the findings table."""
-    each = rows.select("file", "line_no", (F.lit(protein) if isinstance(protein, str) else protein).alias("protein"), F.explode(F.array_compact(F.array(*found))).alias("f"))
+def told(rows: DataFrame, found: list[Column], protein: Column | str | list[Column | str]) -> DataFrame:
+    """The non-null findings of each row as rows of the findings table. protein: of all of them, or of each."""
+    as_column = lambda p: F.lit(p) if isinstance(p, str) else p
+    if isinstance(protein, list):
+        pairs = [F.when(f.isNotNull(), F.struct(f.alias("f"), as_column(p).alias("protein"))) for f, p in zip(found, protein, strict=True)]
+        each = rows.select("file", "line_no", F.explode(F.array_compact(F.array(*pairs))).alias("p")).select("file", "line_no", "p.protein", "p.f")
+    else:
+        each = rows.select("file", "line_no", as_column(protein).alias("protein"), F.explode(F.array_compact(F.array(*found))).alias("f"))
     return each.select("file", "f.level", "line_no", "f.col", "protein", "f.code", "f.extra", "f.context", (F.col("line_no") * 10_000 + F.col("f.seq")).alias("emit_seq"))
 
 
@@ -94,7 +99,17 @@ def line_findings(lines: DataFrame, options: Options) -> DataFrame:
         F.when((size > 100_000) & (size <= 1_000_000), finding("Warning", 17, "size", 0, "Line is over 100,000 residues long; this could indicate a problem")),
     ]
     before = F.when(kind == "header", F.col("previous_protein")).otherwise(F.col("protein"))
-    return told(lines, unnamed, "").unionByName(told(lines, named, F.col("protein"))).unionByName(told(lines, sizes, before))
+    proteins = [*[""] * len(unnamed), *[F.col("protein")] * len(named), *[before] * len(sizes)]
+    return told(lines, [*unnamed, *named, *sizes], proteins)
+
+
+def with_names(findings: DataFrame, names: DataFrame) -> DataFrame:
+    """``findings`` whose protein is an entry's ordinal as text, with the name that the entry has in ``names`` (file, ordinal, name).
+
+    So findings are joined with names, not the lines they are found in.
+    """
+    known = names.select("file", F.col("ordinal").cast("string").alias("protein"), F.col("name").alias("_name"))
+    return findings.join(known, ["file", "protein"], "left").withColumn("protein", F.coalesce("_name", F.lit(""))).select(*COLUMNS)
 
 
 def end_findings(classified: DataFrame) -> DataFrame:

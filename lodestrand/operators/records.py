@@ -23,10 +23,11 @@ def classify(lines: DataFrame, header_start: str = ">", block_lines: int = BLOCK
 
     A file is cut into blocks of ``block_lines``: windows run within blocks, and one row
     for each block carries the counts and last places over, so a huge file is no task.
+    Lines go to their block once, without the text, which is cut from them there.
     """
     text = left_trimmed(F.col("line"))
-    kind = F.when(F.length("line") > MAX_LINE, "oversize").when(is_blank(F.col("line")), "blank").when(F.substring("text", 1, 1) == header_start, "header").otherwise("residue")
-    rows = lines.select("file", "line_no", "line").withColumn("text", text).withColumn("kind", kind).withColumn("block", F.floor((F.col("line_no") - 1) / block_lines))
+    kind = F.when(F.length("line") > MAX_LINE, "oversize").when(is_blank(F.col("line")), "blank").when(F.substring(text, 1, 1) == header_start, "header").otherwise("residue")
+    rows = lines.select("file", "line_no", "line").withColumn("kind", kind).withColumn("block", F.floor((F.col("line_no") - 1) / block_lines))
     of = lambda k: F.when(F.col("kind") == k, F.col("line_no"))
     marks = {"h": of("header"), "r": of("residue"), "b": of("blank")}
     sums = rows.groupBy("file", "block").agg(F.count_if(F.col("kind") == "header").alias("n"), *(F.max(c).alias(k) for k, c in marks.items()))
@@ -39,7 +40,7 @@ def classify(lines: DataFrame, header_start: str = ">", block_lines: int = BLOCK
     joined = own.join(carry, ["file", "block"]).withColumns({k: F.coalesce(k, f"{k}0", none) for k in marks})
     since = F.greatest("r", "h") if reset_blank_on_header else F.col("r")
     prev = F.when(F.col("h") > F.col("r"), "header").when(F.col("r") > F.col("h"), "residue")
-    return joined.select("file", "line_no", "line", "text", "kind", (F.col("n") + F.col("n0")).alias("ordinal"), prev.alias("prev_kind"), (F.col("b") > since).alias("blank_before"))
+    return joined.select("file", "line_no", "line", text.alias("text"), "kind", (F.col("n") + F.col("n0")).alias("ordinal"), prev.alias("prev_kind"), (F.col("b") > since).alias("blank_before"))
 
 
 def split_headers(classified: DataFrame) -> DataFrame:

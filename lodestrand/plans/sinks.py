@@ -90,7 +90,7 @@ def write_single(rows: DataFrame, targets: DataFrame, folder: str, order: list[s
 def write_fixed_files(run: Validation, folder: str, line_separator: str = "\n") -> DataFrame:
     """The repaired records of each file as ``<name>_new.fasta``."""
     lines = run.fixed_lines.select("file", "ordinal", "part", "line")
-    return write_single(lines, target_names(run.summary, ENDINGS["fixed"]), folder, ["ordinal", "part"], line_separator=line_separator)
+    return write_single(lines, target_names(run.names, ENDINGS["fixed"]), folder, ["ordinal", "part"], line_separator=line_separator)
 
 
 def write_table_files(table: DataFrame, kind: str, files: DataFrame, folder: str, line_separator: str = "\n") -> DataFrame:

@@ -38,7 +38,10 @@ class Validation:
         if self.faults is not None:
             for file, fault in self.faults.limit(self.options.max_findings).collect():
                 self.events.error(f"{file}: {fault}")
-        return self._stored(counted, "classified-lines")
+        # The text is the line without what leads it: stored once.
+        kept = self._stored(counted.withColumn("lead", F.length("line") - n).drop("text"), "classified-lines")
+        text = F.when(F.col("lead") == 0, F.col("line")).otherwise(F.expr("substring(line, lead + 1)"))
+        return kept.withColumn("text", text).select(*lines.columns)
 
     def _stored(self, df: DataFrame, name: str) -> DataFrame:
         with self.events.step(df.sparkSession, name):
@@ -71,16 +74,20 @@ class Validation:
         """Every entry with its final name and what becomes of it.
 
         Adds to ``records.records``: raw_name, the repair flags, name_again, renamed,
-        valid (its residues count for hashes and DNA).
+        valid (its residues count for hashes and DNA). Residues are measured and left
+        out, so that no join by name moves them; see ``fixed``.
         """
         o = self.options
         whole, _ = self.assembled
-        found = records.records(self.classified, o, whole).withColumn("raw_name", F.col("name"))
+        measures = whole.withColumn("residues", F.lit(None).cast("string"))
+        found = records.records(self.classified, o, measures).drop("residues").withColumn("raw_name", F.col("name"))
         if o.fix and self.keep is None:
             found = with_repair(found, o, column="_fixed")
             found = found.withColumns({c: F.when(F.col("raw_name") == "", F.col(c)).otherwise(F.col("_fixed")[c]) for c in ("name", "description")} | {c: F.coalesce(F.col("_fixed")[c], F.lit(False)) for c in ("truncated", "refs_removed", "chars_replaced")}).drop("_fixed")
         else:
             found = found.withColumns({c: F.lit(False) for c in ("truncated", "refs_removed", "chars_replaced")})
+        # Stored: a condition on the name would be pushed below the repair and spell it out for each use of its steps.
+        found = self._stored(found, "repaired-entries")
         if self.keep is not None:
             kept = dedup.kept_by_list(found, self.keep).select("file", "ordinal", F.lit(True).alias("listed"))
             found = found.join(kept, ["file", "ordinal"], "left").withColumn("valid", F.coalesce("listed", F.lit(False))).drop("listed")
@@ -124,10 +131,9 @@ class Validation:
     def _all_findings(self) -> DataFrame:
         """Every finding, in the findings table's columns; none left out."""
         o, entries = self.options, self.entries
-        shown = entries.select("file", "ordinal", F.col("name").alias("protein"))
-        earlier = shown.select("file", (F.col("ordinal") + 1).alias("ordinal"), F.col("protein").alias("previous_protein"))
-        placed = self.classified.join(shown, ["file", "ordinal"], "left").join(earlier, ["file", "ordinal"], "left").withColumns({c: F.coalesce(c, F.lit("")) for c in ("protein", "previous_protein")})
-        found = [checks.header_findings(self.headers, o), checks.line_findings(placed, o), checks.sequence_findings(placed.where("kind = 'residue'"), o), checks.end_findings(self.classified), self._name_findings(), checks.dna_findings(entries, self.nucleic)]
+        placed = self.classified.withColumns({"protein": F.col("ordinal").cast("string"), "previous_protein": (F.col("ordinal") - 1).cast("string")})
+        in_lines = checks.line_findings(placed, o).unionByName(checks.sequence_findings(placed.where("kind = 'residue'"), o))
+        found = [checks.header_findings(self.headers, o), checks.with_names(in_lines, entries), checks.end_findings(self.classified), self._name_findings(), checks.dna_findings(entries, self.nucleic)]
         if o.check_duplicate_sequences:
             found.append(self._sequence_findings())
         if o.fix:
@@ -181,6 +187,11 @@ class Validation:
     def finding_counts(self) -> DataFrame:
         return checks.finding_counts(self.all_findings, self.options.max_findings)
 
+    @functools.cached_property
+    def names(self) -> DataFrame:
+        """(file) of each file of ``summary``, which needs no finding."""
+        return (self.classified if self.files is None else self.files).select("file").distinct()
+
     @functools.cached_property
     def summary(self) -> DataFrame:
         """(file, proteins, residues, lines, errors, warnings) of each file."""
@@ -218,15 +229,23 @@ class Validation:
     # Repair
 
     @functools.cached_property
-    def fixed(self) -> DataFrame:
-        """(file, ordinal, name, description, residues, max_line_len) of the entries that the repaired file has; residues is null where they are in segments."""
+    def _kept(self) -> DataFrame:
+        """The entries that the repaired file has, without their residues."""
         o = self.options
         some = self.entries.where("valid AND ordinal > 0").withColumns({c: trimmed(F.col(c)) for c in ("name", "description")})
         if self.keep is None and o.keep_same_name and not o.rename_duplicates:
             some = dedup.same_name_kept(some)
         if self.keep is None and o.consolidate:
             some = dedup.consolidate(some, self.hashes)
-        return some.select("file", "ordinal", "name", "description", "residues", "max_line_len")
+        return some
+
+    @functools.cached_property
+    def fixed(self) -> DataFrame:
+        """(file, ordinal, name, description, residues, max_line_len) of the entries that the repaired file has; residues is null where they are in segments."""
+        some, (whole, _) = self._kept, self.assembled
+        # As ``records.records`` has them.
+        residues = F.when(F.col("n_residues") == 0, "").otherwise(F.col("residues")).alias("residues")
+        return some.join(whole.select("file", "ordinal", "residues"), ["file", "ordinal"], "left").select("file", "ordinal", "name", "description", residues, "max_line_len")
 
     @functools.cached_property
     def repair_findings(self) -> DataFrame:
@@ -248,10 +267,10 @@ class Validation:
         width = wrap_width(F.col("max_line_len"), o.max_residues_per_line)
         body = wrapped(F.col("residues"), width)
         if not o.wrap_residues:
-            kept = self.fixed.select("file", "ordinal")
+            kept = self._kept.select("file", "ordinal")
             clean = records.clean_residues(F.col("text"), o.remove_invalid_residues)
             body_lines = self.classified.where("kind = 'residue'").join(kept, ["file", "ordinal"], "left_semi").select("file", "ordinal", F.col("line_no").alias("part"), clean.alias("line"))
-            heads = self.fixed.select("file", "ordinal", F.lit(0).cast("long").alias("part"), build_header(F.col("name"), F.col("description"), o.header_start).alias("line"))
+            heads = self._kept.select("file", "ordinal", F.lit(0).cast("long").alias("part"), build_header(F.col("name"), F.col("description"), o.header_start).alias("line"))
             return heads.unionByName(body_lines)
         all_lines = F.concat(F.array(build_header(F.col("name"), F.col("description"), o.header_start)), F.coalesce(body, F.array().cast("array<string>")))
         lines = self.fixed.select("file", "ordinal", F.posexplode(all_lines).alias("part", "line")).withColumn("part", F.col("part").cast("long"))

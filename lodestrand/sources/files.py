@@ -16,7 +16,7 @@ from ..storage import stored
 from .ranges import SCHEMES, place_of
 
 #: Lines of one block: what one task of the state operators holds at a time.
-BLOCK_LINES = 500_000
+BLOCK_LINES = 50_000
 #: Bytes that are looked at for the kind of line end.
 SNIFF_BYTES = 100_000
 #: Endings of the files that are looked for in a folder. Fixed values.

@@ -302,3 +302,15 @@ def test_same_names_in_two_folders_stay_apart(spark, tmp_path):
 def test_a_chromosome_is_wrapped_in_one_pass(spark):
     row = spark.range(1).select(F.expr("repeat('ACGTN', 10000000)").alias("r")).select(wrapped(F.col("r"), F.lit(60)).alias("w")).select(F.size("w").alias("n"), F.length(F.element_at("w", -1)).alias("last"), F.length(F.element_at("w", 1)).alias("first")).first()
     assert (row.n, row.first, row.last) == (833_334, 60, 20)
+
+
+def test_entries_are_joined_without_residues_and_files_named_without_findings(spark):
+    """Residues are met again in the repaired records alone; a text is what is left of its stored line."""
+    lines = spark.createDataFrame([("f", i, line) for i, line in enumerate([">A|x d", "M1" * 5000, ">A|x d", " MK" * 100, ">B d", "MKV"], 1)], "file string, line_no long, line string")
+    r = Validation(lines, Options(fix=True, rename_duplicates=True))
+    assert "residues" not in r.entries.columns
+    assert {x.line_no: x.text for x in r.classified.collect()} == {1: ">A|x d", 2: "M1" * 5000, 3: ">A|x d", 4: "MK MK" + " MK" * 98, 5: ">B d", 6: "MKV"}
+    assert r.all_findings.where("protein = 'A|x-b'").count() > 0
+    assert [x.residues for x in r.fixed.orderBy("ordinal").collect()] == ["M1" * 5000, "MK MK" + " MK" * 98, "MKV"]
+    other = Validation(lines, Options())
+    assert [x.file for x in other.names.collect()] == ["f"] and "all_findings" not in other.__dict__
