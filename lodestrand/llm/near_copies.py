@@ -1,8 +1,10 @@
 """Near copies by word shingles: the trie of SimHash fingerprints is joined with itself bucket by bucket, exact Jaccard decides.
 
-At Jaccard 0.8 fingerprints differ in some ten of 64 bits, an error budget at which a
-trie of all documents prunes nothing. MinHash bands therefore deal the texts to buckets
-first, and the walk of node pairs runs in each bucket with a budget that loses nothing.
+The trie of all fingerprints is joined with itself as in operator 2, and its components
+are buckets. At Jaccard 0.8 fingerprints differ in some ten of 64 bits, an error budget at
+which a trie of all documents prunes nothing. For what lies beyond the trie's radius MinHash
+bands deal the texts to more buckets; the walk of node pairs runs in each bucket with a
+budget that loses nothing.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import types as T
 from .bits import bit_sums, packed
 from .common import bytes_of, join_split, small_runs, stored, text_of, worker_table
 from .components import components
-from .simhash_trie import SEED, _shingle_hashes, first_of_each, near_pairs
+from .simhash_trie import SEED, _shingle_hashes, first_of_each, links, near_pairs
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -108,6 +110,15 @@ def buckets_of(signatures: DataFrame) -> DataFrame:
     return stored(placed.join(once, "bucket").select("bucket", "node", "pivot"), "buckets")
 
 
+def trie_buckets(distinct: DataFrame) -> DataFrame:
+    """(bucket, node, pivot) of the components of two texts or more in the self-join of the trie of all fingerprints (node, fp)."""
+    root = components(links(distinct.select("fp").distinct())).select(F.col("node").alias("fp"), "root")
+    total = distinct.count()
+    placed = stored(join_split(distinct.select("node", "fp"), root, "fp", total, "left").select("node", F.coalesce("root", "fp").alias("root")), "trie-components")
+    sums = placed.groupBy("root").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1").select("root", "pivot")
+    return stored(join_split(placed, sums, "root", total).select(F.xxhash64(F.lit("trie"), "root").alias("bucket"), "node", "pivot"), "trie-buckets")
+
+
 def _held_against_pivots(table: pa.Table) -> pa.Table:
     """(u, v): the texts of a group that are like their pivot. A pivot's own row has no node."""
     worker_table("near-copies", bool)
@@ -210,8 +221,9 @@ def near_copies(documents: DataFrame, id_column: str = "doc_id", text_column: st
     """(doc_id, text_hash, root) of every row: rows of one component have one root.
 
     Texts are linked if 5-word shingles (A-Z in lower case; the whole sequence of a
-    shorter text) have a Jaccard similarity of 0.8 or more. MinHash bands put texts that
-    may be linked in buckets. First every text is held against its bucket's pivot, which
+    shorter text) have a Jaccard similarity of 0.8 or more. The self-join of the trie of
+    fingerprints, and MinHash bands for pairs beyond its radius, put texts that may be
+    linked in buckets. First every text is held against its bucket's pivot, which
     settles groups of copies however large; then the buckets that hold texts of several
     components are walked as tries of SimHash fingerprints, cell by cell, and every pair
     within the budget that is not connected yet is checked. No pair of a bucket is left
@@ -227,7 +239,7 @@ def near_copies(documents: DataFrame, id_column: str = "doc_id", text_column: st
     rows = stored(hashed.select("doc_id", "text_hash", "s.node", "s.fp", "s.bands"), "signatures")
     one = F.min(F.struct(F.coalesce("doc_id", absent).alias("row_id"), "text_hash")).alias("one")
     distinct = stored(rows.groupBy("node").agg(one, F.first("fp").alias("fp"), F.first("bands").alias("bands")), "distinct-texts")
-    members = buckets_of(distinct.select("node", "bands"))
+    members = trie_buckets(distinct.select("node", "fp")).unionByName(buckets_of(distinct.select("node", "bands")))
     # A text is fetched by one of its rows, so that copies don't meet in one task.
     asked = distinct.join(members.select("node").distinct(), "node", "left_semi").select("node", "fp", "one.row_id", "one.text_hash")
     texts = documents.select(key.alias("row_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).join(asked, ["row_id", "text_hash"])

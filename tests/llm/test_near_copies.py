@@ -3,6 +3,7 @@ import re
 import numpy as np
 import pytest
 
+from lodestrand.llm import near_copies as module
 from lodestrand.llm.near_copies import keep_one_near, near_copies
 
 WORDS = [f"w{i}" for i in range(3000)]
@@ -91,3 +92,13 @@ def test_buckets_that_hold_several_groups_lose_no_link(spark, cell):
 
 def test_no_documents(spark):
     assert keep_one_near(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_the_trie_of_all_fingerprints_finds_near_copies_by_itself(spark, monkeypatch):
+    """No band is shared here, so links come from the trie's self-join, and only exact ones stay."""
+    held = module.buckets_of
+    monkeypatch.setattr(module, "buckets_of", lambda signatures: held(signatures.where("false")))
+    base = [f"w{i}" for i in range(2000)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:-1], "other"])), (3, "a b c d e f"), (4, "a b c d e f".upper())]
+    found = {r.doc_id: r.root for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1] == found[2] and found[3] == found[4] and found[1] != found[3]
