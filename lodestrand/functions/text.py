@@ -16,16 +16,23 @@ MIN_WRAP = 10
 MAX_DESCRIPTION = 7995
 
 
+# A long text is searched only where its first or last character says that there may be something to find.
+
+
+def _signs_at(text: Column, *places: int) -> Column:
+    return F.concat(*(F.substring(text, place, 1) for place in places))
+
+
 def is_blank(line: Column) -> Column:
-    return line.rlike(r"(?U)^\s*$")
+    return _signs_at(line, 1).rlike(r"(?U)^\s*$") & line.rlike(r"(?U)^\s*$")
 
 
 def left_trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, r"(?U)^\s+", "")
+    return F.when(_signs_at(line, 1).rlike(r"(?U)\s"), F.regexp_replace(line, r"(?U)^\s+", "")).otherwise(line)
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.when(_signs_at(text, 1, -1).rlike(r"(?U)\s"), F.regexp_replace(text, r"(?U)^\s+|\s+$", "")).otherwise(text)
 
 
 _HEADER = r"(?s)^.([^ \t\xA0�]*)(?:[ \t\xA0�](.*))?$"
@@ -58,11 +65,11 @@ def sequence_hash(residues: Column, ignore_il: bool = False) -> Column:
 
 def residue_counts(residues: Column) -> dict[str, Column]:
     """How many letters there are, and how many of them are upper-case A, T, C or G."""
-    return {"letters": F.length(F.regexp_replace(residues, r"\P{L}", "")).cast("long"), "nucleic": F.length(F.regexp_replace(residues, "[^ATCG]", "")).cast("long")}
+    return {"letters": F.length(F.regexp_replace(residues, r"\P{L}+", "")).cast("long"), "nucleic": F.length(F.regexp_replace(residues, "[^ATCG]+", "")).cast("long")}
 
 
 def clean_residues(line: Column, remove_invalid: bool) -> Column:
-    return F.regexp_replace(line, r"[^A-Z(*)(-)]", "") if remove_invalid else trimmed(line)
+    return F.regexp_replace(line, r"[^A-Z(*)(-)]+", "") if remove_invalid else trimmed(line)
 
 
 def wrap_width(longest: Column, most: int) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from .hashing import measured
 MAX_LINE = 10_000_000
 
 
-def classify(lines: DataFrame, header_start: str = ">", block_lines: int = BLOCK_LINES, reset_blank_on_header: bool = False) -> DataFrame:
+def classify(lines: DataFrame, header_start: str = ">", block_lines: int = BLOCK_LINES, reset_blank_on_header: bool = False, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """Every line with its kind, its entry's ordinal and what came before it.
 
     Adds: text (left-trimmed), kind ('header', 'residue', 'blank', 'oversize'), ordinal
@@ -24,23 +26,29 @@ def classify(lines: DataFrame, header_start: str = ">", block_lines: int = BLOCK
     A file is cut into blocks of ``block_lines``: windows run within blocks, and one row
     for each block carries the counts and last places over, so a huge file is no task.
     Lines go to their block once, without the text, which is cut from them there.
+    keep(rows, name) stores rows: with it the blocks' lines are stored before blocks are
+    counted, so ``lines`` are read once, not for the counts again. Only blocks with
+    another before them carry anything over, so what each read of the stored lines is
+    joined with has a row for these alone, however many files there are.
     """
     text = left_trimmed(F.col("line"))
     kind = F.when(F.length("line") > MAX_LINE, "oversize").when(is_blank(F.col("line")), "blank").when(F.substring(text, 1, 1) == header_start, "header").otherwise("residue")
-    rows = lines.select("file", "line_no", "line").withColumn("kind", kind).withColumn("block", F.floor((F.col("line_no") - 1) / block_lines))
+    rows = lines.select("file", "line_no", "line").withColumn("kind", kind).withColumn("block", F.floor((F.col("line_no") - 1) / block_lines)).where("file IS NOT NULL AND block IS NOT NULL")
     of = lambda k: F.when(F.col("kind") == k, F.col("line_no"))
     marks = {"h": of("header"), "r": of("residue"), "b": of("blank")}
-    sums = rows.groupBy("file", "block").agg(F.count_if(F.col("kind") == "header").alias("n"), *(F.max(c).alias(k) for k, c in marks.items()))
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"), *(F.max(k).over(earlier).alias(f"{k}0") for k in marks))
     here = Window.partitionBy("file", "block").orderBy("line_no")
     before = here.rowsBetween(Window.unboundedPreceding, -1)
     own = rows.withColumns({"n": F.sum((F.col("kind") == "header").cast("long")).over(here.rowsBetween(Window.unboundedPreceding, 0))} | {k: F.max(c).over(before) for k, c in marks.items()})
+    if keep:
+        own = rows = keep(own, "classified-lines")
+    sums = rows.groupBy("file", "block").agg(F.count_if(F.col("kind") == "header").alias("n"), *(F.max(c).alias(k) for k, c in marks.items()))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = sums.select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"), *(F.max(k).over(earlier).alias(f"{k}0") for k in marks)).where("h0 IS NOT NULL OR r0 IS NOT NULL OR b0 IS NOT NULL")
     none = F.lit(0)
-    joined = own.join(carry, ["file", "block"]).withColumns({k: F.coalesce(k, f"{k}0", none) for k in marks})
+    joined = own.join(keep(carry, "blocks") if keep else carry, ["file", "block"], "left").withColumns({k: F.coalesce(k, f"{k}0", none) for k in marks} | {"n": F.col("n") + F.coalesce("n0", none)})
     since = F.greatest("r", "h") if reset_blank_on_header else F.col("r")
     prev = F.when(F.col("h") > F.col("r"), "header").when(F.col("r") > F.col("h"), "residue")
-    return joined.select("file", "line_no", "line", text.alias("text"), "kind", (F.col("n") + F.col("n0")).alias("ordinal"), prev.alias("prev_kind"), (F.col("b") > since).alias("blank_before"))
+    return joined.select("file", "line_no", "line", text.alias("text"), "kind", F.col("n").alias("ordinal"), prev.alias("prev_kind"), (F.col("b") > since).alias("blank_before"))
 
 
 def split_headers(classified: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import build_header, trimmed, with_repair, wrap_width, wrapped
+from ..functions.text import build_header, left_trimmed, trimmed, with_repair, wrap_width, wrapped
 from ..operators import checks, dedup, hashing, records, segments
 from ..options import Options
 from ..rules import messages
@@ -32,16 +32,14 @@ class Validation:
 
     @functools.cached_property
     def classified(self) -> DataFrame:
-        lines = records.classify(self.lines, self.options.header_start, reset_blank_on_header=self.options.reset_blank_on_header)
-        kind, n = F.col("kind"), F.length("text")
-        counted = lines.observe(self._seen, F.count("*").alias("lines"), F.count_if(kind == "header").alias("proteins"), F.coalesce(F.sum(F.when(kind == "residue", n)), F.lit(0)).cast("long").alias("residues"), F.count_if(kind == "oversize").alias("skipped_lines"))
         if self.faults is not None:
             for file, fault in self.faults.limit(self.options.max_findings).collect():
                 self.events.error(f"{file}: {fault}")
-        # The text is the line without what leads it: stored once.
-        kept = self._stored(counted.withColumn("lead", F.length("line") - n).drop("text"), "classified-lines")
-        text = F.when(F.col("lead") == 0, F.col("line")).otherwise(F.expr("substring(line, lead + 1)"))
-        return kept.withColumn("text", text).select(*lines.columns)
+        kind, n = F.col("kind"), F.length(left_trimmed(F.col("line")))
+        counts = [F.count("*").alias("lines"), F.count_if(kind == "header").alias("proteins"), F.coalesce(F.sum(F.when(kind == "residue", n)), F.lit(0)).cast("long").alias("residues"), F.count_if(kind == "oversize").alias("skipped_lines")]
+        # Lines are counted while they are stored; their texts are cut from them when they are read.
+        keep = lambda rows, name: self._stored(rows.observe(self._seen, *counts) if "line" in rows.columns else rows, name)
+        return records.classify(self.lines, self.options.header_start, reset_blank_on_header=self.options.reset_blank_on_header, keep=keep)
 
     def _stored(self, df: DataFrame, name: str) -> DataFrame:
         with self.events.step(df.sparkSession, name):

@@ -35,7 +35,7 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, ordinal, name, description, residues, next_header_line_no)."""
-    letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
+    letters = F.upper(F.regexp_replace("text", "[^A-Za-z]+", ""))
     name = F.concat("source", F.lit("|"), F.col("doc_id") % 50)
     return _read(spark, sf_dir, "documents").select(F.col("lang").alias("file"), F.col("doc_id").alias("ordinal"), name.alias("name"), F.concat(F.lit("from "), F.col("source")).alias("description"), letters.alias("residues"), (F.col("doc_id") + 1).alias("next_header_line_no"))
 

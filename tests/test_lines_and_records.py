@@ -6,9 +6,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestrand.functions import text as t
-from lodestrand.operators import records
+from lodestrand.operators import checks, records
 from lodestrand.options import Options
+from lodestrand.rules import FLAGS, Rule, numbered
 from lodestrand.sources.files import file_ends, read_hash_file, read_lines
+from lodestrand.storage import stored
 
 
 def lines_of(spark, *texts):
@@ -118,3 +120,51 @@ def test_wrapped_lines_join_to_the_residues(spark, residues, longest):
     assert "".join(row.w) == residues
     width = max(10, longest if 0 < longest <= 120 else 120)
     assert all(len(x) == width for x in row.w[:-1])
+
+
+def test_stored_blocks_equal_plain_ones_and_lines_are_read_once(spark):
+    """Blocks of two lines, files of one block and of several; what is carried over has no row for a file's first block."""
+    texts = {"a": [">A", "MK", "", " MV", ">B", ">C", "", "", "", "MKV", "M"], "b": [">A"], "c": ["", "", "MK", "", ">D", "M"], "d": ["M", " "]}
+    rows = [(f, i, x) for f, lines in texts.items() for i, x in enumerate(lines, 1)] + [(None, 1, "M")]
+    plain, seen, tables = spark.createDataFrame(rows, "file string, line_no long, line string"), spark.sparkContext.accumulator(0), {}
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    def keep(df, name):
+        tables[name] = stored(df, name)
+        return tables[name]
+
+    found = records.classify(plain.mapInArrow(counted, plain.schema), block_lines=2, keep=keep)
+    assert sorted(found.collect()) == sorted(records.classify(plain, block_lines=2).collect()) == sorted(records.classify(plain).collect())
+    assert found.count() == len(rows) - 1 and seen.value == len(rows)
+    assert {(r.file, r.block) for r in tables["blocks"].collect()} == {("a", i) for i in range(1, 6)} | {("c", 1), ("c", 2)}
+
+
+ODD = ["", " ", "A", " A", "A ", "\u2003A\u2003B\x85", "A\r\n", "\U0001f600B\tA-", "\n\n", "a\u2028", "x*y", None, "\U00010400 \U00010400", "1ATCG2ÄÄ3"]
+
+
+def test_texts_are_searched_only_where_something_is_and_give_the_same(spark):
+    rows = spark.createDataFrame([(x,) for x in ODD], "x string").withColumn("n", F.col("x"))
+    x = F.col("x")
+    cut, counts = lambda pattern: F.regexp_replace(x, pattern, ""), t.residue_counts(x)
+    pairs = [(t.is_blank(x), x.rlike(r"(?U)^\s*$")), (t.left_trimmed(x), cut(r"(?U)^\s+")), (t.trimmed(x), cut(r"(?U)^\s+|\s+$")), (t.clean_residues(x, True), cut(r"[^A-Z(*)(-)]"))]
+    pairs += [(counts["letters"], F.length(cut(r"\P{L}"))), (counts["nucleic"], F.length(cut("[^ATCG]")))]
+    for i, (a, b) in enumerate(pairs):
+        assert rows.where(~a.eqNullSafe(b)).collect() == [], i
+
+
+def test_rules_of_signs_find_the_place_that_the_search_finds(spark):
+    patterns = ["B", r"\-", r"[ \t]", r"\*", "y", r"[\-\*]"]
+    assert [checks.signs(p) for p in patterns] == [["B"], ["-"], [" ", "\t"], ["*"], ["y"], ["-", "*"]]
+    assert [checks.signs(p) for p in ("[^B]", ".", r"\d", "[a-z]", "B+", r"\/{2}", "^B", "[]")] == [[]] * 8
+    rows = spark.createDataFrame([("f", i, x) for i, x in enumerate(ODD) if x is not None], "file string, line_no long, text string")
+    for matches in (True, False):
+        rules = numbered(sequence=[Rule(p, "m", 5, matches, True) for p in patterns]).sequence
+        found = checks.told(rows, checks.rule_findings(rules, F.col("text"), F.col("text"), 0, 5, "sequence"), "")
+        for rule in rules:
+            place = F.regexp_instr("text", F.lit(FLAGS + rule.pattern))
+            broken = rows.where(place > 0 if matches else place == 0).select("line_no", F.greatest(place, F.lit(1)).alias("col"))
+            assert sorted(map(tuple, found.where(F.col("code") == rule.id).select("line_no", "col").collect())) == sorted(map(tuple, broken.collect()))
