@@ -168,3 +168,11 @@ def test_rules_of_signs_find_the_place_that_the_search_finds(spark):
             place = F.regexp_instr("text", F.lit(FLAGS + rule.pattern))
             broken = rows.where(place > 0 if matches else place == 0).select("line_no", F.greatest(place, F.lit(1)).alias("col"))
             assert sorted(map(tuple, found.where(F.col("code") == rule.id).select("line_no", "col").collect())) == sorted(map(tuple, broken.collect()))
+
+
+def test_a_rule_searches_once_for_its_place(spark):
+    """The place has many uses: column and surroundings. Each would be a search of the text if it stood there itself."""
+    (found,) = checks.rule_findings(numbered(sequence=[Rule("[^A-Z]", "m", 5)]).sequence, F.col("x"), F.col("x"), 0, 5, "sequence")
+    plan = spark.createDataFrame([("AB1",)], "x string").select(found.alias("f"))
+    assert str(plan._jdf.queryExecution().analyzed().toString()).lower().count("regexp_instr(") == 1
+    assert plan.select("f.col", "f.context").first() == (3, "AB1")
